@@ -1,0 +1,4 @@
+"""Every operator as a query over the given tables."""
+
+from metaudit.plans import text  # noqa: F401  (registers queries)
+from metaudit.plans.base import ORACLES, QUERIES  # noqa: F401
