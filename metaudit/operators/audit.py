@@ -1,5 +1,6 @@
 """The audit: route each record to its rule packs and collect the findings, in one projection."""
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,73 +34,102 @@ def register_rule_pack(name: str, file_type: str | None, rules: dict) -> None:
     CUSTOM[name] = pack
 
 
+# Pack expressions name columns and do not depend on the table, so they are built once per
+# Spark context; building all of them takes seconds of driver time.
+_BUILT: dict = {}
+
+
+def _built(key, build) -> Column:
+    key = (id(SparkContext._active_spark_context), *key)
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
 def _pack_findings(pack: Pack, record: Record) -> Column:
-    found = combine(rule(record) for rule in pack.rules.values())
-    if pack.broken is not None:
-        found = F.when(pack.broken(record).isNull(), found)
-    applies = pack.applies(record)
-    return found if applies is None else F.when(applies, found)
+    def build():
+        found = combine(rule(record) for rule in pack.rules.values())
+        if pack.broken is not None:
+            found = F.when(pack.broken(record).isNull(), found)
+        return found if pack.file_type is None else F.when(pack.applies(record), found)
+
+    return _built(("findings", pack.name, *pack.rules), build)
 
 
 def _pack_error(pack: Pack, record: Record) -> Column:
-    problem = pack.broken(record)
-    return F.when(pack.applies(record) & problem.isNotNull(), error_struct(
-        "AnalysisError", F.concat(F.lit("Failed to analyze metadata for "), record.path, F.lit(f" using {pack.name}")),
-        problem))
+    def build():
+        problem = pack.broken(record)
+        return F.when(pack.applies(record) & problem.isNotNull(), error_struct(
+            "AnalysisError",
+            F.concat(F.lit("Failed to analyze metadata for "), record.path, F.lit(f" using {pack.name}")), problem))
+
+    return _built(("error", pack.name), build)
+
+
+def _pattern_findings() -> Column:
+    return _built(("pattern",), lambda: combine(
+        pattern_rules.report(n, F.col(f"_m_{n}")) for n in pattern_rules.DETECTORS))
+
+
+def _clock(df: DataFrame, now: Column | None) -> DataFrame:
+    return df.withColumn("_now", F.localtimestamp() if now is None else now)
 
 
 def run_pack(df: DataFrame, pack: Pack, now: Column | None = None, into: str = "findings") -> DataFrame:
     """Findings of one pack over record columns."""
-    return conform(df).withColumn(into, F.coalesce(_pack_findings(pack, Record(now)), NO_FINDINGS))
+    found = F.coalesce(_pack_findings(pack, Record()), NO_FINDINGS)
+    return _clock(conform(df), now).withColumn(into, found).drop("_now")
 
 
 def run_rule(df: DataFrame, rule, now: Column | None = None, into: str = "findings") -> DataFrame:
     """Findings of one rule over record columns."""
-    return conform(df).withColumn(into, combine([rule(Record(now))]))
+    return _clock(conform(df), now).withColumn(into, combine([rule(Record())])).drop("_now")
+
+
+def _entries(df: DataFrame, text_fields) -> Column:
+    """Flattened metadata, followed by the named text columns."""
+    parts = [pattern_rules.text_entries(df, text_fields)] if text_fields else []
+    if "metadata" in df.columns:
+        kind = df.schema["metadata"].dataType
+        if isinstance(kind, T.VariantType):
+            opened = flatten_entries(F.col("metadata"))
+        elif isinstance(kind, T.StringType):
+            opened = flatten_entries(F.try_parse_json("metadata"))
+        else:
+            opened = flatten_entries(F.try_parse_json(F.to_json("metadata")))
+        parts.insert(0, F.coalesce(opened, F.array()))
+    return F.concat(*parts, F.array()).cast("array<struct<field:string,value:string>>")
 
 
 def audit(df: DataFrame, now: Column | None = None, text_fields=(), skip_analysis: bool = False) -> DataFrame:
     """Add ``findings`` (and pack errors) to records.
 
     The detectors read the flattened metadata (JSON text or VARIANT) and, if named, text
-    columns. Packs of other types are skipped per row. No shuffle; works on a stream too.
+    columns. A type pack runs only on rows of its type, and not at all when the table has
+    no metadata. ``now`` is the clock for future timestamps. No shuffle; works on a stream.
     """
-    df = df.withColumn("findings", NO_FINDINGS) if "findings" not in df.columns else df
     if skip_analysis:
-        return conform(df)
-    kind = df.schema["metadata"].dataType if "metadata" in df.columns else None
-    entries = pattern_rules.text_entries(df, text_fields)
-    if isinstance(kind, T.VariantType):
-        opened = flatten_entries(F.col("metadata"))
-    elif isinstance(kind, T.StringType):
-        opened = flatten_entries(F.try_parse_json("metadata"))
-    elif kind is not None:
-        opened = flatten_entries(F.try_parse_json(F.to_json("metadata")))
-    else:
-        opened = None
-    if opened is not None:
-        nothing = F.array().cast("array<struct<field:string,value:string>>")
-        entries = F.concat(F.coalesce(opened, nothing), entries) if text_fields else F.coalesce(opened, nothing)
-    elif not text_fields:
-        entries = F.array().cast("array<struct<field:string,value:string>>")
-
-    records = pattern_rules.with_matches(conform(df.withColumn("entries", entries)), F.col("entries"))
-    record = Record(now)
-    packs = PACKS + list(CUSTOM.values())
-    parts = [_pack_findings(p, record) for p in PACKS]
-    parts.append(combine(pattern_rules.report(n, F.col(f"_m_{n}")) for n in pattern_rules.DETECTORS))
-    parts += [_pack_findings(p, record) for p in CUSTOM.values()]
+        return conform(df) if "findings" in df.columns else conform(df).withColumn("findings", NO_FINDINGS)
+    packs = list(PACKS) + list(CUSTOM.values())
+    if "metadata" not in df.columns:
+        packs = [p for p in packs if p.file_type is None or p.name in CUSTOM]
+    records = _clock(conform(df.withColumn("entries", _entries(df, text_fields))), now)
+    records = pattern_rules.with_matches(records, F.col("entries"))
+    record = Record()
+    parts = [_pack_findings(p, record) for p in packs if p.name not in CUSTOM]
+    parts.append(_pattern_findings())
+    parts += [_pack_findings(p, record) for p in packs if p.name in CUSTOM]
     failed = F.coalesce(record.section("extraction_failed"), F.lit(False))
     if "extraction_failed" in df.columns:
         failed = failed | F.coalesce(F.col("extraction_failed"), F.lit(False))
+    none, no_errors = F.array().cast(T.ArrayType(FINDING)), F.array().cast(T.ArrayType(ERROR))
     found = F.flatten(F.array_compact(F.array(*parts)))
     broken = F.array_compact(F.array(*[_pack_error(p, record) for p in packs if p.broken is not None]))
     out = records.withColumns({
-        "findings": F.when(~failed, found).otherwise(F.array().cast(T.ArrayType(FINDING))),
-        "errors": F.concat(F.coalesce(F.col("errors"), F.array().cast(T.ArrayType(ERROR))),
-                           F.when(~failed, broken).otherwise(F.array().cast(T.ArrayType(ERROR)))),
+        "findings": F.when(failed, none).otherwise(found),
+        "errors": F.concat(F.coalesce("errors", no_errors), F.when(failed, no_errors).otherwise(broken.cast(T.ArrayType(ERROR)))),
     })
-    return out.drop("entries", *[f"_m_{n}" for n in pattern_rules.DETECTORS])
+    return out.drop("entries", "_now", *[f"_m_{n}" for n in pattern_rules.DETECTORS])
 
 
 def match_rules(df: DataFrame, entries: Column, rules: list, into: str = "findings") -> DataFrame:

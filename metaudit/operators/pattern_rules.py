@@ -31,7 +31,7 @@ def _matches(entries: Column, pattern: str, group: int, guard) -> Column:
 
 
 def gps_term_matches(entries: Column) -> Column:
-    return _matches(entries, "(?i)" + K.GPS_TERMS_PATTERN, 0, lambda v: F.lower(v).rlike("gps|geotag|location"))
+    return _matches(entries, "(?i)" + K.GPS_TERMS_PATTERN, 0, lambda v: v.rlike("(?i)gps|geotag|location"))
 
 
 def email_matches(entries: Column) -> Column:

@@ -13,7 +13,7 @@ TIMES = ("creation_time", "modification_time", "access_time")
 class Record:
     """Column access for rules: record columns, metadata sections and the audit clock."""
 
-    def __init__(self, now: Column | None = None, entries: Column | None = None):
+    def __init__(self):
         self.path = F.col("file_path")
         self.type = F.col("file_type")
         self.size = F.col("file_size")
@@ -21,8 +21,7 @@ class Record:
         self.hashes = F.col("hashes")
         self.times = {name: F.col(name) for name in TIMES}
         self.extension = extension(self.path)
-        self.now = F.localtimestamp() if now is None else now
-        self.entries = F.col("entries") if entries is None else entries
+        self.now = F.col("_now")
 
     def section(self, name: str) -> Column:
         return F.col("metadata")[name]
