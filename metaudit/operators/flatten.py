@@ -20,62 +20,69 @@ def nesting_depth(variant: Column) -> Column:
     return walked["top"]
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _kind(v: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(v), r"\A\w+", 0)
 
 
-def _scalar_text(v: Column) -> Column:
+def _scalar_text(v: Column, kind: Column) -> Column:
     """Text of a scalar: True/False, decimals as floating point, null as given."""
-    kind = _kind(v)
+    plain = F.try_variant_get(v, "$", "string")
     return (
-        F.when(kind == "BOOLEAN", F.initcap(F.try_variant_get(v, "$", "string")))
+        F.when(kind == "BOOLEAN", F.initcap(plain))
         .when(kind.isin("DECIMAL", "DOUBLE", "FLOAT"), F.try_variant_get(v, "$", "double").cast("string"))
-        .otherwise(F.try_variant_get(v, "$", "string"))
+        .otherwise(plain)
     )
 
 
-def _entry(field: Column, value: Column) -> Column:
-    return F.struct(field.alias("field"), value.alias("value"))
-
-
-def _join_key(prefix: Column, key: Column) -> Column:
-    return F.when(prefix == "", key).otherwise(F.concat(prefix, F.lit("."), key))
+def _entry(field: Column, value: Column, kind: Column | None = None) -> Column:
+    return F.struct(field.alias("field"), value.alias("value"), (_kind(value) if kind is None else kind).alias("kind"))
 
 
 def _members(e: Column) -> Column:
+    prefix = F.when(e["field"] == "", "").otherwise(F.concat(e["field"], F.lit(".")))
     return F.transform(
         F.map_entries(e["value"].cast("map<string,variant>")),
-        lambda m: _entry(_join_key(e["field"], m["key"]), m["value"]))
+        lambda m: _entry(F.concat(prefix, m["key"]), m["value"]))
 
 
-def _open_level(entries: Column) -> Column:
-    """Replace every object by its members, and every list of non-scalars by its items."""
+def _items(e: Column) -> Column:
+    """A list of scalars stays one entry; other lists give one entry per item.
 
-    def complex_list(items):
-        return F.exists(items, lambda x: _kind(x).isin("OBJECT", "ARRAY", "VOID"))
+    Inside a list only objects are opened further; anything else is already text.
+    """
+    def one(x, i):
+        settled = F.when(x["kind"] == "VOID", F.lit("None")).when(x["kind"] == "ARRAY", F.to_json(x["value"])) \
+            .otherwise(_scalar_text(x["value"], x["kind"]))
+        nested = x["kind"] == "OBJECT"
+        return _entry(
+            F.concat(e["field"], F.lit("."), i.cast("string")),
+            F.when(nested, x["value"]).otherwise(settled.cast("variant")),
+            F.when(nested, "OBJECT").otherwise("STRING"))
 
-    def item_entry(e, x, i):
-        key = F.concat(e["field"], F.lit("."), i.cast("string"))
-        # inside a list only objects are opened further; anything else is already text
-        settled = F.when(_kind(x) == "VOID", F.lit("None")).when(_kind(x) == "ARRAY", F.to_json(x)) \
-            .otherwise(_scalar_text(x))
-        return _entry(key, F.when(_kind(x) == "OBJECT", x).otherwise(settled.cast("variant")))
+    def joined(items):
+        text = F.array_join(F.transform(items, lambda x: _scalar_text(x["value"], x["kind"])), ", ")
+        return F.array(_entry(e["field"], text.cast("variant"), F.lit("STRING")))
 
-    def open_one(e):
-        kind = _kind(e["value"])
-        items = F.when(kind == "ARRAY", e["value"].cast("array<variant>"))
-        return (
-            F.when(kind == "OBJECT", _members(e))
-            .when((kind == "ARRAY") & complex_list(items), F.transform(items, lambda x, i: item_entry(e, x, i)))
-            .otherwise(F.array(e))
-        )
+    items = F.transform(e["value"].cast("array<variant>"), lambda x: _entry(F.lit(""), x))
+    return let(items, lambda xs: F.when(
+        F.exists(xs, lambda x: x["kind"].isin("OBJECT", "ARRAY", "VOID")), F.transform(xs, one)).otherwise(joined(xs)))
 
-    return F.flatten(F.transform(entries, open_one))
+
+def _open_level(entries: Column) -> Column:
+    """Replace every object by its members, and every list by its text or its items."""
+    return F.flatten(F.transform(
+        entries,
+        lambda e: F.when(e["kind"] == "OBJECT", _members(e)).when(e["kind"] == "ARRAY", _items(e)).otherwise(F.array(e))))
 
 
 def _open_objects(entries: Column) -> Column:
     return F.flatten(F.transform(
-        entries, lambda e: F.when(_kind(e["value"]) == "OBJECT", _members(e)).otherwise(F.array(e))))
+        entries, lambda e: F.when(e["kind"] == "OBJECT", _members(e)).otherwise(F.array(e))))
 
 
 def _walk(variant: Column, open_level) -> Column:
@@ -86,11 +93,15 @@ def _walk(variant: Column, open_level) -> Column:
 
 def _last_wins(entries: Column) -> Column:
     """Keep the last entry of each field; the search only runs for rows that repeat one."""
-    fields = F.transform(entries, lambda e: e["field"])
-    unique = F.size(F.array_distinct(fields)) == F.size(fields)
-    kept = F.filter(entries, lambda e, i: ~F.array_contains(
-        F.slice(fields, i + 2, F.greatest(F.size(fields) - i - 1, F.lit(0))), e["field"]))
-    return F.when(unique, entries).otherwise(kept)
+    def checked(pair):
+        found, fields = pair["found"], pair["fields"]
+        kept = F.filter(found, lambda e, i: ~F.array_contains(
+            F.slice(fields, i + 2, F.greatest(F.size(fields) - i - 1, F.lit(0))), e["field"]))
+        return F.when(F.size(F.array_distinct(fields)) == F.size(fields), found).otherwise(kept)
+
+    with_fields = let(entries, lambda es: F.struct(
+        es.alias("found"), F.transform(es, lambda e: e["field"]).alias("fields")))
+    return let(with_fields, checked)
 
 
 def flatten_entries(variant: Column) -> Column:
@@ -100,11 +111,8 @@ def flatten_entries(variant: Column) -> Column:
     an empty object yields nothing.
     """
     def leaf(e):
-        v = e["value"]
-        joined = F.array_join(F.transform(v.cast("array<variant>"), _scalar_text), ", ")
         return F.struct(
-            e["field"].alias("field"),
-            F.when(_kind(v) == "ARRAY", joined).otherwise(F.coalesce(_scalar_text(v), F.lit(""))).alias("value"))
+            e["field"].alias("field"), F.coalesce(_scalar_text(e["value"], e["kind"]), F.lit("")).alias("value"))
 
     return _last_wins(F.transform(_walk(variant, _open_level), leaf))
 
@@ -112,10 +120,9 @@ def flatten_entries(variant: Column) -> Column:
 def compare_entries(variant: Column) -> Column:
     """As :func:`flatten_entries`, but lists stay whole (as JSON text) and null stays null."""
     def leaf(e):
-        v = e["value"]
         return F.struct(
             e["field"].alias("field"),
-            F.when(_kind(v) == "ARRAY", F.to_json(v)).otherwise(_scalar_text(v)).alias("value"))
+            F.when(e["kind"] == "ARRAY", F.to_json(e["value"])).otherwise(_scalar_text(e["value"], e["kind"])).alias("value"))
 
     return _last_wins(F.transform(_walk(variant, _open_objects), leaf))
 

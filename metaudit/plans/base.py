@@ -55,9 +55,12 @@ def in_list(values) -> str:
 
 def section(columns: dict):
     """Map of the columns that are not null; the text '<null>' becomes a present null."""
-    pairs = F.array(*[
-        F.when(F.col(c).isNotNull(), F.struct(
-            F.lit(k).alias("key"), F.nullif(F.col(c).cast("string"), F.lit("<null>")).alias("value")))
-        for k, c in columns.items()
-    ])
-    return F.map_from_entries(F.array_compact(pairs))
+    pairs = ", ".join(
+        f"CASE WHEN {c} IS NOT NULL THEN named_struct('key', {quoted(k)}, 'value', nullif(CAST({c} AS STRING), '<null>')) END"
+        for k, c in columns.items())
+    return F.expr(f"map_from_entries(array_compact(array({pairs})))")
+
+
+def as_json(metadata):
+    """Metadata as the JSON text that record files hold."""
+    return F.to_json(metadata, {"ignoreNullFields": "false"}).alias("metadata")
