@@ -47,6 +47,22 @@ def fires(condition: Column, found: Column) -> Column:
     return F.when(condition, F.array(found))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def fires_on(value: Column, test, build) -> Column:
+    """The finding built from a value when the value passes the test."""
+    return let(value, lambda v: fires(test(v), build(v)))
+
+
+def listing(rule, type_, severity, description, key, entries: Column) -> Column:
+    """A finding that lists the entries of a map, when there are any."""
+    return fires_on(entries, lambda m: F.size(m) > 0, lambda m: finding(
+        rule, type_, severity, description, **{key: Items(entries_text(m))}))
+
+
 def combine(rules) -> Column:
     """Concatenate rules in order into one array of findings."""
     rules = list(rules)
@@ -78,10 +94,12 @@ def keys_like(section: Column, terms) -> Column:
 
 def override(first: Column, second: Column) -> Column:
     """Union of two maps; entries of the second replace equal keys of the first."""
-    empty = F.create_map().cast("map<string,string>")
-    first, second = F.coalesce(first, empty), F.coalesce(second, empty)
-    kept = F.map_filter(first, lambda k, v: ~F.map_contains_key(second, k))
-    return F.map_concat(kept, second)
+    def merged(pair):
+        kept = F.map_filter(pair["a"], lambda k, v: ~F.map_contains_key(pair["b"], k))
+        return F.map_concat(kept, pair["b"])
+
+    empty = F.expr("CAST(map() AS MAP<STRING,STRING>)")
+    return let(F.struct(F.coalesce(first, empty).alias("a"), F.coalesce(second, empty).alias("b")), merged)
 
 
 def nonempty(value: Column) -> Column:

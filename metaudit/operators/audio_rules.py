@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from metaudit.functions import constants as K
-from metaudit.functions.findings import Items, contains_any, entries_text, finding, fires, keys_like
+from metaudit.functions.findings import contains_any, finding, fires, keys_like, listing
 from metaudit.functions.numbers import fixed, number, whole
 from metaudit.operators.rulebook import Pack
 
@@ -21,29 +21,24 @@ def audio_unreadable(rec) -> Column:
     ])
 
 
-def _tagged(rule, type_, severity, description, key, entries) -> Column:
-    return fires(F.size(entries) > 0, finding(
-        rule, type_, severity, description, **{key: Items(entries_text(entries))}))
-
-
 @PACK.rule
 def audio_personal(rec) -> Column:
     found = F.map_filter(
         rec.section("tags"),
         lambda k, v: contains_any(k, K.AUDIO_PERSONAL_TERMS) & (F.coalesce(v, F.lit("")) != ""))
-    return _tagged("audio_personal", "privacy", "medium", "Personal information found in audio tags",
+    return listing("audio_personal", "privacy", "medium", "Personal information found in audio tags",
                    "personal_info", found)
 
 
 @PACK.rule
 def audio_geo(rec) -> Column:
-    return _tagged("audio_geo", "privacy", "high", "Geolocation information found in audio tags",
+    return listing("audio_geo", "privacy", "high", "Geolocation information found in audio tags",
                    "geo_info", keys_like(rec.section("tags"), K.AUDIO_GEO_TERMS))
 
 
 @PACK.rule
 def audio_device(rec) -> Column:
-    return _tagged("audio_device", "information", "low", "Recording device/software information found",
+    return listing("audio_device", "information", "low", "Recording device/software information found",
                    "device_info", keys_like(rec.section("tags"), K.AUDIO_DEVICE_TERMS))
 
 
@@ -83,13 +78,13 @@ def audio_pictures(rec) -> Column:
 
 @PACK.rule
 def audio_copyright(rec) -> Column:
-    return _tagged("audio_copyright", "information", "low", "Copyright information found",
+    return listing("audio_copyright", "information", "low", "Copyright information found",
                    "copyright_info", keys_like(rec.section("tags"), K.AUDIO_COPYRIGHT_TERMS))
 
 
 @PACK.rule
 def audio_commercial_ids(rec) -> Column:
-    return _tagged("audio_commercial_ids", "information", "low", "Commercial identifiers found",
+    return listing("audio_commercial_ids", "information", "low", "Commercial identifiers found",
                    "commercial_info", keys_like(rec.section("tags"), K.AUDIO_ID_TERMS))
 
 

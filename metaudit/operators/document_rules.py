@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from metaudit.functions import constants as K
 from metaudit.functions.findings import (
-    Items, entries_text, finding, fires, keep_keys, nonempty, override, truthy,
+    Items, entries_text, finding, fires, fires_on, keep_keys, listing, nonempty, override, truthy,
 )
 from metaudit.operators.rulebook import Pack
 
@@ -18,8 +18,7 @@ def doc_author(rec) -> Column:
     found = override(
         keep_keys(rec.section("document_info"), K.PDF_AUTHOR_KEYS),
         keep_keys(rec.section("document_properties"), K.OFFICE_AUTHOR_KEYS))
-    return fires(F.size(found) > 0, finding(
-        "doc_author", "privacy", "medium", "Author information found", author_fields=Items(entries_text(found))))
+    return listing("doc_author", "privacy", "medium", "Author information found", "author_fields", found)
 
 
 @PACK.rule
@@ -28,8 +27,8 @@ def doc_software(rec) -> Column:
         return F.coalesce(*[nonempty(section[k]) for k in K.DOCUMENT_SOFTWARE_KEYS])
 
     software = F.coalesce(first_of(rec.section("document_properties")), first_of(rec.section("document_info")))
-    return fires(software.isNotNull(), finding(
-        "doc_software", "information", "low", F.concat(F.lit("Document created with "), software), software=software))
+    return fires_on(software, lambda s: s.isNotNull(), lambda s: finding(
+        "doc_software", "information", "low", F.concat(F.lit("Document created with "), s), software=s))
 
 
 @PACK.rule
@@ -41,9 +40,9 @@ def doc_encrypted(rec) -> Column:
 @PACK.rule
 def doc_restricted_permissions(rec) -> Column:
     denied = F.map_filter(rec.section("security")["permissions"], lambda k, v: ~truthy(v))
-    return fires(F.size(denied) > 0, finding(
+    return fires_on(denied, lambda d: F.size(d) > 0, lambda d: finding(
         "doc_restricted_permissions", "security", "low", "Document has restricted permissions",
-        restricted_permissions=Items(F.array_sort(F.map_keys(denied)))))
+        restricted_permissions=Items(F.array_sort(F.map_keys(d)))))
 
 
 @PACK.rule
@@ -58,8 +57,8 @@ def doc_dates(rec) -> Column:
         return F.map_filter(keep_keys(section, K.DOCUMENT_DATE_KEYS), lambda k, v: F.coalesce(v, F.lit("")) != "")
 
     found = override(*[dated(rec.section(s)) for s in SECTIONS])
-    return fires(F.size(found) > 1, finding(
-        "doc_dates", "information", "low", "Document timestamp information", dates=Items(entries_text(found))))
+    return fires_on(found, lambda m: F.size(m) > 1, lambda m: finding(
+        "doc_dates", "information", "low", "Document timestamp information", dates=Items(entries_text(m))))
 
 
 @PACK.rule
@@ -87,9 +86,8 @@ def doc_revisions(rec) -> Column:
 @PACK.rule
 def doc_custom_properties(rec) -> Column:
     custom = rec.section("custom_properties")
-    return fires(F.size(custom) > 0, finding(
-        "doc_custom_properties", "privacy", "low", "Document contains custom properties",
-        custom_properties=Items(entries_text(custom))))
+    return listing("doc_custom_properties", "privacy", "low", "Document contains custom properties",
+                   "custom_properties", custom)
 
 
 @PACK.rule

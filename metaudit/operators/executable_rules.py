@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from metaudit.functions import constants as K
-from metaudit.functions.findings import Items, contains_any, finding, fires, nonempty
+from metaudit.functions.findings import Items, contains_any, finding, fires, fires_on, nonempty
 from metaudit.operators.rulebook import Pack
 
 PACK = Pack("executable", "executable")
@@ -24,9 +24,9 @@ def exe_type(rec) -> Column:
 @PACK.rule
 def exe_high_entropy(rec) -> Column:
     packed = F.filter(_sections(rec), lambda s: s["entropy"] > 7.0)
-    return fires(F.size(packed) > 0, finding(
+    return fires_on(packed, lambda items: F.size(items) > 0, lambda items: finding(
         "exe_high_entropy", "security", "high", "High entropy sections detected (possible packing/encryption)",
-        sections=Items(F.transform(packed, lambda s: s["name"]))))
+        sections=Items(F.transform(items, lambda s: s["name"]))))
 
 
 @PACK.rule
@@ -45,9 +45,9 @@ def exe_suspicious_imports(rec) -> Column:
     named = F.filter(rec.section("imports"), lambda d: d["name"].isNotNull())
     none = F.array().cast("array<string>")
     found = F.concat(F.coalesce(libraries, none), F.coalesce(F.flatten(F.transform(named, of_import)), none))
-    return fires(F.size(found) > 0, finding(
+    return fires_on(found, lambda items: F.size(items) > 0, lambda items: finding(
         "exe_suspicious_imports", "security", "high", "Potentially suspicious libraries or imports detected",
-        suspicious_items=Items(found)))
+        suspicious_items=Items(items)))
 
 
 @PACK.rule
@@ -77,8 +77,8 @@ def exe_compile_time(rec) -> Column:
 def exe_section_names(rec) -> Column:
     # every standard name starts with a dot, so the dot test alone decides
     odd = F.filter(F.transform(_sections(rec), lambda s: s["name"]), lambda n: ~n.startswith("."))
-    return fires(F.size(odd) > 0, finding(
-        "exe_section_names", "security", "medium", "Non-standard section names detected", sections=Items(odd)))
+    return fires_on(odd, lambda items: F.size(items) > 0, lambda items: finding(
+        "exe_section_names", "security", "medium", "Non-standard section names detected", sections=Items(items)))
 
 
 @PACK.rule
@@ -90,28 +90,28 @@ def exe_dotnet(rec) -> Column:
 @PACK.rule
 def exe_resources(rec) -> Column:
     found = F.filter(rec.section("resources"), lambda r: r.isin(K.SUSPICIOUS_RESOURCES))
-    return fires(F.size(found) > 0, finding(
+    return fires_on(found, lambda items: F.size(items) > 0, lambda items: finding(
         "exe_resources", "security", "medium", "Potentially suspicious resources embedded in executable",
-        resources=Items(found)))
+        resources=Items(items)))
 
 
 @PACK.rule
 def exe_shared_libs(rec) -> Column:
     linked = F.transform(
         F.filter(rec.section("dynamic"), lambda d: d["type"] == "shared_library"), lambda d: d["name"])
-    return fires(F.size(linked) > 0, finding(
+    return fires_on(linked, lambda items: F.size(items) > 0, lambda items: finding(
         "exe_shared_libs", "information", "low",
-        F.concat(F.lit("Executable dynamically links to "), F.size(linked), F.lit(" libraries")),
-        libraries=Items(F.slice(linked, 1, 10))))
+        F.concat(F.lit("Executable dynamically links to "), F.size(items), F.lit(" libraries")),
+        libraries=Items(F.slice(items, 1, 10))))
 
 
 @PACK.rule
 def exe_rpath(rec) -> Column:
     paths = F.transform(
         F.filter(rec.section("dynamic"), lambda d: d["type"].isin("DT_RPATH", "DT_RUNPATH")), lambda d: d["value"])
-    return fires(F.size(paths) > 0, finding(
+    return fires_on(paths, lambda items: F.size(items) > 0, lambda items: finding(
         "exe_rpath", "security", "medium", "Executable uses custom library search paths (RPATH/RUNPATH)",
-        paths=Items(paths)))
+        paths=Items(items)))
 
 
 @PACK.rule

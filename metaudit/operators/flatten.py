@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metaudit.functions.findings import let
+
 # Each round opens one nesting level of every entry. The number of rounds is the nesting
 # depth of the row itself, read from the brackets of its JSON text outside of strings.
 _STRINGS = r'"(?:[^"\\]|\\.)*+"'
@@ -20,11 +22,6 @@ def nesting_depth(variant: Column) -> Column:
     return walked["top"]
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once per row, however often the body reads it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _kind(v: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(v), r"\A\w+", 0)
 

@@ -4,17 +4,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from metaudit.functions import constants as K
-from metaudit.functions.findings import Items, contains_any, entries_text, finding, fires, keep_keys, override
+from metaudit.functions.findings import contains_any, finding, fires, fires_on, keep_keys, listing, override
 from metaudit.operators.rulebook import Pack
 
 PACK = Pack("image", "image")
 
 
-def _listed(rule, type_, severity, description, key, entries) -> Column:
-    return fires(F.size(entries) > 0, finding(
-        rule, type_, severity, description, **{key: Items(entries_text(entries))}))
-
-
 @PACK.rule
 def image_gps(rec) -> Column:
     exif = rec.section("exif")
@@ -26,20 +21,20 @@ def image_gps(rec) -> Column:
 @PACK.rule
 def image_device(rec) -> Column:
     found = override(*[keep_keys(rec.section(s), K.IMAGE_DEVICE_KEYS) for s in ("exif", "basic")])
-    return _listed("image_device", "privacy", "medium", "Device/software information found", "device_info", found)
+    return listing("image_device", "privacy", "medium", "Device/software information found", "device_info", found)
 
 
 @PACK.rule
 def image_dates(rec) -> Column:
     found = override(*[keep_keys(rec.section(s), K.IMAGE_DATE_KEYS) for s in ("exif", "iptc")])
-    return _listed("image_dates", "information", "low",
+    return listing("image_dates", "information", "low",
                    "Image creation/modification timestamps found", "dates", found)
 
 
 @PACK.rule
 def image_contact(rec) -> Column:
     found = keep_keys(rec.section("iptc"), K.IPTC_CONTACT_KEYS)
-    return _listed("image_contact", "privacy", "medium",
+    return listing("image_contact", "privacy", "medium",
                    "Creator/contact information found in IPTC data", "contact_info", found)
 
 
@@ -49,12 +44,13 @@ def image_edited(rec) -> Column:
         # presence decides, so a present-but-null value still stops the search
         return F.filter(F.array(*map(F.lit, K.EDITOR_KEYS)), lambda k: F.map_contains_key(section, k))
 
+    def software(section):
+        return F.try_element_at(section, F.get(first_editor(section), F.lit(0)))
+
     exif, xmp = rec.section("exif"), rec.section("xmp")
-    in_exif, in_xmp = first_editor(exif), first_editor(xmp)
-    software = F.when(F.size(in_xmp) > 0, F.try_element_at(xmp, F.get(in_xmp, F.lit(0)))) \
-        .otherwise(F.try_element_at(exif, F.get(in_exif, F.lit(0))))
-    return fires(contains_any(software, K.EDITOR_NAMES), finding(
-        "image_edited", "authenticity", "medium", F.concat(F.lit("Image edited with "), software), software=software))
+    used = F.when(F.size(first_editor(xmp)) > 0, software(xmp)).otherwise(software(exif))
+    return fires_on(used, lambda s: contains_any(s, K.EDITOR_NAMES), lambda s: finding(
+        "image_edited", "authenticity", "medium", F.concat(F.lit("Image edited with "), s), software=s))
 
 
 @PACK.rule

@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from metaudit.functions import constants as K
-from metaudit.functions.findings import Items, contains_any, entries_text, finding, fires, keys_like
+from metaudit.functions.findings import Items, contains_any, finding, fires, fires_on, keys_like, listing
 from metaudit.functions.numbers import fixed, number, whole
 from metaudit.operators.rulebook import Pack
 
@@ -40,9 +40,9 @@ def video_resolution(rec) -> Column:
 def video_aspect(rec) -> Column:
     width, height = _size(rec)
     ratio = F.when((width > 0) & (height > 0), F.try_divide(width, height))
-    return fires((ratio < 0.5) | (ratio > 3.0), finding(
+    return fires_on(ratio, lambda r: (r < 0.5) | (r > 3.0), lambda r: finding(
         "video_aspect", "information", "low",
-        F.concat(F.lit("Unusual aspect ratio: "), fixed(ratio, 2)), aspect_ratio=ratio))
+        F.concat(F.lit("Unusual aspect ratio: "), fixed(r, 2)), aspect_ratio=r))
 
 
 @PACK.rule
@@ -67,9 +67,7 @@ def video_timestamps(rec) -> Column:
 
 def _properties(rule, type_, severity, description, key, terms):
     def build(rec) -> Column:
-        found = keys_like(rec.section("video_properties"), terms)
-        return fires(F.size(found) > 0, finding(
-            rule, type_, severity, description, **{key: Items(entries_text(found))}))
+        return listing(rule, type_, severity, description, key, keys_like(rec.section("video_properties"), terms))
 
     build.__name__ = rule
     return PACK.rule(build)
@@ -97,11 +95,10 @@ def video_languages(rec) -> Column:
     streams = rec.section("audio_streams")
     spoken = F.transform(streams, lambda s: F.when(
         F.map_contains_key(s["tags"], "language"), s["tags"]["language"]).otherwise(s["language"]))
-    languages = F.array_sort(F.array_distinct(F.array_compact(spoken)))
-    return fires((F.size(streams) > 1) & (F.size(languages) > 1), finding(
+    languages = F.when(F.size(streams) > 1, F.array_sort(F.array_distinct(F.array_compact(spoken))))
+    return fires_on(languages, lambda found: F.size(found) > 1, lambda found: finding(
         "video_languages", "information", "low",
-        F.concat(F.lit("Multiple languages in audio streams: "), F.array_join(languages, ", ")),
-        languages=Items(languages)))
+        F.concat(F.lit("Multiple languages in audio streams: "), F.array_join(found, ", ")), languages=Items(found)))
 
 
 @PACK.rule
