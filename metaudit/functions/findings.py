@@ -73,7 +73,7 @@ def combine(rules) -> Column:
 
 def entries_text(entries: Column) -> Column:
     """``key: value`` strings of a map, in key order."""
-    return F.array_sort(
+    return F.sort_array(
         F.transform(F.map_entries(entries), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("None"))))
     )
 

@@ -143,7 +143,7 @@ def match_rules(df: DataFrame, entries: Column, rules: list, into: str = "findin
         def test(e):
             wanted = e["value"].rlike(rule["regex"])
             return wanted & e["field"].like(rule["field_like"]) if rule.get("field_like") else wanted
-        return F.array_sort(F.transform(F.filter(entries, test), lambda e: e["field"]))
+        return F.sort_array(F.transform(F.filter(entries, test), lambda e: e["field"]))
 
     names = [f"_u_{i}" for i in range(len(rules))]
     matched = df.withColumns({n: hits(r) for n, r in zip(names, rules)})

@@ -51,13 +51,11 @@ def _variant(df: DataFrame) -> Column:
 
 def compare_basic(df: DataFrame, group: str, file: str = "file_path") -> DataFrame:
     """File type, MIME type and size of each file of a group."""
-    long = df.select(*_keys(group, file), basic_entries().alias("_e"))
-    return long.select("group_id", "file_id", F.inline("_e"))
+    return df.select(*_keys(group, file), F.inline(basic_entries()))
 
 
 def compare_timestamps(df: DataFrame, group: str, file: str = "file_path") -> DataFrame:
-    long = df.select(*_keys(group, file), time_entries().alias("_e"))
-    return long.select("group_id", "file_id", F.inline("_e"))
+    return df.select(*_keys(group, file), F.inline(time_entries()))
 
 
 def compare_hashes(df: DataFrame, group: str, file: str = "file_path") -> DataFrame:
@@ -67,7 +65,7 @@ def compare_hashes(df: DataFrame, group: str, file: str = "file_path") -> DataFr
     """
     rows = df.select(*_keys(group, file), "hashes")
     kinds = (rows.select("group_id", F.explode(F.map_keys("hashes")).alias("kind"))
-             .groupBy("group_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds")))
+             .groupBy("group_id").agg(F.sort_array(F.collect_set("kind")).alias("kinds")))
     joined = rows.join(kinds, "group_id")
     return joined.select("group_id", "file_id", F.lit("hashes").alias("section"), F.explode("kinds").alias("field"),
                          "hashes").select(
@@ -75,8 +73,7 @@ def compare_hashes(df: DataFrame, group: str, file: str = "file_path") -> DataFr
 
 
 def _metadata_long(df: DataFrame, group: str, file: str) -> DataFrame:
-    opened = df.select(*_keys(group, file), metadata_entries(_variant(df)).alias("_e"))
-    return opened.select("group_id", "file_id", F.inline("_e"))
+    return df.select(*_keys(group, file), F.inline(metadata_entries(_variant(df))))
 
 
 def _spread(long: DataFrame) -> DataFrame:
@@ -104,8 +101,7 @@ def comparison_status(df: DataFrame, group: str, file: str = "file_path") -> Dat
     sections = [basic_entries(), time_entries(), hash_entries()]
     if "metadata" in df.columns:
         sections.append(metadata_entries(_variant(df)))
-    long = df.select(*_keys(group, file), F.concat(*sections).alias("_e")).select(
-        "group_id", "file_id", F.inline("_e"))
+    long = df.select(*_keys(group, file), F.inline(F.concat(*sections)))
     spread = _spread(long).where("section <> 'metadata_fields' OR n_values > 1")
     same = F.coalesce(F.col("_low") == F.col("_high"), F.lit(False))
     return spread.select(

@@ -42,7 +42,7 @@ def doc_restricted_permissions(rec) -> Column:
     denied = F.map_filter(rec.section("security")["permissions"], lambda k, v: ~truthy(v))
     return fires_on(denied, lambda d: F.size(d) > 0, lambda d: finding(
         "doc_restricted_permissions", "security", "low", "Document has restricted permissions",
-        restricted_permissions=Items(F.array_sort(F.map_keys(d)))))
+        restricted_permissions=Items(F.sort_array(F.map_keys(d)))))
 
 
 @PACK.rule

@@ -132,12 +132,11 @@ def _as_variant(df: DataFrame, column: str) -> Column:
 
 def flatten_metadata(df: DataFrame, key: str, column: str = "metadata") -> DataFrame:
     """Long table ``(key, field, value)`` of the flattened metadata (JSON text or VARIANT)."""
-    opened = df.select(key, _as_variant(df, column).alias("_v")).select(key, flatten_entries(F.col("_v")).alias("_e"))
-    return opened.select(key, F.inline("_e"))
+    return df.select(key, _as_variant(df, column).alias("_v")).select(key, F.inline(flatten_entries(F.col("_v"))))
 
 
 def flatten_for_compare(df: DataFrame, key, column: str = "metadata") -> DataFrame:
     """Long table ``(key, field, value)`` for comparison: lists whole, nulls kept."""
     keys = [key] if isinstance(key, str) else list(key)
     opened = df.select(*keys, _as_variant(df, column).alias("_v"))
-    return opened.select(*keys, compare_entries(F.col("_v")).alias("_e")).select(*keys, F.inline("_e"))
+    return opened.select(*keys, F.inline(compare_entries(F.col("_v"))))

@@ -144,7 +144,7 @@ def archive_has_executables(rec) -> Column:
         lambda ext, n: F.lower(ext).isin(K.ARCHIVE_EXECUTABLE_EXTENSIONS))
     return fires(F.size(found) > 0, finding(
         "archive_has_executables", "security", "medium", "Archive contains executable files",
-        executables=Items(F.array_sort(F.transform(
+        executables=Items(F.sort_array(F.transform(
             F.map_entries(found), lambda e: F.concat(e["key"], F.lit(": "), e["value"].cast("string")))))))
 
 

@@ -27,7 +27,7 @@ def _matches(entries: Column, pattern: str, group: int, guard) -> Column:
     """Sorted distinct matches over the values that pass the guard."""
     values = F.filter(F.transform(entries, lambda e: e["value"]), guard)
     found = F.transform(values, lambda v: F.regexp_extract_all(v, F.lit(UNICODE + pattern), F.lit(group)))
-    return F.array_sort(F.array_distinct(F.flatten(found)))
+    return F.sort_array(F.array_distinct(F.flatten(found)))
 
 
 def gps_term_matches(entries: Column) -> Column:
@@ -117,7 +117,7 @@ DETECTORS = {
     "ip_addresses": (ip_matches, _counted("ip_addresses", "privacy", "medium", "IP addresses", "ip_addresses")),
     "credit_cards": (card_matches, _counted(
         "credit_cards", "privacy", "high", "potential credit card numbers", "credit_cards",
-        lambda m: F.array_sort(F.transform(m, mask_card)))),
+        lambda m: F.sort_array(F.transform(m, mask_card)))),
     "api_keys": (api_key_matches, _counted(
         "api_keys", "security", "high", "potential API keys or tokens", "api_keys")),
     "urls": (url_matches, _counted("urls", "information", "low", "URLs", "urls")),

@@ -19,10 +19,16 @@ def evidence_text(evidence: Column) -> Column:
 
 
 def explode_findings(df: DataFrame, *keys: str) -> DataFrame:
-    """One row per finding: keys, rule, type, severity, description, data text."""
-    exploded = df.select(*keys, F.explode("findings").alias("_f"))
-    return exploded.select(
-        *keys, "_f.rule", "_f.type", "_f.severity", "_f.description", evidence_text(F.col("_f.evidence")).alias("data"))
+    """One row per finding: keys, rule, type, severity, description, data text.
+
+    The generator reads an expression, not the bare column: for a bare column the optimizer
+    adds a ``size(findings) > 0`` filter and pushes it to the scan with every rule inside,
+    which would evaluate all rules twice.
+    """
+    rendered = F.transform("findings", lambda f: F.struct(
+        f["rule"].alias("rule"), f["type"].alias("type"), f["severity"].alias("severity"),
+        f["description"].alias("description"), evidence_text(f["evidence"]).alias("data")))
+    return df.select(*keys, F.inline(rendered))
 
 
 def findings_report(df: DataFrame) -> DataFrame:
@@ -39,13 +45,13 @@ def findings_report(df: DataFrame) -> DataFrame:
         F.coalesce(F.col("hashes")["sha256"], F.lit("")).alias("sha256"))
 
 
-def _count(findings: Column, test) -> Column:
-    return F.size(F.filter(findings, test))
+def _of_severity(findings: Column, severity: str) -> Column:
+    return F.size(F.filter(findings, lambda f: F.lower(f["severity"]) == severity))
 
 
 def severity_counts(findings: Column) -> dict:
     """high / medium / low / other / total as Columns; case-insensitive."""
-    counts = {s: _count(findings, lambda f, s=s: F.lower(f["severity"]) == s) for s in K.SEVERITIES}
+    counts = {s: _of_severity(findings, s) for s in K.SEVERITIES}
     total = F.size(findings)
     counts["other"] = total - sum(list(counts.values())[1:], counts["high"])
     counts["total"] = total
@@ -69,7 +75,7 @@ def file_report(df: DataFrame, include_metadata: bool = True) -> DataFrame:
     counts = severity_counts(findings)
     types = F.transform(findings, lambda f: F.lower(f["type"]))
     by_type = F.map_from_entries(F.transform(
-        F.array_sort(F.array_distinct(types)),
+        F.sort_array(F.array_distinct(types)),
         lambda t: F.struct(t.alias("key"), F.size(F.filter(types, lambda x: x == t)).alias("value"))))
     details = F.transform(findings, lambda f: F.struct(
         f["type"].alias("type"), f["description"].alias("description"), f["severity"].alias("severity"),
@@ -122,7 +128,7 @@ def ranked_findings(df: DataFrame, *keys: str) -> DataFrame:
         severity_rank(f["severity"]).alias("rank"), i.alias("position"),
         F.struct(f["rule"].alias("rule"), f["type"].alias("type"), f["severity"].alias("severity"),
                  f["description"].alias("description")).alias("finding")))
-    rows = df.select(*keys, F.posexplode(F.array_sort(numbered)).alias("_pos", "_f"))
+    rows = df.select(*keys, F.posexplode(F.sort_array(numbered)).alias("_pos", "_f"))
     return rows.select(*keys, (F.col("_pos") + 1).alias("rank"), "_f.finding.rule", "_f.finding.type",
                        "_f.finding.severity", "_f.finding.description")
 
@@ -139,8 +145,9 @@ def evidence_sample(evidence: Column) -> Column:
 
 
 def evidence_samples(df: DataFrame, *keys: str) -> DataFrame:
-    rows = df.select(*keys, F.explode("findings").alias("_f"))
-    return rows.select(*keys, "_f.rule", F.array_join(evidence_sample(F.col("_f.evidence")), "\n").alias("sample"))
+    lines = F.transform("findings", lambda f: F.struct(
+        f["rule"].alias("rule"), F.array_join(evidence_sample(f["evidence"]), "\n").alias("sample")))
+    return df.select(*keys, F.inline(lines))
 
 
 def file_risk(df: DataFrame, *keys: str) -> DataFrame:

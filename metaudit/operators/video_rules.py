@@ -55,7 +55,7 @@ def video_bitrate(rec) -> Column:
 
 def _per_key(entries: Column, build) -> Column:
     """One finding per map entry, in key order."""
-    return F.transform(F.array_sort(F.map_entries(entries)), build)
+    return F.transform(F.sort_array(F.map_entries(entries)), build)
 
 
 @PACK.rule
@@ -95,7 +95,7 @@ def video_languages(rec) -> Column:
     streams = rec.section("audio_streams")
     spoken = F.transform(streams, lambda s: F.when(
         F.map_contains_key(s["tags"], "language"), s["tags"]["language"]).otherwise(s["language"]))
-    languages = F.when(F.size(streams) > 1, F.array_sort(F.array_distinct(F.array_compact(spoken))))
+    languages = F.when(F.size(streams) > 1, F.sort_array(F.array_distinct(F.array_compact(spoken))))
     return fires_on(languages, lambda found: F.size(found) > 1, lambda found: finding(
         "video_languages", "information", "low",
         F.concat(F.lit("Multiple languages in audio streams: "), F.array_join(found, ", ")), languages=Items(found)))
