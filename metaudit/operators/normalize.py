@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from metaudit.functions import constants as K
-from metaudit.functions.findings import override
+from metaudit.functions.findings import let, override
 from metaudit.functions.numbers import number, whole
 from metaudit.operators.classify import lookup
 
@@ -17,9 +17,13 @@ def _empty_map() -> Column:
 
 def _rebuild(pairs: Column) -> Column:
     """Map from (key, value) structs; the last of equal keys wins."""
-    keys = F.transform(pairs, lambda p: p["key"])
-    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["key"]))
-    return F.map_from_entries(last)
+    def last_of(both):
+        return F.map_from_entries(F.filter(both["pairs"], lambda p, i: ~F.array_contains(
+            F.slice(both["keys"], i + 2, F.size(both["keys"])), p["key"])))
+
+    with_keys = let(pairs, lambda ps: F.struct(
+        ps.alias("pairs"), F.transform(ps, lambda p: p["key"]).alias("keys")))
+    return let(with_keys, last_of)
 
 
 def _rename(section: Column, name) -> Column:
@@ -88,7 +92,10 @@ def _number_text(value: Column) -> Column:
 
 def probe_json_normalize(json: Column) -> Column:
     """ffprobe JSON -> video_properties, audio_streams, subtitle_streams."""
-    probe = F.from_json(json, PROBE_DDL)
+    return let(F.from_json(json, PROBE_DDL), _probe_sections)
+
+
+def _probe_sections(probe: Column) -> Column:
     container, streams = probe["format"], F.coalesce(probe["streams"], F.array().cast(
         "array<struct<codec_type:string,codec_name:string,width:bigint,height:bigint,r_frame_rate:string,"
         "pix_fmt:string,sample_rate:string,channels:bigint,bit_rate:string,tags:map<string,string>>>"))
@@ -126,7 +133,10 @@ AUDIO_KEYS = ["Language", "Title", "Default", "Forced"]
 
 def mediainfo_json_normalize(json: Column) -> Column:
     """mediainfo JSON -> the same three sections."""
-    parsed = F.from_json(json, "media STRUCT<track: ARRAY<MAP<STRING,STRING>>>")
+    return let(F.from_json(json, "media STRUCT<track: ARRAY<MAP<STRING,STRING>>>"), _mediainfo_sections)
+
+
+def _mediainfo_sections(parsed: Column) -> Column:
     tracks = F.coalesce(parsed["media"]["track"], F.array().cast("array<map<string,string>>"))
 
     def of_type(kind):

@@ -166,7 +166,7 @@ def _part_json(spark, sf_dir):
     json = F.to_json(F.struct(
         F.struct(F.col("name"), F.struct("size", "flag").alias("deep")).alias("basic"),
         F.array("kind", "name").alias("words"),
-        F.array(F.struct(F.col("size").alias("w")), F.struct(F.col("kind").alias("k"))).alias("pages"),
+        F.array(F.struct(F.col("size").alias("w"), F.col("kind").alias("k")), F.struct(F.lit(1).alias("w"), F.col("name").alias("k"))).alias("pages"),
         F.col("note"), F.array().cast("array<string>").alias("empty")), {"ignoreNullFields": "false"})
     return rows.select("id", json.alias("metadata"))
 
@@ -180,7 +180,7 @@ _TRUE = "CASE WHEN flag THEN 'True' ELSE 'False' END"
 
 @register("flatten_metadata", _fields([
     ("basic.name", "name"), ("basic.deep.size", "CAST(size AS VARCHAR)"), ("basic.deep.flag", _TRUE),
-    ("words", "kind || ', ' || name"), ("pages.0.w", "CAST(size AS VARCHAR)"), ("pages.1.k", "kind"),
+    ("words", "kind || ', ' || name"), ("pages.0.w", "CAST(size AS VARCHAR)"), ("pages.0.k", "kind"), ("pages.1.w", "'1'"), ("pages.1.k", "name"),
     ("note", "coalesce(note, '')"), ("empty", "''")]))
 def flatten(spark, sf_dir):
     return flatten_metadata(_part_json(spark, sf_dir), "id")
@@ -188,7 +188,7 @@ def flatten(spark, sf_dir):
 
 @register("flatten_for_compare", _fields([
     ("basic.name", "name"), ("basic.deep.size", "CAST(size AS VARCHAR)"), ("basic.deep.flag", _TRUE),
-    ("words", "'[\"' || kind || '\",\"' || name || '\"]'"), ("pages", "'[{\"w\":' || size || '},{\"k\":\"' || kind || '\"}]'"),
+    ("words", "'[\"' || kind || '\",\"' || name || '\"]'"), ("pages", "'[{\"k\":\"' || kind || '\",\"w\":' || size || '},{\"k\":\"' || name || '\",\"w\":1}]'"),
     ("note", "note"), ("empty", "'[]'")]))
 def flatten_compare(spark, sf_dir):
     return flatten_for_compare(_part_json(spark, sf_dir), "id")
@@ -204,7 +204,7 @@ def flatten_event_props(spark, sf_dir):
 CUSTOMERS = {
     "group_key": "c_nationkey", "file_path": "c_name",
     "file_type": "CASE WHEN c_nationkey % 2 = 0 THEN 'document' ELSE c_mktsegment END", "mime_type": "c_mktsegment",
-    "file_size": "CAST(c_acctbal AS BIGINT)",
+    "file_size": "CAST(floor(c_acctbal) AS BIGINT)",
     "creation_time": "CASE WHEN c_nationkey % 3 = 0 THEN NULL ELSE '2020-01-01' END",
     "modification_time": "CASE WHEN c_custkey % 5 = 0 THEN '2021-01-01' END", "access_time": "c_mktsegment",
     "custkey": "c_custkey", "author": "CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END",
