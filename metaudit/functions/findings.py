@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 
 from metaudit.schema import FINDING
 
-NO_FINDINGS = F.lit(None).cast(T.ArrayType(FINDING))
+
+def no_findings() -> Column:
+    return F.lit(None).cast(T.ArrayType(FINDING))
 
 
 def text(value) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metaudit.functions.findings import NO_FINDINGS, Items, combine, finding, fires
+from metaudit.functions.findings import Items, combine, finding, fires, no_findings
 from metaudit.operators import (
     audio_rules, document_rules, executable_rules, generic_rules, image_rules, pattern_rules, video_rules,
 )
@@ -77,8 +77,7 @@ def _clock(df: DataFrame, now: Column | None) -> DataFrame:
 
 def run_pack(df: DataFrame, pack: Pack, now: Column | None = None, into: str = "findings") -> DataFrame:
     """Findings of one pack over record columns."""
-    found = F.coalesce(_pack_findings(pack, Record()), NO_FINDINGS)
-    return _clock(conform(df), now).withColumn(into, found).drop("_now")
+    return _clock(conform(df), now).withColumn(into, _pack_findings(pack, Record())).drop("_now")
 
 
 def run_rule(df: DataFrame, rule, now: Column | None = None, into: str = "findings") -> DataFrame:
@@ -109,7 +108,7 @@ def audit(df: DataFrame, now: Column | None = None, text_fields=(), skip_analysi
     no metadata. ``now`` is the clock for future timestamps. No shuffle; works on a stream.
     """
     if skip_analysis:
-        return conform(df) if "findings" in df.columns else conform(df).withColumn("findings", NO_FINDINGS)
+        return conform(df) if "findings" in df.columns else conform(df).withColumn("findings", no_findings())
     packs = list(PACKS) + list(CUSTOM.values())
     if "metadata" not in df.columns:
         packs = [p for p in packs if p.file_type is None or p.name in CUSTOM]

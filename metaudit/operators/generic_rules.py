@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metaudit.functions import constants as K
-from metaudit.functions.findings import Items, finding, fires
+from metaudit.functions.findings import Items, finding, fires, fires_on, let
 from metaudit.functions.numbers import fixed
 from metaudit.operators.rulebook import Pack
 
@@ -31,17 +31,15 @@ def _given(value: Column) -> Column:
     return F.coalesce(value, F.lit("")) != ""
 
 
-def _both(rec) -> Column:
-    return _given(rec.times["creation_time"]) & _given(rec.times["modification_time"])
-
-
 def _readable(rec, stamps: Column) -> Column:
-    """The stamps judged before the first unreadable one stops the check."""
+    """The stamps judged before the first unreadable one stops the check.
+
+    When creation and modification are both given they are compared first, so one of them
+    being unreadable stops everything.
+    """
     first_bad = F.array_position(F.transform(stamps, lambda s: s["at"].isNull()), F.lit(True))
-    stopped_early = _both(rec) & (
-        parse_time(rec.times["creation_time"]).isNull() | parse_time(rec.times["modification_time"]).isNull()
-    )
-    count = F.when(stopped_early, 0).when(first_bad == 0, F.size(stamps)).otherwise(first_bad - 1)
+    both_given = _given(rec.times["creation_time"]) & _given(rec.times["modification_time"])
+    count = F.when(both_given & first_bad.between(1, 2), 0).when(first_bad == 0, F.size(stamps)).otherwise(first_bad - 1)
     return F.when(F.size(stamps) >= 2, F.slice(stamps, F.lit(1), count.cast("int")))
 
 
@@ -61,7 +59,7 @@ def created_after_modified(rec) -> Column:
 
 @PACK.rule
 def future_timestamp(rec) -> Column:
-    late = F.filter(_readable(rec, _stamps(rec)), lambda s: s["at"] > rec.now)
+    late = F.filter(let(_stamps(rec), lambda stamps: _readable(rec, stamps)), lambda s: s["at"] > rec.now)
     return F.transform(late, lambda s: finding(
         "future_timestamp", "consistency", "medium",
         F.concat(F.lit("File "), s["name"], F.lit(" is in the future")), timestamp=s["raw"]))
@@ -69,9 +67,10 @@ def future_timestamp(rec) -> Column:
 
 @PACK.rule
 def very_old_timestamp(rec) -> Column:
-    stamps = _stamps(rec)
-    readable = F.when(~F.exists(stamps, lambda s: s["at"].isNull()), _readable(rec, stamps))
-    old = F.filter(readable, lambda s: F.year(s["at"]) < 2000)
+    def judged(stamps):
+        return F.when((F.size(stamps) >= 2) & ~F.exists(stamps, lambda s: s["at"].isNull()), stamps)
+
+    old = F.filter(let(_stamps(rec), judged), lambda s: F.year(s["at"]) < 2000)
     return F.transform(old, lambda s: finding(
         "very_old_timestamp", "information", "low",
         F.concat(F.lit("File "), s["name"], F.lit(" is very old")), timestamp=s["raw"]))
@@ -79,11 +78,12 @@ def very_old_timestamp(rec) -> Column:
 
 @PACK.rule
 def bad_timestamp(rec) -> Column:
-    stamps = _stamps(rec)
-    bad = F.filter(stamps, lambda s: s["at"].isNull())
-    return fires((F.size(stamps) >= 2) & (F.size(bad) > 0), finding(
+    def first_bad(stamps):
+        return F.when(F.size(stamps) >= 2, F.get(F.filter(stamps, lambda s: s["at"].isNull()), F.lit(0))["raw"])
+
+    return fires_on(let(_stamps(rec), first_bad), lambda raw: raw.isNotNull(), lambda raw: finding(
         "bad_timestamp", "error", "low", "Error analyzing timestamps",
-        error=F.concat(F.lit("Invalid isoformat string: "), F.get(bad, F.lit(0))["raw"]), timestamps=_raw_times(rec)))
+        error=F.concat(F.lit("Invalid isoformat string: "), raw), timestamps=_raw_times(rec)))
 
 
 @PACK.rule

@@ -11,7 +11,7 @@ from metaudit.operators import archive, classify, generic_rules
 from metaudit.operators import pattern_rules as P
 from metaudit.operators.audit import run_rule
 from metaudit.operators.report import explode_findings, file_report, findings_report
-from metaudit.plans.base import as_json, choose, derive, derive_sql, in_list, quoted, register, table
+from metaudit.plans.base import as_json, choose, derive, derive_sql, in_list, quoted, register, spread_table, table
 from metaudit.plans.text import DETECTOR_SQL
 from metaudit.plans.typed import rule_sql
 from metaudit.sources import files as S
@@ -110,7 +110,7 @@ _SINK_FINDINGS = " UNION ALL ".join(DETECTOR_SQL[d](_FOUND_SQL, "secret_note") f
 
 
 def _audited(spark, sf_dir):
-    rows = derive(table(spark, sf_dir, "documents"), FOUND)
+    rows = derive(spread_table(spark, sf_dir, "documents"), FOUND)
     found = P.detect(rows, ["secret_note"], SINK_DETECTORS)
     return found.select(
         "id", "file_path", F.lit("other").alias("file_type"), "file_size", F.lit("text/plain").alias("mime_type"),
@@ -250,7 +250,7 @@ _UNIFIED = "regexp_replace(text, '\\r\\n?', chr(10), 'g')"
           "AS line_count, len(regexp_extract_all(t, '[^\\s\\x0B\\x1C-\\x1F\\x{85}\\x{A0}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{3000}]+')) "
           f"AS word_count, len(t) AS character_count FROM (SELECT doc_id, {_UNIFIED} AS t FROM documents)")
 def text_stats(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", classify.text_stats(F.col("text")).alias("s"))
+    rows = spread_table(spark, sf_dir, "documents").select("doc_id", classify.text_stats(F.col("text")).alias("s"))
     return rows.select("doc_id", "s.line_count", "s.word_count", "s.character_count")
 
 
@@ -324,7 +324,7 @@ _STAMP_RULES = {
 def _stamped(rule):
     @register(rule, rule_sql(_STAMPS_SQL, rule, *_STAMP_RULES[rule]))
     def run(spark, sf_dir):
-        joined = table(spark, sf_dir, "lineitem").join(
+        joined = spread_table(spark, sf_dir, "lineitem").join(
             table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         records = derive(joined, STAMPS)
         now = F.lit(NOW).cast("timestamp_ntz")
@@ -377,7 +377,7 @@ def _sized_records(spark, sf_dir):
                  F.expr("map_filter(map('.exe', n_exe, '.dll', n_dll, '.txt', 5L), (k, v) -> v > 0)").alias("extensions"))
         .alias("archive_info"),
         F.struct(F.col("encoding"), F.col("lines").alias("line_count")).alias("text_info"))
-    rows = derive(table(spark, sf_dir, "documents"), SIZED)
+    rows = derive(spread_table(spark, sf_dir, "documents"), SIZED)
     return rows.select("id", "file_path", "file_size", "mime_type", F.create_map(F.lit("md5"), "md5").alias("hashes"),
                        as_json(metadata))
 

@@ -9,7 +9,7 @@ from metaudit.operators import pattern_rules as P
 from metaudit.operators.audit import audit
 from metaudit.operators.classify import classify_file_type, record_errors
 from metaudit.operators.flatten import flatten_for_compare, flatten_metadata
-from metaudit.plans.base import choose, derive, derive_sql, quoted, register, section, table
+from metaudit.plans.base import choose, derive, derive_sql, quoted, register, section, spread_table, table
 from metaudit.plans.files import FILES, FILES_SQL, _TYPE_SQL
 from metaudit.plans.text import DETECTOR_SQL, patterns_sql
 
@@ -22,7 +22,7 @@ ORDER_SQL = "CASE rule " + " ".join(f"WHEN '{d}' THEN {i}" for i, d in enumerate
 
 def audited(spark, sf_dir):
     """Documents with detector findings and a file type."""
-    rows = derive(table(spark, sf_dir, "documents"), DOCS)
+    rows = derive(spread_table(spark, sf_dir, "documents"), DOCS)
     found = P.detect(rows, ["secret_note"], DETECTORS)
     return found.withColumns({
         "file_type": classify_file_type(F.col("file_path")),
@@ -141,7 +141,7 @@ def findings_filter(spark, sf_dir):
           ") GROUP BY rule, severity")
 def audit_records(spark, sf_dir):
     """Mixed records with JSON metadata through routing, type packs, generic rules and detectors."""
-    rows = derive(table(spark, sf_dir, "documents"), {**FILES, "text": "text", "lang": "lang"})
+    rows = derive(spread_table(spark, sf_dir, "documents"), {**FILES, "text": "text", "lang": "lang"})
     metadata = F.to_json(F.struct(
         F.struct(F.col("text").alias("secret_note")).alias("content"),
         F.struct(F.col("lang").alias("author")).alias("document_properties"),
@@ -162,7 +162,7 @@ _PARTS_SQL = derive_sql("part", PARTS)
 
 
 def _part_json(spark, sf_dir):
-    rows = derive(table(spark, sf_dir, "part"), PARTS)
+    rows = derive(spread_table(spark, sf_dir, "part"), PARTS)
     json = F.to_json(F.struct(
         F.struct(F.col("name"), F.struct("size", "flag").alias("deep")).alias("basic"),
         F.array("kind", "name").alias("words"),

@@ -7,7 +7,7 @@ from metaudit.operators import audit as audit_ops
 from metaudit.operators import pattern_rules as P
 from metaudit.operators import redact
 from metaudit.operators.report import explode_findings
-from metaudit.plans.base import derive, derive_sql, quoted, register, table
+from metaudit.plans.base import derive, derive_sql, quoted, register, spread_table
 
 # A field name that the API-key detector looks into.
 DOCUMENT_TEXT = {"id": "doc_id", "secret_note": "text"}
@@ -121,7 +121,7 @@ def _register_single(name, detector, source, columns):
 
     @register(name, DETECTOR_SQL[detector](derive_sql(source, columns), field))
     def run(spark, sf_dir):
-        rows = derive(table(spark, sf_dir, source), columns)
+        rows = derive(spread_table(spark, sf_dir, source), columns)
         return explode_findings(P.detect(rows, [field], [detector]), "id")
 
 
@@ -135,7 +135,7 @@ def patterns_sql(source: str, field: str, detectors=None) -> str:
 
 @register("detect_patterns", patterns_sql(derive_sql("documents", DOCUMENT_TEXT), "secret_note"))
 def detect_patterns(spark, sf_dir):
-    return explode_findings(P.detect(derive(table(spark, sf_dir, "documents"), DOCUMENT_TEXT), ["secret_note"]), "id")
+    return explode_findings(P.detect(derive(spread_table(spark, sf_dir, "documents"), DOCUMENT_TEXT), ["secret_note"]), "id")
 
 
 CONVERSATION_TEXT = {"id": "conv_id * 1000 + turn", "secret_note": "text"}
@@ -143,7 +143,7 @@ CONVERSATION_TEXT = {"id": "conv_id * 1000 + turn", "secret_note": "text"}
 
 @register("detect_patterns_conversations", patterns_sql(derive_sql("conversations", CONVERSATION_TEXT), "secret_note"))
 def detect_patterns_conversations(spark, sf_dir):
-    rows = derive(table(spark, sf_dir, "conversations"), CONVERSATION_TEXT)
+    rows = derive(spread_table(spark, sf_dir, "conversations"), CONVERSATION_TEXT)
     return explode_findings(P.detect(rows, ["secret_note"]), "id")
 
 
@@ -163,7 +163,7 @@ _ALL_KINDS = list(redact.MASKS)
     "SELECT doc_id, md5(t) AS redacted_md5, len(t) AS n_chars FROM "
     f"(SELECT doc_id, {redact_sql('text', _ALL_KINDS)} AS t FROM documents)"))
 def redact_text(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", redact.redact_text(F.col("text"), _ALL_KINDS).alias("t"))
+    rows = spread_table(spark, sf_dir, "documents").select("doc_id", redact.redact_text(F.col("text"), _ALL_KINDS).alias("t"))
     return rows.select("doc_id", F.md5("t").alias("redacted_md5"), F.length("t").alias("n_chars"))
 
 
@@ -177,7 +177,7 @@ def _counts_sql(field: str, side: str) -> str:
     + _counts_sql("text", "before") + " UNION ALL " + _counts_sql(redact_sql("text", ["email", "phone"]), "after")
     + ") GROUP BY rule"))
 def verify_redaction(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents")
+    rows = spread_table(spark, sf_dir, "documents")
     before = rows.select(F.col("doc_id").alias("id"), F.col("text").alias("secret_note"))
     after = before.withColumn("secret_note", redact.redact_text(F.col("secret_note")))
     return redact.verify_redaction(before, after, text_fields=["secret_note"])
@@ -209,6 +209,6 @@ def _rule_sql() -> str:
 
 @register("match_rules", _rule_sql())
 def match_rules(spark, sf_dir):
-    rows = derive(table(spark, sf_dir, "documents"), RULE_TEXT)
+    rows = derive(spread_table(spark, sf_dir, "documents"), RULE_TEXT)
     entries = P.text_entries(rows, ["secret_note", "source"])
     return explode_findings(audit_ops.match_rules(rows, entries, USER_RULES), "id")
