@@ -55,15 +55,25 @@ def conform(df: DataFrame) -> DataFrame:
     elif isinstance(metadata, T.VariantType):
         columns["metadata"] = F.from_json(F.to_json("metadata"), METADATA_DDL)
     else:
-        present = set(metadata.fieldNames())
-        columns["metadata"] = F.struct(*[
-            (F.col("metadata")[name] if name in present else F.lit(None)).cast(kind).alias(name)
-            for name, kind in METADATA_SECTIONS.items()
-        ])
+        columns["metadata"] = F.struct(*[_section(metadata, name).alias(name) for name in METADATA_SECTIONS])
     if "errors" not in kinds:
         columns["errors"] = F.array().cast(T.ArrayType(ERROR))
     return df.withColumns(columns)
 
 
+def _section(metadata: T.StructType, name: str) -> Column:
+    """A section of a metadata struct in its declared type; other shapes go through JSON."""
+    kind = METADATA_SECTIONS[name]
+    if name not in metadata.fieldNames():
+        return F.lit(None).cast(kind)
+    given = metadata[name].dataType
+    section = F.col("metadata")[name]
+    if given.simpleString() == kind.replace(" ", "").lower():
+        return section
+    if isinstance(given, (T.StructType, T.MapType, T.ArrayType)):
+        return F.from_json(F.to_json(section), kind)
+    return section.cast(kind)
+
+
 def _struct_ddl() -> str:
     return "struct<" + ", ".join(f"{n}: {k}" for n, k in METADATA_SECTIONS.items()) + ">"

@@ -7,11 +7,13 @@ from metaudit.functions.paths import basename, extension, glob_match
 
 
 def scan_files(spark: SparkSession, directory: str, recursive: bool = False, include: str | None = None,
-               max_content_bytes: int | None = None) -> DataFrame:
+               max_content_bytes: int | None = None, inventory: DataFrame | None = None) -> DataFrame:
     """One row per file of a directory: file_path, file_size, modification_time, content.
 
     ``content`` is read only when a later step uses it, and size limits reach the scan.
-    Creation and access times are not exposed by the source and stay null.
+    Creation and access times are not exposed by the source and stay null. Spark's file
+    listing leaves out empty files; they are taken from ``inventory`` (a listing with
+    file_path, file_size and modification_time, such as storage systems export).
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if include:
@@ -19,7 +21,7 @@ def scan_files(spark: SparkSession, directory: str, recursive: bool = False, inc
     files = reader.load(directory)
     if max_content_bytes is not None:
         files = files.where(F.col("length") <= max_content_bytes)
-    return files.select(
+    scanned = files.select(
         F.regexp_replace("path", r"\Afile:/*", "/").alias("file_path"),
         F.col("length").alias("file_size"),
         F.lit(None).cast("string").alias("creation_time"),
@@ -27,6 +29,13 @@ def scan_files(spark: SparkSession, directory: str, recursive: bool = False, inc
         F.lit(None).cast("string").alias("access_time"),
         "content",
     )
+    if inventory is None:
+        return scanned
+    empty = inventory.where("file_size = 0")
+    return scanned.unionByName(empty.select(
+        "file_path", F.col("file_size").cast("bigint").alias("file_size"),
+        F.lit(None).cast("string").alias("creation_time"), F.col("modification_time").cast("string").alias("modification_time"),
+        F.lit(None).cast("string").alias("access_time"), F.lit(b"").alias("content")))
 
 
 def filter_files(df: DataFrame, include: str | None = None, exclude: str | None = None) -> DataFrame:
