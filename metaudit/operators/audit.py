@@ -53,7 +53,7 @@ def _pack_findings(pack: Pack, record: Record) -> Column:
             found = F.when(pack.broken(record).isNull(), found)
         return found if pack.file_type is None else F.when(pack.applies(record), found)
 
-    return _built(("findings", pack.name, *pack.rules), build)
+    return _built(("findings", pack.name, pack.file_type, *pack.rules.values()), build)
 
 
 def _pack_error(pack: Pack, record: Record) -> Column:
