@@ -7,6 +7,7 @@ from metaudit.functions import constants as K
 from metaudit.functions.paths import basename, extension, raw_extension, stem
 from metaudit.operators.audit import audit
 from metaudit.operators.records import conform
+from metaudit.operators.report import each
 from metaudit.schema import METADATA_SECTIONS
 
 TEXT_MAP = "map<string,string>"
@@ -141,7 +142,7 @@ def redact_text(text: Column, kinds=("email", "phone")) -> Column:
 def verify_redaction(before: DataFrame, after: DataFrame, **options) -> DataFrame:
     """Findings per rule before and after redaction, from an audit of both tables."""
     def rules(df, side):
-        return audit(df, **options).select(F.explode("findings.rule").alias("rule"), F.lit(side).alias("side"))
+        return audit(df, **options).select(F.explode(each("rule")).alias("rule"), F.lit(side).alias("side"))
 
     both = rules(before, "before").unionByName(rules(after, "after"))
     return both.groupBy("rule").agg(

@@ -18,6 +18,11 @@ def evidence_text(evidence: Column) -> Column:
         lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ", ", "None"))), "; ")
 
 
+def each(field: str) -> Column:
+    """One field of every finding, as an expression: see :func:`explode_findings`."""
+    return F.transform("findings", lambda f: f[field])
+
+
 def explode_findings(df: DataFrame, *keys: str) -> DataFrame:
     """One row per finding: keys, rule, type, severity, description, data text.
 
@@ -45,6 +50,11 @@ def findings_report(df: DataFrame) -> DataFrame:
         F.coalesce(F.col("hashes")["sha256"], F.lit("")).alias("sha256"))
 
 
+def findings_brief(df: DataFrame) -> DataFrame:
+    """The five leading columns of :func:`findings_report`."""
+    return findings_report(df).select("file_path", "file_type", "finding_type", "severity", "description")
+
+
 def _of_severity(findings: Column, severity: str) -> Column:
     return F.size(F.filter(findings, lambda f: F.lower(f["severity"]) == severity))
 
@@ -107,7 +117,7 @@ def corpus_summary_severity(df: DataFrame) -> DataFrame:
 
 
 def corpus_summary_type(df: DataFrame) -> DataFrame:
-    types = df.select(F.explode("findings.type").alias("type"))
+    types = df.select(F.explode(each("type")).alias("type"))
     return types.groupBy(F.lower("type").alias("type")).agg(F.count("*").alias("n_findings"))
 
 

@@ -6,8 +6,8 @@ from metaudit.functions.findings import finding, fires
 from metaudit.operators import audit as A
 from metaudit.operators.report import explode_findings
 from metaudit.plans.base import register, table
-from metaudit.plans.files import shared_folder
 from metaudit.sources import registry
+from metaudit.sources.scratch import scratch_path
 
 
 def long_text(rec):
@@ -35,6 +35,6 @@ def register_source_and_sink(spark, sf_dir):
     """Documents read by a registered source and written by a registered sink."""
     registry.register_source("documents", lambda s, folder: table(s, folder, "documents"))
     registry.register_sink("parquet", lambda df, path: df.write.parquet(path))
-    path = shared_folder(spark)
+    path = scratch_path(spark)
     registry.get_sink("parquet")(registry.load(spark, "documents", sf_dir).select("doc_id", "lang"), path)
     return spark.read.parquet(path).groupBy("lang").agg(F.count("*").alias("n"))

@@ -1,8 +1,5 @@
 """File listings, classification, consistency rules and archive aggregates."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from metaudit.functions import constants as K
@@ -16,6 +13,7 @@ from metaudit.plans.text import DETECTOR_SQL
 from metaudit.plans.typed import rule_sql
 from metaudit.sources import files as S
 from metaudit.sources.records import parse_records, write_findings_csv, write_report_json
+from metaudit.sources.scratch import scratch_path
 
 EXTENSIONS = [
     ".jpg", ".PDF", ".docx", ".mp3", ".mp4", ".exe", ".txt", ".csv", ".tar.gz", ".zip", ".md", "", ".JSON", ".py",
@@ -44,12 +42,6 @@ def files(spark, sf_dir):
     return derive(table(spark, sf_dir, "documents"), FILES)
 
 
-def shared_folder(spark) -> str:
-    """A new folder under the cluster's checkpoint folder; a local one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="metaudit-")
-    return f"{base.rstrip('/')}/metaudit-{uuid.uuid4().hex}"
-
-
 @register("scan_files")
 def scan_files(spark, sf_dir):
     """The table files themselves; content is not read."""
@@ -126,7 +118,7 @@ def _audited(spark, sf_dir):
           f"FROM ({_FOUND_SQL}) d LEFT JOIN ({_SINK_FINDINGS}) f ON d.id = f.id")
 def findings_csv(spark, sf_dir):
     """Write the findings report as CSV and read it back."""
-    path = shared_folder(spark)
+    path = scratch_path(spark)
     write_findings_csv(findings_report(_audited(spark, sf_dir)).drop("file_type"), path)
     back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
     return back.fillna({"data": ""})
@@ -138,7 +130,7 @@ def findings_csv(spark, sf_dir):
           f"FROM ({_FOUND_SQL}) d LEFT JOIN ({_SINK_FINDINGS}) f ON d.id = f.id GROUP BY d.id, d.file_path, d.file_size")
 def report_json(spark, sf_dir):
     """Write one JSON document per file and read the figures back."""
-    path = shared_folder(spark)
+    path = scratch_path(spark)
     write_report_json(file_report(_audited(spark, sf_dir)), path)
     back = spark.read.schema(
         "file_path STRING, file_size BIGINT, findings STRUCT<count: STRUCT<total: BIGINT, "

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from metaudit.operators.audit import audit
+from metaudit.operators.report import each
 from metaudit.sources.records import parse_records
 
 
@@ -23,5 +24,5 @@ def audit_stream(records: DataFrame, output: str, checkpoint: str, now=None) ->
 
 def latest_severities(records: DataFrame) -> DataFrame:
     """Running number of findings by severity, for update or complete output."""
-    return (records.select(F.explode("findings.severity").alias("severity"))
+    return (records.select(F.explode(each("severity")).alias("severity"))
             .groupBy("severity").agg(F.count("*").alias("n_findings")))
