@@ -58,18 +58,19 @@ def _counted_sql(rule, type_, severity, what, key, matches, shown="m"):
     return build
 
 
-# The domain pattern without lookaround: every foreign character is doubled, so that it can
-# be the boundary of two neighbours.
+# The domain pattern without lookaround: it starts and ends with an ASCII letter or digit, so
+# plain word boundaries say the same, once other word characters are turned into '_' and
+# other characters into spaces.
 _DOMAIN_RE2 = (
-    r"(?:^|[^\w])(?:https?://)?(?:www\.)?"
-    r"([a-zA-Z0-9][-a-zA-Z0-9]*\.[a-zA-Z0-9]{2,}(?:\.[a-zA-Z0-9]{2,})*)(?:[^\w]|$)"
+    r"\b(?:https?://)?(?:www\.)?([a-zA-Z0-9][-a-zA-Z0-9]*\.[a-zA-Z0-9]{2,}(?:\.[a-zA-Z0-9]{2,})*)\b"
 )
 
 
 def _domains(field):
-    doubled = f"regexp_replace({field}, '([^\\w.:/-])', '\\1\\1', 'g')"
+    ascii_only = (f"regexp_replace(regexp_replace({field}, '[^\\x00-\\x7F\\p{{L}}\\p{{N}}\\p{{M}}]', ' ', 'g'), "
+                  "'[^\\x00-\\x7F]', '_', 'g')")
     common = ", ".join(quoted(d) for d in K.COMMON_DOMAINS)
-    return f"[d for d in {distinct_matches(_DOMAIN_RE2, 1, doubled)} if lower(d) NOT IN ({common})]"
+    return f"[d for d in {distinct_matches(_DOMAIN_RE2, 1, ascii_only)} if lower(d) NOT IN ({common})]"
 
 
 def _ips(field):
