@@ -1,7 +1,7 @@
 """Language identification: nearest centroid of normalised TF-IDF n-gram vectors.
 
-Texts become vectors over hashed character n-grams (lengths 1 to 3 over lower-cased bytes of
-words, with word borders). Document frequencies are counted over all training texts; each
+Texts become vectors over hashed character n-grams (lengths 1 to 3 over the bytes of
+lower-cased letters, a space for whatever lies between). Document frequencies are counted over all training texts; each
 language's centroids come from spherical k-means over a bounded sample of its vectors; a text
 takes the language of the centroid with the highest cosine. A text farther from every
 centroid than ``reject_below`` is marked as rejected.
@@ -15,25 +15,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metaudit.llm.texts import columns_of, per_text
-from metaudit.llm.words import LOWER, SEPARATOR, Texts, mix
+from metaudit.llm.words import LOWER, Texts, mix, sliced
 
 DIMENSIONS = 1 << 12
 LENGTHS = (1, 2, 3)
 NONE = "und"
 ASCII_LETTER = np.zeros(256, bool)
 ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+PLAIN = np.where(ASCII_LETTER | (np.arange(256) >= 0x80), LOWER, 0x20).astype(np.uint8)
+
+
+def letters_only(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of lower-cased letters with one space for whatever lies between, and the text of each byte."""
+    data = PLAIN[texts.data]
+    upper = np.flatnonzero((texts.data[:-1] == 0xC3) & (texts.data[1:] >= 0x80) & (texts.data[1:] <= 0x9E)) + 1
+    data[upper] += 0x20  # accented capitals of Latin-1
+    doc = np.repeat(np.arange(texts.n), np.diff(texts.offsets))
+    space = data == 0x20
+    keep = np.ones(len(data), bool)
+    keep[1:] = ~(space[1:] & space[:-1] & (doc[1:] == doc[:-1]))
+    return data[keep], doc[keep]
 
 
 def gram_counts(texts: Texts) -> np.ndarray:
     """How often each hashed n-gram stands in each text (texts x DIMENSIONS)."""
-    data = LOWER[texts.data].copy()
-    data[SEPARATOR[texts.data]] = 0x20
-    doc = np.repeat(np.arange(texts.n), np.diff(texts.offsets))
+    data, doc = letters_only(texts)
     wide = data.astype(np.uint64)
     counts = np.zeros(texts.n * DIMENSIONS, np.int64)
-    code = np.zeros(len(data), np.uint64)
+    code = wide
     for n in LENGTHS:
-        code = wide if n == 1 else (code[:-1] << np.uint64(8)) | wide[n - 1:]
+        if n > 1:
+            code = (code[:-1] << np.uint64(8)) | wide[n - 1:]
         same = doc[:len(code)] == doc[n - 1:]
         bucket = (mix(code + np.uint64(n << 40)) & np.uint64(DIMENSIONS - 1)).astype(np.int64)
         counts += np.bincount((doc[:len(code)] * DIMENSIONS + bucket)[same], minlength=len(counts))
@@ -68,7 +80,6 @@ def parts(texts: Texts, limit: int = 256):
 def document_frequencies(docs: DataFrame, text_col: str) -> tuple[int, np.ndarray]:
     """Texts, and texts that have each n-gram, over all rows: one row of DIMENSIONS counts per batch, added by Spark."""
     def run(batches):
-        from metaudit.llm.words import sliced
         total, n = np.zeros(DIMENSIONS, np.int64), 0
         for batch in batches:
             for _, _, texts in sliced(batch.column(0)):

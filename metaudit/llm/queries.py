@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from metaudit.llm.language_id import language_ids
+from metaudit.llm.ngram_lm import lm_scores
 from metaudit.llm.quality_classifier import quality_scores
 from metaudit.llm.quality_rules import repetition_rules
 from metaudit.llm.texts import held_out
@@ -55,3 +56,11 @@ def op7_token_counts(spark, sf_dir):
 def op9_url_filters(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+@register
+def op4_ngram_lm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scores = lm_scores(docs, docs.where(~held_out("doc_id", 10, 0)))
+    return scores.select("doc_id", held_out("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
