@@ -6,6 +6,7 @@ from metaudit.llm.language_id import language_ids
 from metaudit.llm.ngram_lm import lm_scores
 from metaudit.llm.quality_classifier import quality_scores
 from metaudit.llm.quality_rules import repetition_rules
+from metaudit.llm.substring_dedup import drop_repeated_passages
 from metaudit.llm.texts import held_out
 from metaudit.llm.token_counts import token_counts
 from metaudit.llm.url_filters import judge_urls
@@ -64,3 +65,10 @@ def op4_ngram_lm(spark, sf_dir):
     scores = lm_scores(docs, docs.where(~held_out("doc_id", 10, 0)))
     return scores.select("doc_id", held_out("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens",
                          "base_score", "score")
+
+
+@register
+def op10_substring_dedup(spark, sf_dir):
+    found = drop_repeated_passages(table(spark, sf_dir, "documents"))
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
