@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from metaudit.llm.jaccard_join import similar_groups
 from metaudit.llm.language_id import language_ids
 from metaudit.llm.ngram_lm import lm_scores
 from metaudit.llm.quality_classifier import quality_scores
@@ -72,3 +73,9 @@ def op10_substring_dedup(spark, sf_dir):
     found = drop_repeated_passages(table(spark, sf_dir, "documents"))
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
+@register
+def op6_jaccard_join(spark, sf_dir):
+    found = similar_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "n_copies")
