@@ -87,7 +87,7 @@ def count_sketch(source: DataFrame, n: int) -> np.ndarray:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             for _, _, texts in sliced(batch.column(1), lower=True):
-                counts += np.bincount(cells_of(shingle_sets(texts, n)[0]), minlength=len(counts)).astype(np.uint32)
+                np.add.at(counts, cells_of(shingle_sets(texts, n)[0]), 1)
         blocks = counts.reshape(-1, SKETCH_BLOCK)
         used = np.flatnonzero(blocks.any(1))
         yield pa.RecordBatch.from_arrays(
@@ -321,6 +321,31 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                          F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"), "n_copies")
 
 
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
+                percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its group; rows with a null id stay.
+
+    Rows under one id are one document. Only texts that may go are shuffled: bits of the ids to
+    drop, a fixed 8 MB, let the others pass, and an exact anti-join decides on the rest.
+    """
+    groups = similar_groups(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent)
+    gone = saved(groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("id")).distinct())
+    marks = docs.sparkSession.sparkContext.broadcast(mark_words(gone))
+
+    def marked(wanted: bool):
+        def run(batches):
+            for batch in batches:
+                ids = batch.column(id_col)
+                at = marks_of(ids.fill_null(0).to_numpy(zero_copy_only=False))
+                hit = (marks.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+                hit &= ids.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(hit == wanted))
+        return docs.mapInArrow(run, docs.schema)
+
+    maybe = marked(True)
+    return marked(False).unionAll(maybe.join(gone, maybe[id_col].cast("long") == gone["id"], "left_anti"))
+
+
 def mark_words(chosen: DataFrame) -> np.ndarray:
     """Bits of the chosen ids as 64-bit words; at most 2**MARK_BITS bits come to the driver."""
     schema = "word long, bits long"

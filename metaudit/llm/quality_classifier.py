@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 
 from metaudit.llm.quality_rules import SYMBOLS, gram_coverage, letters, repeated_lines
 from metaudit.llm.shared import saved
-from metaudit.llm.texts import columns_of, per_text
+from metaudit.llm.texts import columns_of, per_text, rows_where
 from metaudit.llm.words import Texts, in_text, repeated, totals
 
 FEATURES = ["log_words", "log_word_size", "word_size_spread", "distinct_words", "upper", "digits", "symbols", "marks",
@@ -145,6 +145,15 @@ def vector_column(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel()))
 
 
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, shrinkage: float,
+           diagonal: float) -> tuple[Discriminant, DataFrame]:
+    """The model, and the written features of all texts."""
+    marks = columns_of(labels, id_col, label_col).where(F.col(label_col).isin(0, 1))
+    vectors = saved(per_text(docs, lambda texts: [vector_column(features(texts))], "x array<double>",
+                             id_col=id_col, text_col=text_col))
+    return discriminant(*moments(vectors.join(marks, id_col), label_col), shrinkage, diagonal), vectors
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                    label_col: str = "quality", shrinkage: float = 0.1, diagonal: float = 0.2,
                    threshold: float = 0.5) -> DataFrame:
@@ -154,10 +163,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     has a document. Ids with several rows count once per pair of rows. A null text is an empty
     one and gets a score. Without any labels all scores are 0.5.
     """
-    marks = columns_of(labels, id_col, label_col).where(F.col(label_col).isin(0, 1))
-    vectors = saved(per_text(docs, lambda texts: [vector_column(features(texts))], "x array<double>",
-                             id_col=id_col, text_col=text_col))
-    model = discriminant(*moments(vectors.join(marks, id_col), label_col), shrinkage, diagonal)
+    model, vectors = fitted(docs, labels, id_col, text_col, label_col, shrinkage, diagonal)
     fields = StructType([vectors.schema[id_col], *StructType.fromDDL("score double, predicted int").fields])
 
     def run(batches):
@@ -168,3 +174,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
                 [batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], fields.names)
 
     return vectors.mapInArrow(run, fields)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+              label_col: str = "quality", shrinkage: float = 0.1, diagonal: float = 0.2,
+              threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose score is at least ``threshold`` (see quality_scores)."""
+    model, _ = fitted(docs, labels, id_col, text_col, label_col, shrinkage, diagonal)
+    return rows_where(docs, lambda texts: model.scores(features(texts)) >= threshold, text_col=text_col)

@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from metaudit.llm.decontamination import contamination
 from metaudit.llm.jaccard_join import similar_groups
 from metaudit.llm.language_id import language_ids
 from metaudit.llm.ngram_lm import lm_scores
 from metaudit.llm.quality_classifier import quality_scores
 from metaudit.llm.quality_rules import repetition_rules
+from metaudit.llm.source_mixing import mix_sources
 from metaudit.llm.substring_dedup import drop_repeated_passages
 from metaudit.llm.texts import held_out
 from metaudit.llm.token_counts import token_counts
@@ -79,3 +81,13 @@ def op10_substring_dedup(spark, sf_dir):
 def op6_jaccard_join(spark, sf_dir):
     found = similar_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "n_copies")
+
+
+@register
+def op5_source_mixing(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@register
+def op8_decontamination(spark, sf_dir):
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

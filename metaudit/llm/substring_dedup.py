@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from metaudit.llm.shared import saved
-from metaudit.llm.texts import columns_of
 from metaudit.llm.words import Texts, covered, grams, in_text, mix, prefix, range_hash, repeated, sliced
 
 BASE_PHRASE = 0x2545F4914F6CDD1D
@@ -140,12 +139,12 @@ def without(texts: Texts, d: int, gone: np.ndarray) -> bytes:
 
 def shorten(docs: DataFrame, window: int) -> DataFrame:
     """Cut what the spans of windows cover, and windows that stand earlier in the same text."""
-    schema = StructType([StructField("id", docs.schema["id"].dataType),
+    schema = StructType([docs.schema["id"], docs.schema["others"],
                          *StructType.fromDDL("text string, n_words long, n_removed long, n_factors long").fields])
 
     def run(batches):
         for batch in batches:
-            ids, column = batch.column("id"), batch.column("text")
+            ids, column, others = batch.column("id"), batch.column("text"), batch.column("others")
             for i, j, texts in sliced(column):
                 row, at, n = spans_of(batch, "spans", i, j)
                 hashes = texts.word_hashes()
@@ -165,7 +164,7 @@ def shorten(docs: DataFrame, window: int) -> DataFrame:
                     values = pa.array([without(texts, d, gone).decode() if removed[d] else values[d].as_py()
                                        for d in range(texts.n)], pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), values.cast(pa.string()), pa.array(texts.n_words.astype(np.int64)),
+                    [ids.slice(i, j - i), others.slice(i, j - i), values.cast(pa.string()), pa.array(texts.n_words.astype(np.int64)),
                      pa.array(removed.astype(np.int64)),
                      pa.array(np.bincount(doc[heads], minlength=texts.n).astype(np.int64))], schema.names)
 
@@ -176,6 +175,8 @@ def drop_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col:
                            gram: int = 8) -> DataFrame:
     """Per row: the id, text without repeats, n_words and n_removed (words), n_factors (repeated stretches).
 
+    The first column, ``others``, is a struct of the row's other columns.
+
     A word goes when it lies in ``window`` consecutive words of one text whose sequence also
     starts earlier: under a smaller id, or under the same id at an earlier word. Words are
     ``[^\\x20\\x09-\\x0D]+``, unchanged. Texts that lose nothing come back as they are, null as
@@ -183,8 +184,10 @@ def drop_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     the same place in them is not earlier, so equal rows do not remove each other. Texts under
     ``window`` words keep everything. Hashes of 128 bits stand for phrases and windows.
     """
-    source = columns_of(docs, id_col, text_col).toDF("id", "text")
-    rows = phrase_rows(source, window, gram)
+    others = [docs[c] for c in docs.columns if c not in (id_col, text_col)]
+    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"),
+                         F.struct(*others or [F.lit(None).cast("string").alias("none")]).alias("others"))
+    rows = phrase_rows(source.select("id", "text"), window, gram)
     shared = (rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), (F.min("phrase") != F.max("phrase")).alias("mixed"))
               .where("c > 1").drop("c"))
     known = saved(rows.join(shared, "anchor"))
@@ -205,4 +208,5 @@ def drop_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col:
                 .where("c > 1").drop("c"))
     edges = (windows.join(earliest, ["w0", "w1"]).where(place > F.col("first"))
              .select("id", "at", F.lit(1).alias("n")))
-    return shorten(with_spans(copies.unionByName(edges)), window).toDF(id_col, "text", "n_words", "n_removed", "n_factors")
+    return shorten(with_spans(copies.unionByName(edges)), window).select(
+        "others", F.col("id").alias(id_col), F.col("text").alias(text_col), "n_words", "n_removed", "n_factors")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,3 +46,16 @@ def rows_out(schema: str, *columns) -> pa.RecordBatch:
 
 def held_out(id_col: str, modulus: int, remainder: int):
     return F.crc32(F.col(id_col).cast("string")) % modulus == remainder
+
+
+def rows_where(docs: DataFrame, keep: Callable[[Texts], np.ndarray], *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, for which ``keep`` is true of the text."""
+    schema = docs.schema
+    place = [f.name for f in schema].index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for i, j, texts in sliced(batch.column(place)):
+                yield batch.slice(i, j - i).filter(pa.array(keep(texts), pa.bool_()))
+
+    return docs.mapInArrow(run, schema)

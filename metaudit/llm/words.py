@@ -19,7 +19,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 HEAD = (np.arange(256) & 0xC0) != 0x80  # first byte of a code point
 
-SLICE_BYTES = 1 << 21  # texts are worked on in slices of this size; a longer text is a slice of its own
+SLICE_BYTES = 1 << 19  # texts are worked on in slices of this size; a longer text is a slice of its own
 BASE_BYTES, BASE_WORDS = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF93
 _POWERS: dict[int, np.ndarray] = {}
 
@@ -31,7 +31,7 @@ def powers(base: int, n: int) -> np.ndarray:
         known = np.full(max(n, 1 << 16), base, np.uint64)
         known[0] = 1
         np.multiply.accumulate(known, out=known)
-        if n > 4 * SLICE_BYTES:  # a rare very long text does not stay in memory
+        if n > 8 * SLICE_BYTES:  # a rare very long text does not stay in memory
             return known
         _POWERS[base] = known
     return known[:n]
