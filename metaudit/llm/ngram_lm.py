@@ -30,7 +30,7 @@ END = np.uint64(0x5851F42D4C957F2D)  # key of the end of a text, also the contex
 PROBES = 6
 BITS_PER_ENTRY = 9  # with six probes about one wrong answer in eighty
 BYTES_PER_CELL = 4 << 20
-TASK_TOKENS = 4_000_000  # n-grams a task gathers before it sends them on
+TASK_TOKENS = 2_000_000  # n-grams a task gathers before it sends them on
 MOST_LEVELS = 64
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
