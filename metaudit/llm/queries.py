@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from metaudit.llm import sql
 from metaudit.llm.decontamination import contamination
 from metaudit.llm.jaccard_join import similar_groups
 from metaudit.llm.language_id import language_ids
@@ -91,3 +92,7 @@ def op5_source_mixing(spark, sf_dir):
 @register
 def op8_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES.update(op3_quality_rules=sql.quality_rules(), op6_jaccard_join=sql.jaccard_join(),
+               op9_url_filters=sql.url_filters(URL_RULES), op10_substring_dedup=sql.substring_dedup())

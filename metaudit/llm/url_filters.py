@@ -15,7 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-AFTER = F.unhex(F.lit("FF"))  # sorts behind every UTF-8 byte
+
+def end_of(key):
+    """What sorts behind every key that starts with this one: FF is behind every UTF-8 byte."""
+    return F.concat(key, F.unhex(F.lit("FF")))
 
 
 def bytes_of(column):
@@ -66,7 +69,7 @@ def host_events(rules: DataFrame) -> DataFrame:
     key = host_key(F.col("host"))
     outer = F.when(F.size("stack") > 0, F.element_at(F.col("stack.outer"), -1))
     return (full.select(key.alias("host_key"), F.col("host").alias("active"))
-            .unionByName(full.select(F.concat(key, AFTER).alias("host_key"), outer.alias("active"))))
+            .unionByName(full.select(end_of(key).alias("host_key"), outer.alias("active"))))
 
 
 def path_events(rules: DataFrame) -> DataFrame:
@@ -90,7 +93,7 @@ def path_events(rules: DataFrame) -> DataFrame:
     key = bytes_of(F.col("path"))
     entries = F.col("stack.entry")
     return (stack.select("host", key.alias("path_key"), entries.alias("stack"))
-            .unionByName(stack.select("host", F.concat(key, AFTER).alias("path_key"),
+            .unionByName(stack.select("host", end_of(key).alias("path_key"),
                                       F.slice(entries, 1, F.size("stack") - 1).alias("stack"))))
 
 
