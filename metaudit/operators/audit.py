@@ -108,11 +108,16 @@ def audit(df: DataFrame, now: Column | None = None, text_fields=(), skip_analysi
     no metadata. ``now`` is the clock for future timestamps. No shuffle; works on a stream.
     """
     if skip_analysis:
-        return conform(df) if "findings" in df.columns else conform(df).withColumn("findings", no_findings())
+        if "metadata" in df.columns:
+            whole = conform(df.withColumn("_input", F.col("metadata"))).withColumn("metadata", F.col("_input")).drop("_input")
+        else:
+            whole = conform(df)
+        return whole if "findings" in df.columns else whole.withColumn("findings", no_findings())
     packs = list(PACKS) + list(CUSTOM.values())
     if "metadata" not in df.columns:
         packs = [p for p in packs if p.file_type is None or p.name in CUSTOM]
-    records = _clock(conform(df.withColumn("entries", _entries(df, text_fields))), now)
+    kept = df.withColumn("_input", F.col("metadata")) if "metadata" in df.columns else df
+    records = _clock(conform(kept.withColumn("entries", _entries(df, text_fields))), now)
     records = pattern_rules.with_matches(records, F.col("entries"))
     record = Record()
     parts = [_pack_findings(p, record) for p in packs if p.name not in CUSTOM]
@@ -128,6 +133,8 @@ def audit(df: DataFrame, now: Column | None = None, text_fields=(), skip_analysi
         "findings": F.when(failed, none).otherwise(found),
         "errors": F.concat(F.coalesce("errors", no_errors), F.when(failed, no_errors).otherwise(broken.cast(T.ArrayType(ERROR)))),
     })
+    if "metadata" in df.columns:  # the rules read a typed view; what goes out is what came in
+        out = out.withColumn("metadata", F.col("_input")).drop("_input")
     return out.drop("entries", "_now", *[f"_m_{n}" for n in pattern_rules.DETECTORS])
 
 

@@ -95,7 +95,7 @@ def text_stats(text: Column, mime: Column | None = None, encoding: str = "utf-8"
     stats = F.struct(
         F.lit(encoding).alias("encoding"),
         lines.cast("bigint").alias("line_count"),
-        F.regexp_count(unified, F.lit(r"(?U)\S+")).cast("bigint").alias("word_count"),
+        F.regexp_count(unified, F.lit(r"(?U)[^\s\x1C-\x1F]+")).cast("bigint").alias("word_count"),
         F.length(unified).cast("bigint").alias("character_count"))
     return stats if mime is None else F.when(mime.startswith("text/"), stats)
 

@@ -102,7 +102,7 @@ def exe_shared_libs(rec) -> Column:
     return fires_on(linked, lambda items: F.size(items) > 0, lambda items: finding(
         "exe_shared_libs", "information", "low",
         F.concat(F.lit("Executable dynamically links to "), F.size(items), F.lit(" libraries")),
-        libraries=Items(F.slice(items, 1, 10))))
+        libraries=Items(items)))
 
 
 @PACK.rule

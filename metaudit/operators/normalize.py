@@ -41,10 +41,6 @@ def pdf_info_normalize(info: Column) -> Column:
     return _rename(info, lambda k: F.regexp_replace(k, r"\A/+", ""))
 
 
-def pdf_page_sample(pages: Column) -> Column:
-    return F.slice(pages, 1, 5)
-
-
 def audio_tag_normalize(tags: Column) -> Column:
     """Add friendly names for known ID3 frames and MP4 atoms; the raw tags stay."""
     names = {**K.ID3_FRAMES, **K.MP4_ATOMS}
@@ -189,14 +185,10 @@ def pe_header_decode(machine: Column, subsystem: Column, timestamp: Column, imag
         address(entry_point).alias("entry_point"))
 
 
-def pe_trim_imports(imports: Column) -> Column:
-    """At most 10 functions per imported library."""
+def pe_imports(imports: Column) -> Column:
+    """All functions per imported library; one without a name is Unknown."""
     return F.transform(imports, lambda d: F.struct(
-        F.coalesce(d["name"], F.lit("Unknown")).alias("name"), F.slice(d["imports"], 1, 10).alias("imports")))
-
-
-def pe_trim_exports(exports: Column) -> Column:
-    return F.slice(exports, 1, 20)
+        F.coalesce(d["name"], F.lit("Unknown")).alias("name"), d["imports"].alias("imports")))
 
 
 def macho_header_decode(file_type: Column, version: Column) -> Column:
@@ -222,8 +214,8 @@ def elf_dynamic_rollup(tags: Column) -> Column:
 
 
 def elf_symbols(symbols: Column) -> Column:
-    """Named symbols among the first 20."""
-    return F.filter(F.slice(symbols, 1, 20), lambda s: F.coalesce(s, F.lit("")) != "")
+    """Named symbols."""
+    return F.filter(symbols, lambda s: F.coalesce(s, F.lit("")) != "")
 
 
 def ooxml_core_props(core_xml: Column) -> Column:

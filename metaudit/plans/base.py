@@ -28,23 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# Inputs with more splits than this are never shuffled only to use more cores.
-SMALL_INPUT_SPLITS = 64
-
-
-def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for row-local, CPU-bound work.
-
-    A small file of one row group is read by a single task however many cores wait. When
-    the scan has few splits its rows are dealt out over the cores; a large table has many
-    splits and is read as it is.
-    """
-    df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df.repartition(cores) if splits <= min(cores, SMALL_INPUT_SPLITS) else df
-
-
 def derive(df: DataFrame, columns: dict) -> DataFrame:
     """Select portable SQL expressions under their names."""
     return df.selectExpr(*[f"{expression} AS {name}" for name, expression in columns.items()])

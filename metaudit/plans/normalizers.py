@@ -42,12 +42,12 @@ def exif_normalize(spark, sf_dir):
     return rows.select("id", shown(merged).alias("exif"))
 
 
-@register("pdf_info_normalize", f"SELECT id, {shown_sql(Author='maybe', Title='name')} AS info, least(size, 5) AS n_sampled FROM ({SOURCE})")
+@register("pdf_info_normalize", f"SELECT id, {shown_sql(Author='maybe', Title='name')} AS info, size AS n_pages FROM ({SOURCE})")
 def pdf_info_normalize(spark, sf_dir):
     pages = F.sequence(F.lit(1), F.col("size"))
     return parts(spark, sf_dir).select(
         "id", shown(N.pdf_info_normalize(section({"/Author": "maybe", "//Title": "name"}))).alias("info"),
-        F.size(N.pdf_page_sample(pages)).alias("n_sampled"))
+        F.size(pages).alias("n_pages"))
 
 
 @register("audio_tag_normalize",
@@ -135,14 +135,14 @@ def _names_sql(column: str, names: dict, fallback: str) -> str:
           f"{_names_sql('subsystem', K.PE_SUBSYSTEMS, chr(39) + 'Unknown (' + chr(39) + ' || subsystem || ' + chr(39) + ')' + chr(39))} AS subsystem, "
           "strftime(make_timestamp(stamp * 1000000), '%Y-%m-%dT%H:%M:%S') AS compile_time, "
           "printf('0x%08X', address) AS image_base, printf('0x%08X', id) AS entry_point, "
-          f"least(size, 10) AS n_imports, least(size, 20) AS n_exports FROM ({SOURCE})")
+          f"size AS n_imports, size AS n_exports FROM ({SOURCE})")
 def pe_header_decode(spark, sf_dir):
     functions = F.transform(F.sequence(F.lit(1), F.col("size")), lambda i: i.cast("string"))
     header = N.pe_header_decode(F.col("machine"), F.col("subsystem"), F.col("stamp"), F.col("address"), F.col("id"))
     libraries = F.array(F.struct(F.col("name"), functions.alias("imports")))
     return parts(spark, sf_dir).select(
-        "id", header.alias("h"), F.size(F.get(N.pe_trim_imports(libraries), F.lit(0))["imports"]).alias("n_imports"),
-        F.size(N.pe_trim_exports(functions)).alias("n_exports")).select("id", "h.*", "n_imports", "n_exports")
+        "id", header.alias("h"), F.size(F.get(N.pe_imports(libraries), F.lit(0))["imports"]).alias("n_imports"),
+        F.size(functions).alias("n_exports")).select("id", "h.*", "n_imports", "n_exports")
 
 
 @register("macho_header_decode",
@@ -156,7 +156,7 @@ def macho_header_decode(spark, sf_dir):
 
 @register("elf_dynamic_rollup",
           "SELECT id, 'shared_library:lib' || name || coalesce(',DT_RUNPATH:/opt/' || maybe, '') AS dynamic, "
-          f"least(size, 20) - least(size, 20) // 4 AS n_symbols FROM ({SOURCE})")
+          f"size - size // 4 AS n_symbols FROM ({SOURCE})")
 def elf_dynamic_rollup(spark, sf_dir):
     tags = F.array_compact(F.array(
         F.struct(F.lit("DT_NEEDED").alias("tag"), F.concat(F.lit("lib"), "name").alias("value")),

@@ -8,7 +8,7 @@ from metaudit.operators import (
 )
 from metaudit.operators.audit import run_pack, run_rule
 from metaudit.operators.report import explode_findings
-from metaudit.plans.base import as_json, choose, derive, derive_sql, in_list, quoted, register, section, spread_table
+from metaudit.plans.base import as_json, choose, derive, derive_sql, in_list, quoted, register, section, table
 
 KEYS = ["rule", "type", "severity", "description", "data"]
 
@@ -46,7 +46,7 @@ def _register(pack, source_table, columns, build, oracles, readable="TRUE"):
     def one(rule):
         @register(rule, rule_sql(source, rule, *oracles[rule]))
         def run(spark, sf_dir):
-            records = build(derive(spread_table(spark, sf_dir, source_table), columns))
+            records = build(derive(table(spark, sf_dir, source_table), columns))
             return explode_findings(run_rule(records, pack.rules[rule]), "id")
 
     for rule in oracles:
@@ -60,7 +60,7 @@ def _register(pack, source_table, columns, build, oracles, readable="TRUE"):
 
     @register(f"{pack.name}_rules", f"SELECT rule, severity, count(*) AS n FROM ({every}) GROUP BY rule, severity")
     def run_all(spark, sf_dir):
-        records = build(derive(spread_table(spark, sf_dir, source_table), columns))
+        records = build(derive(table(spark, sf_dir, source_table), columns))
         found = explode_findings(run_pack(records, pack), "id")
         return found.groupBy("rule", "severity").agg(F.count("*").alias("n"))
 
@@ -458,7 +458,7 @@ _register(executable_rules.PACK, "orders", EXECUTABLE, executable_records, {
         f"'resources=' || {_join(_resources)}")]),
     "exe_shared_libs": ("information", "low", [(
         "n_shared > 0", "'Executable dynamically links to ' || n_shared || ' libraries'",
-        f"'libraries=' || {_join('[' + repr('lib') + ' || i for i in range(1, least(n_shared, 10) + 1)]')}")]),
+        f"'libraries=' || {_join('[' + repr('lib') + ' || i for i in range(1, n_shared + 1)]')}")]),
     "exe_rpath": ("security", "medium", [(
         f"len({_paths}) > 0", "'Executable uses custom library search paths (RPATH/RUNPATH)'",
         f"'paths=' || {_join(_paths)}")]),

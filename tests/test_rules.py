@@ -114,3 +114,25 @@ def test_custom_pack(spark):
 def test_skip_analysis(spark):
     row = A.audit(spark.createDataFrame([(0,)], "file_size long"), skip_analysis=True).first()
     assert row["findings"] is None
+
+
+def test_audit_and_report_keep_the_metadata(spark):
+    """What goes out is what came in, sections that no rule knows and nested lists included."""
+    from metaudit.operators.audit import audit
+    from metaudit.operators.report import file_report
+    from pyspark.sql import functions as F
+
+    text = '{"content_stats":{"chars":4},"pages":[{"rotation":90}],"text_info":{"content":"a@b.org","word_count":2}}'
+    rows = spark.createDataFrame([("/a.txt", "text", 9, text)], "file_path string, file_type string, file_size long, metadata string")
+    for df in (rows, rows.withColumn("metadata", F.parse_json("metadata"))):
+        for out in (audit(df), file_report(audit(df)), audit(df, skip_analysis=True)):
+            assert out.schema["metadata"].dataType == df.schema["metadata"].dataType
+            assert out.select(F.to_json("metadata") if df is not rows else F.col("metadata")).first()[0] == text
+
+
+def test_text_stats_separators(spark):
+    from metaudit.operators.classify import text_stats
+    from pyspark.sql import functions as F
+
+    row = spark.createDataFrame([("a\x1cb\x1fc d",)], "t string").select(text_stats(F.col("t")).alias("s")).first()
+    assert row["s"]["word_count"] == 4
