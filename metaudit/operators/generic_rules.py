@@ -13,9 +13,13 @@ GIB = 1024 ** 3
 
 
 def parse_time(value: Column) -> Column:
-    """ISO text as a zone-less timestamp; null when it does not parse or carries a zone."""
+    """ISO text as a zone-less timestamp; null when it does not parse.
+
+    A time with a zone is brought to the session's time zone, in which times without one, and
+    the clock of the audit, are read.
+    """
     zoned = value.rlike(r"\d{2}:\d{2}.*(Z|[+-]\d{2}(:?\d{2})?)$")
-    return F.when(~zoned, value.try_cast("timestamp_ntz"))
+    return F.when(zoned, value.try_cast("timestamp").cast("timestamp_ntz")).otherwise(value.try_cast("timestamp_ntz"))
 
 
 def _stamps(rec) -> Column:

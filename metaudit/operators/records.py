@@ -34,11 +34,12 @@ def iso_text(value: Column, kind: T.DataType) -> Column:
     return value.cast("string")
 
 
-def conform(df: DataFrame) -> DataFrame:
+def conform(df: DataFrame, typed: bool = True) -> DataFrame:
     """Add missing record columns and type the metadata column.
 
-    ``metadata`` may be JSON text, VARIANT, or a struct holding some of the sections.
-    All other columns pass through. Only projections: nothing is shuffled.
+    ``metadata`` may be JSON text, VARIANT, or a struct holding some of the sections; without
+    ``typed`` a given one is left as it is. All other columns pass through. Only projections:
+    nothing is shuffled.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     columns = {}
@@ -50,6 +51,8 @@ def conform(df: DataFrame) -> DataFrame:
     metadata = kinds.get("metadata")
     if metadata is None:
         columns["metadata"] = F.lit(None).cast(_struct_ddl())
+    elif not typed:
+        pass
     elif isinstance(metadata, T.StringType):
         columns["metadata"] = F.from_json("metadata", METADATA_DDL)
     elif isinstance(metadata, T.VariantType):

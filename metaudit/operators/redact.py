@@ -2,15 +2,14 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from metaudit.functions import constants as K
 from metaudit.functions.paths import basename, extension, raw_extension, stem
 from metaudit.operators.audit import audit
 from metaudit.operators.records import conform
 from metaudit.operators.report import each
-from metaudit.schema import METADATA_SECTIONS
 
-TEXT_MAP = "map<string,string>"
 KINDS = ["image", "pdf", "docx", "xlsx", "tags"]
 
 
@@ -26,11 +25,16 @@ def redact_kind(path: Column) -> Column:
         .when(ext == ".xlsx", "xlsx").when(ext.isin(".mp3", ".flac", ".ogg"), "tags").otherwise("copied"))
 
 
+def _nothing_of(entries: Column) -> Column:
+    """An empty map of the same type."""
+    return F.map_filter(entries, lambda k, v: F.lit(False))
+
+
 def redact_image_fields(exif: Column, path: Column, keep=None) -> Column:
     """Image tags left: none, or for JPEG the kept names, when ``exif`` itself is kept."""
     keep = _names(keep)
     if not keep or "exif" not in keep:
-        return F.create_map().cast(TEXT_MAP)
+        return _nothing_of(exif)
     jpeg = extension(path).isin(".jpg", ".jpeg")
     return F.map_filter(exif, lambda k, v: jpeg & k.isin(keep))
 
@@ -39,8 +43,8 @@ def redact_pdf_fields(info: Column, keep=None) -> Column:
     return F.map_filter(info, lambda k, v: k.isin(_names(keep)))
 
 
-def _blank(properties: Column, names) -> Column:
-    return F.transform_values(properties, lambda k, v: F.when(k.isin(names), "").otherwise(v))
+def _blank(properties: Column, names, empty) -> Column:
+    return F.transform_values(properties, lambda k, v: F.when(k.isin(names), empty).otherwise(v))
 
 
 def _office_names(owner: str, blanked, keep) -> list:
@@ -49,13 +53,13 @@ def _office_names(owner: str, blanked, keep) -> list:
     return names if keep & {"author", "creator"} else [owner] + names
 
 
-def redact_docx_fields(properties: Column, keep=None) -> Column:
-    """Blank the descriptive properties that are not kept; others stay."""
-    return _blank(properties, _office_names("author", K.DOCX_BLANKED, keep))
+def redact_docx_fields(properties: Column, keep=None, empty="") -> Column:
+    """Blank the descriptive properties that are not kept; others stay. ``empty`` is a blank in the map's type."""
+    return _blank(properties, _office_names("author", K.DOCX_BLANKED, keep), empty)
 
 
-def redact_xlsx_fields(properties: Column, keep=None) -> Column:
-    return _blank(properties, _office_names("creator", K.XLSX_BLANKED, keep))
+def redact_xlsx_fields(properties: Column, keep=None, empty="") -> Column:
+    return _blank(properties, _office_names("creator", K.XLSX_BLANKED, keep), empty)
 
 
 def redact_audio_fields(tags: Column, path: Column, keep=None) -> Column:
@@ -69,32 +73,62 @@ def redact_audio_fields(tags: Column, path: Column, keep=None) -> Column:
             test = test | F.lower(k).contains(entry.lower())
         return test
 
-    left = F.map_filter(tags, lambda k, v: kept(k)) if keep else F.create_map().cast(TEXT_MAP)
+    left = F.map_filter(tags, lambda k, v: kept(k)) if keep else _nothing_of(tags)
     return F.when(handled, left).otherwise(tags)
 
 
-def redact_fields(df: DataFrame, keep=None) -> DataFrame:
-    """Redact the metadata struct of each record; ``redaction`` tells redacted from copied."""
-    df = conform(df)
-    path, old = F.col("file_path"), F.col("metadata")
+REDACTED_SECTIONS = ("exif", "iptc", "xmp", "basic", "document_info", "document_properties", "tags")
+
+
+def _redacted(section: Column, value: Column, path: Column, keep) -> Column:
+    """A metadata section (VARIANT) after redaction; sections of other names or kinds of file stay."""
     kind = redact_kind(path)
+    entries = F.try_variant_get(value, "$", "map<string,variant>")
+    empty = F.parse_json(F.lit('""'))
+    # a section that should be an object and is not is emptied
+    known = F.coalesce(entries, F.from_json(F.lit("{}"), "map<string,variant>"))
 
-    def when(name, new, section):
-        return F.when(kind == name, new).otherwise(old[section])
-
-    new = {s: old[s] for s in METADATA_SECTIONS}
-    new["exif"] = when("image", redact_image_fields(old["exif"], path, keep), "exif")
-    for section in ("iptc", "xmp"):
-        new[section] = when("image", F.create_map().cast(TEXT_MAP), section)
-    new["basic"] = when("image", F.map_filter(old["basic"], lambda k, v: k != "color_profile"), "basic")
-    new["document_info"] = when("pdf", redact_pdf_fields(old["document_info"], keep), "document_info")
-    office = old["document_properties"]
-    new["document_properties"] = F.when(kind == "docx", redact_docx_fields(office, keep)) \
-        .when(kind == "xlsx", redact_xlsx_fields(office, keep)).otherwise(office)
-    new["tags"] = redact_audio_fields(old["tags"], path, keep)
+    def wrote(new):
+        return F.to_variant_object(new)
+
+    return (F.when((kind == "image") & (section == "exif"), wrote(redact_image_fields(known, path, keep)))
+            .when((kind == "image") & section.isin("iptc", "xmp"), wrote(_nothing_of(known)))
+            .when((kind == "image") & (section == "basic") & entries.isNotNull(),
+                  wrote(F.map_filter(known, lambda k, v: k != "color_profile")))
+            .when((kind == "pdf") & (section == "document_info"), wrote(redact_pdf_fields(known, keep)))
+            .when((kind == "docx") & (section == "document_properties"), wrote(redact_docx_fields(known, keep, empty)))
+            .when((kind == "xlsx") & (section == "document_properties"), wrote(redact_xlsx_fields(known, keep, empty)))
+            .when((kind == "tags") & (section == "tags"), wrote(redact_audio_fields(known, path, keep)))
+            .otherwise(value))
+
+
+def redact_fields(df: DataFrame, keep=None) -> DataFrame:
+    """Redact the metadata of each record; ``redaction`` tells redacted from copied.
+
+    The metadata comes out whole and in the type it came in (JSON text, VARIANT or a struct):
+    sections and fields that no rule names stay, and that of a copied record is untouched. JSON
+    text of a redacted record has its keys sorted; unreadable text of one becomes null, so that
+    nothing leaks.
+    """
+    df = conform(df, typed=False)
+    path, old, kind = F.col("file_path"), F.col("metadata"), df.schema["metadata"].dataType
+    if isinstance(kind, T.VariantType):
+        opened = old
+    else:
+        opened = F.try_parse_json(old if isinstance(kind, T.StringType) else F.to_json(old))
+    sections = F.try_variant_get(opened, "$", "map<string,variant>")
+    edited = F.to_variant_object(F.transform_values(sections, lambda k, v: _redacted(k, v, path, keep)))
+    if isinstance(kind, T.StringType):
+        new = F.to_json(edited)
+    elif isinstance(kind, T.VariantType):
+        new = edited
+    else:
+        back = F.from_json(F.to_json(edited), kind)
+        new = F.when(old.isNotNull(), F.struct(*[
+            (back if n in REDACTED_SECTIONS else old)[n].alias(n) for n in kind.fieldNames()]))
     return df.withColumns({
-        "metadata": F.struct(*[c.alias(s) for s, c in new.items()]),
-        "redaction": F.when(kind == "copied", "copied").otherwise("redacted"),
+        "metadata": F.when(redact_kind(path) == "copied", old).otherwise(new),
+        "redaction": F.when(redact_kind(path) == "copied", "copied").otherwise("redacted"),
     })
 
 

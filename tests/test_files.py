@@ -42,11 +42,25 @@ def test_scan(spark, folder):
     assert scan_all(spark, folder).count() == 4
     assert scan_all(spark, folder, recursive=True).count() == 5
     assert scan_files(spark, folder, recursive=True, include="*.jpg").count() == 1
-    assert scan_files(spark, folder, max_content_bytes=30).count() == 2
+    limited = scan_files(spark, folder, max_content_bytes=30)
+    assert limited.count() == 3 and limited.where("content IS NULL").select("file_size").collect() == [(len(DOCUMENT),)]
     assert limit_files(scan_all(spark, folder, True), 2).count() == 2
     assert filter_by_size(scan_all(spark, folder, True), 1, 100).count() == 3
 
 
+def test_inventory_completes_the_scan(spark, tmp_path):
+    for name, text in {".env": "KEY=1", "_b.txt": "b", "a.txt": "a", "none.txt": ""}.items():
+        (tmp_path / name).write_text(text)
+    listing = spark.createDataFrame([(f"file:{p}", p.stat().st_size, None) for p in tmp_path.iterdir()],
+                                    "file_path string, file_size long, modification_time string")
+    rows = {os.path.basename(r["file_path"]): r for r in scan_files(spark, str(tmp_path), inventory=listing).collect()}
+    assert set(rows) == {".env", "_b.txt", "a.txt", "none.txt"}
+    assert {n: (r["content"], len(r["errors"])) for n, r in rows.items()} == {
+        ".env": (None, 1), "_b.txt": (None, 1), "a.txt": (b"a", 0), "none.txt": (b"", 0)}
+    only = scan_files(spark, str(tmp_path), include="*.txt", inventory=listing)
+    assert only.count() == 3
+
+
 def test_describe_and_audit(spark, folder):
     files = scan_all(spark, folder, recursive=True).withColumn("text", F.make_valid_utf8(F.col("content").cast("string")))
     described = classify.describe_files(files)
@@ -85,12 +99,33 @@ def test_redact_text(spark):
 def test_redact_fields_keep(spark):
     metadata = json.dumps({"exif": {"Make": "a", "GPS": "b"}, "iptc": {"Credit": "c"}, "tags": {"Artist": "d", "Track": "e"}})
     df = spark.createDataFrame([("x.jpg", metadata), ("x.mp3", metadata), ("x.bin", metadata)], "file_path string, metadata string")
-    image, audio, other = redact.redact_fields(df, ["exif", "Make", "art"]).collect()
-    assert image["metadata"]["exif"] == {"Make": "a"} and image["metadata"]["iptc"] == {}
-    assert audio["metadata"]["tags"] == {"Artist": "d"} and audio["redaction"] == "redacted"
-    assert other["metadata"]["tags"] == {"Artist": "d", "Track": "e"} and other["redaction"] == "copied"
+    rows = redact.redact_fields(df, ["exif", "Make", "art"]).collect()
+    image, audio, other = (json.loads(r["metadata"]) for r in rows)
+    assert image["exif"] == {"Make": "a"} and image["iptc"] == {}
+    assert audio["tags"] == {"Artist": "d"} and rows[1]["redaction"] == "redacted"
+    assert other["tags"] == {"Artist": "d", "Track": "e"} and rows[2]["redaction"] == "copied"
     dropped = redact.redact_fields(df, ["Make"]).first()
-    assert dropped["metadata"]["exif"] == {}  # exif itself is not kept
+    assert json.loads(dropped["metadata"])["exif"] == {}  # exif itself is not kept
+
+
+def test_redaction_keeps_the_rest(spark):
+    """Sections that no rule knows stay, in every type of metadata; a copied record is untouched."""
+    text = ('{"exif":{"Make":"a","n":{"x":[1,null]}},"iptc":"odd","pages":[{"rotation":90}],'
+            '"text_info":{"line_count":3,"word_count":2}}')
+    df = spark.createDataFrame([("x.jpg", text), ("x.txt", text), ("y.jpg", "{broken"), ("z.jpg", None)],
+                               "file_path string, metadata string")
+    done = {r["file_path"]: r["metadata"] for r in redact.redact_fields(df).collect()}
+    redacted = {"exif": {}, "iptc": {}, **{k: json.loads(text)[k] for k in ("pages", "text_info")}}
+    assert json.loads(done["x.jpg"]) == redacted and done["x.txt"] == text and done["y.jpg"] is done["z.jpg"] is None
+    variant = redact.redact_fields(df.withColumn("metadata", F.try_parse_json("metadata")))
+    shown = {r["file_path"]: r["m"] for r in variant.select("file_path", F.to_json("metadata").alias("m")).collect()}
+    assert json.loads(shown["x.jpg"]) == redacted and json.loads(shown["x.txt"]) == json.loads(text)
+    shape = "exif struct<Make: string, Model: string>, made timestamp, pages array<struct<rotation: int>>"
+    typed = df.limit(2).withColumn("metadata", F.from_json("metadata", shape).withField("made", F.lit("2020-01-01").cast("timestamp")))
+    image, copied = redact.redact_fields(typed, ["exif", "Make"]).collect()
+    assert image["metadata"] == copied["metadata"] and image["metadata"]["made"] is not None
+    assert redact.redact_fields(typed).first()["metadata"]["exif"]["Make"] is None
+    assert redact.redact_fields(typed).schema["metadata"].dataType == typed.schema["metadata"].dataType
 
 
 def test_report_files(spark, folder, tmp_path):

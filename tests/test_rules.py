@@ -89,6 +89,10 @@ TIMES = [
     (("nonsense", "2031-01-01", None), ["bad_timestamp"]),
     (("2031-01-01", "2032-01-01", "nonsense"), ["future_timestamp"] * 2 + ["bad_timestamp"]),
     ((None, "2031-01-01", "nonsense"), ["future_timestamp", "bad_timestamp"]),
+    (("2024-05-02T00:00:00Z", "2024-05-02T01:00:00+02:00", None), ["created_after_modified"]),
+    (("2024-05-02T00:00:00Z", "2024-05-02T03:00:00+02:00", None), []),
+    (("2024-05-02T00:00:00+00:00", "2031-05-02T03:00:00-05:00", None), ["future_timestamp"]),
+    (("2024-13-02T00:00:00Z", "2024-05-02T03:00:00Z", None), ["bad_timestamp"]),
 ]
 
 
