@@ -40,6 +40,14 @@ PE_MAGIC = "4D5A"
 ELF_MAGIC = "7F454C46"
 MACHO_MAGICS = ["FEEDFACE", "FEEDFACF", "CAFEBABE"]
 
+# --- fixed values: first bytes of common formats (hex), and bytes 5 to 8 of MP4 ---
+CONTENT_MAGICS = {
+    "25504446": "application/pdf", "FFD8FF": "image/jpeg", "89504E470D0A1A0A": "image/png", "47494638": "image/gif",
+    "504B0304": "application/zip", "4D5A": "application/x-msdownload", "7F454C46": "application/x-executable",
+    "494433": "audio/mpeg",
+}
+MP4_BRAND = "66747970"
+
 # --- fixed values: text file suffixes ----------------------------------------
 TEXT_FORMATS = {
     ".json": "JSON", ".xml": "XML", ".html": "HTML", ".htm": "HTML", ".csv": "CSV",

@@ -30,6 +30,39 @@ def guess_mime(path: Column) -> Column:
     return F.coalesce(lookup(K.mime_table(), extension(plain)), F.lit("application/octet-stream"))
 
 
+def mime_of_content(content: Column, path: Column) -> Column:
+    """MIME type by the first bytes; by extension where they tell nothing.
+
+    Packages and media containers share their first bytes, so a type by extension that uses
+    the container is taken.
+    """
+    head, guessed = F.hex(F.substring(content, 1, 12)), guess_mime(path)
+    kind = F.lit(None).cast("string")
+    for magic, mime in reversed(K.CONTENT_MAGICS.items()):
+        kind = F.when(head.startswith(magic), mime).otherwise(kind)
+    kind = F.when(F.substring(head, 9, 8) == K.MP4_BRAND, F.when(guessed.rlike("^(audio|video)/"), guessed).otherwise("video/mp4")) \
+        .otherwise(kind)
+    packed = (kind == "application/zip") & extension(path).isin(K.ZIP_EXTENSIONS)
+    program = kind.isin(K.EXECUTABLE_MIMES) & extension(path).isin(K.FILE_TYPES["executable"])
+    return F.coalesce(F.when(packed | program, guessed).otherwise(kind), guessed)
+
+
+def text_encoding(content: Column) -> Column:
+    """Encoding of text by its byte-order mark, else ascii, utf-8 or, for other bytes, iso-8859-1."""
+    head = F.hex(F.substring(content, 1, 3))
+    text = content.cast("string")
+    return (F.when(head == "EFBBBF", "utf-8-sig").when(F.left(head, F.lit(4)).isin("FFFE", "FEFF"), "utf-16")
+            .when(~F.is_valid_utf8(text), "iso-8859-1")
+            .when(F.char_length(text) == F.octet_length(content), "ascii").otherwise("utf-8"))
+
+
+def decoded(content: Column, encoding: Column) -> Column:
+    """Text of the content; null for UTF-16, whose broken pairs could not be read without failing."""
+    return F.when(encoding == "iso-8859-1", F.decode(content, "ISO-8859-1")) \
+        .when(encoding == "utf-8-sig", F.make_valid_utf8(F.substring(content, 4, 2 ** 31 - 1).cast("string"))) \
+        .when(encoding != "utf-16", content.cast("string"))
+
+
 def file_hashes(content: Column) -> Column:
     """Hex digests of the whole content."""
     return F.create_map(
@@ -88,12 +121,12 @@ def is_zip_based(path: Column, mime: Column, content: Column) -> Column:
     return extension(path).isin(K.ZIP_EXTENSIONS) | mentioned | signed
 
 
-def text_stats(text: Column, mime: Column | None = None, encoding: str = "utf-8") -> Column:
+def text_stats(text: Column, mime: Column | None = None, encoding: str | Column = "utf-8") -> Column:
     """Line, word and character counts. Line ends are unified first; null for non-text MIME."""
     unified = F.regexp_replace(text, r"\r\n?", "\n")
     lines = F.regexp_count(unified, F.lit("\n")) + F.when(unified.rlike(r"[^\n]\z"), 1).otherwise(0)
     stats = F.struct(
-        F.lit(encoding).alias("encoding"),
+        (encoding if isinstance(encoding, Column) else F.lit(encoding)).alias("encoding"),
         lines.cast("bigint").alias("line_count"),
         F.regexp_count(unified, F.lit(r"(?U)[^\s\x1C-\x1F]+")).cast("bigint").alias("word_count"),
         F.length(unified).cast("bigint").alias("character_count"))
@@ -158,18 +191,26 @@ def record_errors(expected: DataFrame, scanned: DataFrame) -> DataFrame:
 
 
 def describe_files(files: DataFrame, skip_hashes: bool = False, skip_extraction: bool = False) -> DataFrame:
-    """Record columns for scanned files: type, MIME, hashes, text statistics.
+    """Record columns for scanned files: type, MIME, hashes, text statistics, header of executables.
 
-    Skipped stages leave nulls, so the optimizer drops their inputs (content is then not read).
+    MIME type and encoding are read from the content. UTF-16 text has an encoding and no counts.
+    A null content (not read) has the type of its extension, no hashes and no metadata. Skipped
+    stages leave nulls, so the optimizer drops their inputs (content is then not read, and the
+    MIME type is that of the extension).
     """
     path, content = F.col("file_path"), F.col("content")
-    mime = guess_mime(path)
-    decoded = F.make_valid_utf8(content.cast("string"))
+    kind = classify_file_type(path)
+    mime = guess_mime(path) if skip_extraction else mime_of_content(content, path)
     columns = {
-        "file_type": classify_file_type(path),
+        "file_type": kind,
         "mime_type": mime,
-        "hashes": F.lit(None).cast("map<string,string>") if skip_hashes else file_hashes(content),
+        "hashes": F.lit(None).cast("map<string,string>") if skip_hashes else F.when(content.isNotNull(), file_hashes(content)),
     }
-    if not skip_extraction:
-        columns["metadata"] = F.struct(F.when(mime.startswith("text/"), text_stats(decoded)).alias("text_info"))
-    return files.withColumns(columns).drop("content")
+    if skip_extraction:
+        return files.withColumns(columns).drop("content")
+    is_text = F.col("mime_type").startswith("text/") & content.isNotNull()
+    opened = files.withColumns(columns).withColumn("_encoding", F.when(is_text, text_encoding(content)))
+    header = F.struct(executable_format(content)["type"].alias("type"))
+    return opened.withColumn("metadata", F.struct(
+        F.when(is_text, text_stats(decoded(content, F.col("_encoding")), encoding=F.col("_encoding"))).alias("text_info"),
+        F.when((kind == "executable") & content.isNotNull(), header).alias("file_headers"))).drop("content", "_encoding")

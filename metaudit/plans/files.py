@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from metaudit.functions import constants as K
+from metaudit.functions.findings import combine
 from metaudit.functions.paths import basename
-from metaudit.operators import archive, classify, generic_rules
+from metaudit.operators import archive, classify, executable_rules, generic_rules
 from metaudit.operators import pattern_rules as P
 from metaudit.operators.audit import run_rule
 from metaudit.operators.report import explode_findings, file_report, findings_report
@@ -42,8 +43,31 @@ def files(spark, sf_dir):
     return derive(table(spark, sf_dir, "documents"), FILES)
 
 
-@register("scan_files")
+LISTED = {"id": "doc_id", "file_path": "'file:/d/' || CASE WHEN doc_id % 7 = 0 THEN '.env' ELSE 'f' END || CAST(doc_id AS STRING)",
+          "file_size": "CASE WHEN doc_id % 5 = 0 THEN CAST(0 AS BIGINT) ELSE n_chars END",
+          "modification_time": "'2020-01-01T00:00:00'"}
+
+
+@register("scan_files",
+          "SELECT regexp_replace(file_path, '^file:', '') AS file_path, file_size, CASE WHEN file_size = 0 THEN 0 WHEN id % 7 <> 0 "
+          "THEN n_bytes END AS n_bytes, CASE WHEN file_size > 0 AND id % 7 = 0 THEN 'ReadError' END AS error "
+          f"FROM (SELECT *, text_bytes AS n_bytes FROM (SELECT {', '.join(f'{e} AS {n}' for n, e in LISTED.items())}, "
+          "octet_length(encode(text)) AS text_bytes FROM documents))")
 def scan_files(spark, sf_dir):
+    """A scan that saw neither empty nor hidden files, completed from the inventory of all documents."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    listing = docs.selectExpr(*[f"{e} AS {n}" for n, e in LISTED.items()], "CAST(text AS BINARY) AS content")
+    none = F.lit(None).cast("string")
+    scanned = listing.where("file_size > 0 AND id % 7 <> 0").select(
+        F.regexp_replace("file_path", "^file:", "").alias("file_path"), "file_size", none.alias("creation_time"),
+        "modification_time", none.alias("access_time"), "content")
+    found = S.complete_scan(scanned, listing.select("file_path", "file_size", "modification_time"))
+    return found.select("file_path", "file_size", F.octet_length("content").alias("n_bytes"),
+                        F.get("errors", F.lit(0))["error_type"].alias("error"))
+
+
+@register("scan_table_files")
+def scan_table_files(spark, sf_dir):
     """The table files themselves; content is not read."""
     found = S.scan_files(spark, sf_dir, recursive=True, include="*.parquet")
     return found.select(basename(F.col("file_path")).alias("name"), "file_size",
@@ -277,6 +301,26 @@ def audit_options(spark, sf_dir):
                             F.col("metadata.text_info").isNotNull().alias("has_text_info"))
 
 
+CONTENTS = {"id": "doc_id", "file_path": "'d/' || CAST(doc_id AS STRING) || CASE WHEN doc_id % 6 = 5 THEN '.exe' ELSE '.txt' END",
+            "head": choose("doc_id", ["", "FFD8FFE0", "EFBBBF", "FFFE", "E92C", "4D5A"])}
+_CONTENTS_SQL = derive_sql("documents", CONTENTS)
+
+
+@register("describe_content",
+          f"SELECT id, 'mime_ext_mismatch' AS rule FROM ({_CONTENTS_SQL}) WHERE id % 6 = 1 UNION ALL "
+          f"SELECT id, 'odd_text_encoding' AS rule FROM ({_CONTENTS_SQL}) WHERE id % 6 IN (2, 3, 4) UNION ALL "
+          f"SELECT id, 'exe_type' AS rule FROM ({_CONTENTS_SQL}) WHERE id % 6 = 5")
+def describe_content(spark, sf_dir):
+    """Findings that rest on the bytes of a file: its type, the encoding of its text, its header."""
+    docs = table(spark, sf_dir, "documents").selectExpr(
+        *[f"{e} AS {n}" for n, e in CONTENTS.items()], "CAST(coalesce(text, '') AS BINARY) AS content")
+    files = docs.withColumn("content", F.concat(F.unhex("head"), F.col("content"))).drop("head")
+    described = classify.describe_files(files, skip_hashes=True)
+    rules = [(generic_rules.PACK, "mime_ext_mismatch"), (generic_rules.PACK, "odd_text_encoding"), (executable_rules.PACK, "exe_type")]
+    found = run_rule(described, lambda rec: combine(pack.rules[name](rec) for pack, name in rules))
+    return explode_findings(found, "id").select("id", "rule")
+
+
 # --- consistency rules -------------------------------------------------------
 NOW = "2001-06-01 00:00:00"
 STAMPS = {
@@ -326,6 +370,24 @@ def _stamped(rule):
 for _rule in _STAMP_RULES:
     _stamped(_rule)
 
+ZONED = {"id": "o_orderkey", "creation_time": "left(CAST(o_orderdate AS STRING), 10) || 'T00:30:00Z'",
+         "modification_time": "left(CAST(o_orderdate AS STRING), 10) || " + choose(
+             "o_custkey", ["T01:00:00+02:00", "T03:00:00+02:00", "T00:10:00Z", "T00:10:00-01:30", "T24:61:00Z"])}
+_ZONED_SQL = ("SELECT *, try_cast(creation_time AS TIMESTAMPTZ) AS c, try_cast(modification_time AS TIMESTAMPTZ) AS m "
+              f"FROM ({derive_sql('orders', ZONED)})")
+
+
+@register("zoned_timestamps",
+          f"SELECT id, 'created_after_modified' AS rule FROM ({_ZONED_SQL}) WHERE c > m UNION ALL "
+          f"SELECT id, 'bad_timestamp' AS rule FROM ({_ZONED_SQL}) WHERE c IS NULL OR m IS NULL")
+def zoned_timestamps(spark, sf_dir):
+    """Times with a zone: compared as moments, and not bad in themselves."""
+    records = derive(table(spark, sf_dir, "orders"), ZONED)
+    rules = [generic_rules.PACK.rules[n] for n in ("created_after_modified", "bad_timestamp")]
+    found = run_rule(records, lambda rec: combine(rule(rec) for rule in rules))
+    return explode_findings(found, "id").select("id", "rule")
+
+
 SIZED = {**FILES, "md5": f"CASE WHEN doc_id % 12 = 0 THEN '{K.EMPTY_MD5}' ELSE md5(text) END",
          "file_size": "CASE doc_id % 8 WHEN 0 THEN 0 WHEN 1 THEN n_chars * 100000 WHEN 2 THEN n_chars % 200 ELSE n_chars END",
          "ratio": "CAST(n_chars % 40 AS DOUBLE) / 20",

@@ -79,9 +79,36 @@ def test_text_stats(spark, folder):
     assert [got["readme.txt"][c] for c in ("line_count", "word_count", "character_count")] == [2, 4, 25]
     assert [got["empty.txt"][c] for c in ("line_count", "word_count", "character_count")] == [0, 0, 0]
     assert [got["latin.txt"][c] for c in ("line_count", "word_count", "character_count")] == [3, 4, 18]
+    assert {n: r["encoding"] for n, r in got.items() if r} == {
+        "readme.txt": "ascii", "document.txt": "ascii", "empty.txt": "ascii", "latin.txt": "iso-8859-1"}
     assert described.where("hashes IS NOT NULL").count() == 0
 
 
+CONTENTS = [("a.txt", b"%PDF-1.7", "application/pdf"), ("a.docx", b"PK\x03\x04..", classify.guess_mime),
+            ("a.bin", b"PK\x03\x04..", "application/zip"), ("a.mp3", b"\0\0\0\x18ftypM4A ", classify.guess_mime),
+            ("a", b"\0\0\0\x18ftypisom", "video/mp4"), ("a.so", b"\x7fELF\2", classify.guess_mime),
+            ("a.txt", b"MZ\x90\0", "application/x-msdownload"), ("a.txt", None, "text/plain"), ("a.txt", b"", "text/plain")]
+
+
+def test_mime_of_content(spark):
+    df = spark.createDataFrame([(p, c) for p, c, _ in CONTENTS], "p string, c binary")
+    rows = df.select(classify.mime_of_content(F.col("c"), F.col("p")).alias("m"), classify.guess_mime(F.col("p")).alias("g")).collect()
+    assert [r["m"] for r in rows] == [r["g"] if callable(w) else w for r, (_, _, w) in zip(rows, CONTENTS)]
+
+
+def test_encodings(spark):
+    texts = {"\ufeffab c".encode("utf-16-le"): ("utf-16", None), "\ufeffab c".encode("utf-8"): ("utf-8-sig", 4),
+             "é b".encode("utf-8"): ("utf-8", 3), "é b".encode("latin-1"): ("iso-8859-1", 3), b"a b": ("ascii", 3), b"\xff\xfea": ("utf-16", None)}
+    df = spark.createDataFrame([(f"{i}.txt", bytearray(b)) for i, b in enumerate(texts)], "file_path string, content binary")
+    rows = classify.describe_files(df).select("metadata.text_info.*").collect()
+    assert [(r["encoding"], r["character_count"]) for r in rows] == list(texts.values())
+
+
+def test_file_hashes(spark):
+    row = spark.range(1).select(classify.file_hashes(F.lit(b"abc")).alias("h")).first()["h"]
+    assert row["sha512"].startswith("ddaf35a193617abacc417349ae20413112e6fa4e89a97ea2") and row["sha512"].endswith("a54ca49f")
+
+
 def test_missing_file(spark, folder):
     scanned = classify.describe_files(scan_files(spark, folder))
     expected = scanned.select("file_path").union(spark.createDataFrame([("/nonexistent/file.txt",)], "file_path string"))
