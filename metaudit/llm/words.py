@@ -31,7 +31,7 @@ def powers(base: int, n: int) -> np.ndarray:
         known = np.full(max(n, 1 << 16), base, np.uint64)
         known[0] = 1
         np.multiply.accumulate(known, out=known)
-        if n > 8 * SLICE_BYTES:  # a rare very long text does not stay in memory
+        if n > 2 * SLICE_BYTES:  # a rare very long text does not stay in memory
             return known
         _POWERS[base] = known
     return known[:n]
@@ -50,7 +50,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def prefix(values: np.ndarray, base: int) -> np.ndarray:
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64, copy=False) * powers(base, len(values)), out=sums[1:])
+    np.multiply(values, powers(base, len(values)), out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
     return sums
 
 
