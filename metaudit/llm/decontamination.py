@@ -7,12 +7,14 @@ where a fragment stands with at most ``EDITS`` edits shares at least
 q-grams are counted in overlapping bands; those that meet the bound are regions, and each is
 verified by a banded alignment of the fragment, all regions of a slice side by side.
 
-The benchmark goes to the workers in blocks of at most ``block_bytes``; texts are searched
-against one block after another.
+The benchmark goes to the workers in blocks of at most about ``block_bytes``, each made, sent and
+let go before the next; texts are searched against one block after another. An index takes some
+20 bytes for a byte of its block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from metaudit.llm.shared import saved
 from metaudit.llm.texts import columns_of
 from metaudit.llm.words import BASE_BYTES, LOWER, Texts, prefix, range_hash, sliced
 
@@ -84,7 +87,9 @@ def index(ids: list, texts: list[str | None]) -> Index:
     bits = np.zeros(1 << FILTER_BITS, bool)
     bits[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
     item = np.searchsorted(offsets, starts[order], "right") - 1
-    return Index(ids, data, offsets, keys, np.append(begins, len(order)), starts[order], item, bits)
+    small = np.int32 if len(data) < 1 << 31 else np.int64
+    return Index(ids, data, offsets, keys, np.append(begins, len(order)).astype(small), starts[order].astype(small),
+                 item.astype(small), bits)
 
 
 def fragments(length: np.ndarray) -> np.ndarray:
@@ -162,7 +167,7 @@ def hits(texts: Texts, found: Index) -> np.ndarray:
     at = np.minimum(np.searchsorted(found.keys, keys), max(len(found.keys) - 1, 0))
     same = found.keys[at] == keys if len(found.keys) else np.zeros(0, bool)
     starts, at = starts[same], at[same]
-    counts = found.begins[at + 1] - found.begins[at]
+    counts = (found.begins[at + 1] - found.begins[at]).astype(np.int64)
     out = [np.zeros((0, 2), np.int64)]
     # places of a common q-gram are taken in parts; a part is all hits of some texts, or of some items of one text
     text = np.searchsorted(offsets, starts, "right") - 1
@@ -189,20 +194,18 @@ def in_parts(text: np.ndarray, counts: np.ndarray):
             a = b
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[Index]:
-    """The benchmark, read block by block; items go to blocks by hash."""
-    items = columns_of(benchmark, item_col, text_col)
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[Index]:
+    """The distinct items of the benchmark, read block by block; items go to blocks by hash."""
+    items = columns_of(benchmark, item_col, text_col).distinct()
     size = items.agg(F.sum(F.octet_length(text_col)).alias("n")).collect()[0]["n"] or 0
     k = max(1, -(-size // block_bytes))
-    out = []
     for b in range(k):
-        rows = items.where(F.pmod(F.xxhash64(text_col), F.lit(k)) == b).collect()
-        out.append(index([r[item_col] for r in rows], [r[text_col] for r in rows]))
-    return out
+        rows = items.where(F.pmod(F.xxhash64(item_col, text_col), F.lit(k)) == b).collect()
+        yield index([r[item_col] for r in rows], [r[text_col] for r in rows])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+                  item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """Per row: the id, contaminated, n_items and item_ids (sorted) of the benchmark items found in texts of its id.
 
     Null or empty texts and items are found nowhere and contain nothing; so are items under nine
@@ -237,7 +240,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id",
-                      item_text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+                      item_text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of ``docs``, with all columns, in whose text no benchmark item is found."""
     from metaudit.llm.texts import rows_where
 
@@ -248,6 +251,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
             return good
         return keep
 
-    for block in blocks(benchmark, item_col, item_text_col, block_bytes):
-        docs = rows_where(docs, clean(docs.sparkSession.sparkContext.broadcast(block)), text_col=text_col)
+    spark = docs.sparkSession
+    for number, block in enumerate(blocks(benchmark, item_col, item_text_col, block_bytes)):
+        # written between blocks, so that a task holds one block at a time
+        docs = rows_where(saved(docs) if number else docs, clean(spark.sparkContext.broadcast(block)), text_col=text_col)
     return docs

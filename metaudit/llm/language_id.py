@@ -127,7 +127,7 @@ def language_ids(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id"
 
     Learns from the rows of ``training`` whose text and language are not null: document
     frequencies from all of them, centroids from about ``sample_per_language`` rows of each
-    language, chosen by a hash of the id. ``lang_pred`` is the language of the nearest
+    language, chosen by a hash of id and text. ``lang_pred`` is the language of the nearest
     centroid, or ``und`` (score 0) if the text is null or has no letter, or nothing was learnt.
     ``rejected`` is true where the nearest centroid's cosine is under ``reject_below``. The
     score is the share of the winner among the languages' best cosines, sharpened.
@@ -141,9 +141,9 @@ def language_ids(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id"
     n, df = document_frequencies(known, text_col)
     idf = (np.log((n + 1) / (df + 1)) + 0.05).astype(np.float32)
 
-    # rows are picked by a hash of the id against the language's share: no sort, no shuffle of texts
+    # rows are picked by a hash of id and text against the language's share: no sort, no shuffle of texts
     share = F.create_map(*[x for lang, size in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, sample_per_language / size)))])
-    picked = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 20)) < share[F.col(lang_col)] * (1 << 20))
+    picked = known.where(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), F.lit(1 << 20)) < share[F.col(lang_col)] * (1 << 20))
 
     def sparse(texts):
         counts = np.concatenate([gram_counts(p) for p in parts(texts)]) if texts.n else np.zeros((0, DIMENSIONS), np.int64)
