@@ -91,7 +91,12 @@ def keep_keys(section: Column, keys) -> Column:
 
 
 def keys_like(section: Column, terms) -> Column:
-    return F.map_filter(section, lambda k, v: contains_any(k, terms))
+    """The entries of a map whose key contains a term; null when none does.
+
+    All keys are tested at once as one text; only where a term is found are they walked one by one.
+    """
+    found = contains_any(F.array_join(F.map_keys(section), "\n"), terms)
+    return F.when(found, F.map_filter(section, lambda k, v: contains_any(k, terms)))
 
 
 def override(first: Column, second: Column) -> Column:

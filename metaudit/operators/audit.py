@@ -1,6 +1,7 @@
 """The audit: route each record to its rule packs and collect the findings, in one projection."""
 
-from pyspark import SparkContext
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,40 +36,42 @@ def register_rule_pack(name: str, file_type: str | None, rules: dict) -> None:
 
 
 # Pack expressions name columns and do not depend on the table, so they are built once per
-# Spark context; building all of them takes seconds of driver time.
-_BUILT: dict = {}
+# Spark context, and go with it; building all of them takes seconds of driver time.
+_BUILT: WeakKeyDictionary = WeakKeyDictionary()
 
 
-def _built(key, build) -> Column:
-    key = (id(SparkContext._active_spark_context), *key)
-    if key not in _BUILT:
-        _BUILT[key] = build()
-    return _BUILT[key]
+def _built(df: DataFrame, key, build) -> tuple[Column, frozenset]:
+    """The expression that ``build(record)`` gives, and the metadata sections that it reads."""
+    known = _BUILT.setdefault(df.sparkSession.sparkContext, {})
+    if key not in known:
+        record = Record()
+        known[key] = build(record), frozenset(record.read)
+    return known[key]
 
 
-def _pack_findings(pack: Pack, record: Record) -> Column:
-    def build():
+def _pack_findings(df: DataFrame, pack: Pack) -> tuple[Column, frozenset]:
+    def build(record):
         found = combine(rule(record) for rule in pack.rules.values())
         if pack.broken is not None:
             found = F.when(pack.broken(record).isNull(), found)
         return found if pack.file_type is None else F.when(pack.applies(record), found)
 
-    return _built(("findings", pack.name, pack.file_type, *pack.rules.values()), build)
+    return _built(df, ("findings", pack.name, pack.file_type, *pack.rules.values()), build)
 
 
-def _pack_error(pack: Pack, record: Record) -> Column:
-    def build():
+def _pack_error(df: DataFrame, pack: Pack) -> tuple[Column, frozenset]:
+    def build(record):
         problem = pack.broken(record)
         return F.when(pack.applies(record) & problem.isNotNull(), error_struct(
             "AnalysisError",
             F.concat(F.lit("Failed to analyze metadata for "), record.path, F.lit(f" using {pack.name}")), problem))
 
-    return _built(("error", pack.name), build)
+    return _built(df, ("error", pack.name), build)
 
 
-def _pattern_findings() -> Column:
-    return _built(("pattern",), lambda: combine(
-        pattern_rules.report(n, F.col(f"_m_{n}")) for n in pattern_rules.DETECTORS))
+def _pattern_findings(df: DataFrame) -> Column:
+    return _built(df, ("pattern",), lambda _: combine(
+        pattern_rules.report(n, F.col(f"_m_{n}")) for n in pattern_rules.DETECTORS))[0]
 
 
 def _clock(df: DataFrame, now: Column | None) -> DataFrame:
@@ -76,28 +79,47 @@ def _clock(df: DataFrame, now: Column | None) -> DataFrame:
 
 
 def run_pack(df: DataFrame, pack: Pack, now: Column | None = None, into: str = "findings") -> DataFrame:
-    """Findings of one pack over record columns."""
-    return _clock(conform(df), now).withColumn(into, _pack_findings(pack, Record())).drop("_now")
+    """Findings of one pack over record columns; only the sections it reads are parsed."""
+    return _judged(df, *_pack_findings(df, pack), now, into)
 
 
 def run_rule(df: DataFrame, rule, now: Column | None = None, into: str = "findings") -> DataFrame:
-    """Findings of one rule over record columns."""
-    return _clock(conform(df), now).withColumn(into, combine([rule(Record())])).drop("_now")
+    """Findings of one rule over record columns; it reaches metadata through ``Record.section``."""
+    record = Record()
+    return _judged(df, combine([rule(record)]), record.read, now, into)
+
+
+def _judged(df: DataFrame, found: Column, sections, now: Column | None, into: str) -> DataFrame:
+    out = _clock(conform(_kept(df), sections=sections), now).withColumn(into, found).drop("_now")
+    return _restored(out, df)
+
 
+def _kept(df: DataFrame) -> DataFrame:
+    """The rules read a typed view of ``metadata``; what came in waits beside it."""
+    return df.withColumn("_input", F.col("metadata")) if "metadata" in df.columns else df
 
-def _entries(df: DataFrame, text_fields) -> Column:
-    """Flattened metadata, followed by the named text columns."""
+
+def _restored(out: DataFrame, df: DataFrame) -> DataFrame:
+    return out.withColumn("metadata", F.col("_input")).drop("_input") if "metadata" in df.columns else out
+
+
+def _with_entries(df: DataFrame, text_fields) -> DataFrame:
+    """Add ``entries``: flattened metadata, followed by the named text columns.
+
+    The parse is a projection of its own, as flattening reads its result several times.
+    """
     parts = [pattern_rules.text_entries(df, text_fields)] if text_fields else []
+    opened = df
     if "metadata" in df.columns:
         kind = df.schema["metadata"].dataType
         if isinstance(kind, T.VariantType):
-            opened = flatten_entries(F.col("metadata"))
-        elif isinstance(kind, T.StringType):
-            opened = flatten_entries(F.try_parse_json("metadata"))
+            variant = F.col("metadata")
         else:
-            opened = flatten_entries(F.try_parse_json(F.to_json("metadata")))
-        parts.insert(0, F.coalesce(opened, F.array()))
-    return F.concat(*parts, F.array()).cast("array<struct<field:string,value:string>>")
+            variant = F.try_parse_json("metadata" if isinstance(kind, T.StringType) else F.to_json("metadata"))
+        opened = df.withColumn("_opened", variant)
+        parts.insert(0, F.coalesce(flatten_entries(F.col("_opened")), F.array()))
+    entries = F.concat(*parts, F.array()).cast("array<struct<field:string,value:string>>")
+    return opened.withColumn("entries", entries).drop("_opened")
 
 
 def audit(df: DataFrame, now: Column | None = None, text_fields=(), skip_analysis: bool = False) -> DataFrame:
@@ -113,26 +135,23 @@ def audit(df: DataFrame, now: Column | None = None, text_fields=(), skip_analysi
     packs = list(PACKS) + list(CUSTOM.values())
     if "metadata" not in df.columns:
         packs = [p for p in packs if p.file_type is None or p.name in CUSTOM]
-    kept = df.withColumn("_input", F.col("metadata")) if "metadata" in df.columns else df
-    records = _clock(conform(kept.withColumn("entries", _entries(df, text_fields))), now)
+    records = _clock(conform(_kept(_with_entries(df, text_fields))), now)
     records = pattern_rules.with_matches(records, F.col("entries"))
     record = Record()
-    parts = [_pack_findings(p, record) for p in packs if p.name not in CUSTOM]
-    parts.append(_pattern_findings())
-    parts += [_pack_findings(p, record) for p in packs if p.name in CUSTOM]
+    parts = [_pack_findings(df, p)[0] for p in packs if p.name not in CUSTOM]
+    parts.append(_pattern_findings(df))
+    parts += [_pack_findings(df, p)[0] for p in packs if p.name in CUSTOM]
     failed = F.coalesce(record.section("extraction_failed"), F.lit(False))
     if "extraction_failed" in df.columns:
         failed = failed | F.coalesce(F.col("extraction_failed"), F.lit(False))
     none, no_errors = F.array().cast(T.ArrayType(FINDING)), F.array().cast(T.ArrayType(ERROR))
     found = F.flatten(F.array_compact(F.array(*parts)))
-    broken = F.array_compact(F.array(*[_pack_error(p, record) for p in packs if p.broken is not None]))
+    broken = F.array_compact(F.array(*[_pack_error(df, p)[0] for p in packs if p.broken is not None]))
     out = records.withColumns({
         "findings": F.when(failed, none).otherwise(found),
         "errors": F.concat(F.coalesce("errors", no_errors), F.when(failed, no_errors).otherwise(broken.cast(T.ArrayType(ERROR)))),
     })
-    if "metadata" in df.columns:  # the rules read a typed view; what goes out is what came in
-        out = out.withColumn("metadata", F.col("_input")).drop("_input")
-    return out.drop("entries", "_now", *[f"_m_{n}" for n in pattern_rules.DETECTORS])
+    return _restored(out, df).drop("entries", "_now", *[f"_m_{n}" for n in pattern_rules.DETECTORS])
 
 
 def match_rules(df: DataFrame, entries: Column, rules: list, into: str = "findings") -> DataFrame:

@@ -5,15 +5,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from metaudit.functions.paths import extension
-from metaudit.schema import ERROR, METADATA_DDL, METADATA_SECTIONS, RECORD_COLUMNS
+from metaudit.schema import ERROR, METADATA_SECTIONS, RECORD_COLUMNS
 
 TIMES = ("creation_time", "modification_time", "access_time")
 
 
 class Record:
-    """Column access for rules: record columns, metadata sections and the audit clock."""
+    """Column access for rules: record columns, metadata sections and the audit clock.
+
+    ``read`` notes the sections that rules ask for, so that only those are parsed.
+    """
 
     def __init__(self):
+        self.read = set()
         self.path = F.col("file_path")
         self.type = F.col("file_type")
         self.size = F.col("file_size")
@@ -24,6 +28,7 @@ class Record:
         self.now = F.col("_now")
 
     def section(self, name: str) -> Column:
+        self.read.add(name)
         return F.col("metadata")[name]
 
 
@@ -34,12 +39,12 @@ def iso_text(value: Column, kind: T.DataType) -> Column:
     return value.cast("string")
 
 
-def conform(df: DataFrame, typed: bool = True) -> DataFrame:
+def conform(df: DataFrame, typed: bool = True, sections=METADATA_SECTIONS) -> DataFrame:
     """Add missing record columns and type the metadata column.
 
     ``metadata`` may be JSON text, VARIANT, or a struct holding some of the sections; without
-    ``typed`` a given one is left as it is. All other columns pass through. Only projections:
-    nothing is shuffled.
+    ``typed`` a given one is left as it is. ``sections`` names those that are typed. All other
+    columns pass through. Only projections: nothing is shuffled.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
     columns = {}
@@ -49,16 +54,18 @@ def conform(df: DataFrame, typed: bool = True) -> DataFrame:
         elif name in TIMES:
             columns[name] = iso_text(F.col(name), kinds[name])
     metadata = kinds.get("metadata")
+    wanted = [n for n in METADATA_SECTIONS if n in sections]
+    ddl = ", ".join(f"{n} {METADATA_SECTIONS[n]}" for n in wanted)
     if metadata is None:
         columns["metadata"] = F.lit(None).cast(_struct_ddl())
-    elif not typed:
+    elif not typed or not wanted:
         pass
     elif isinstance(metadata, T.StringType):
-        columns["metadata"] = F.from_json("metadata", METADATA_DDL)
+        columns["metadata"] = F.from_json("metadata", ddl)
     elif isinstance(metadata, T.VariantType):
-        columns["metadata"] = F.from_json(F.to_json("metadata"), METADATA_DDL)
+        columns["metadata"] = F.from_json(F.to_json("metadata"), ddl)
     else:
-        columns["metadata"] = F.struct(*[_section(metadata, name).alias(name) for name in METADATA_SECTIONS])
+        columns["metadata"] = F.struct(*[_section(metadata, name).alias(name) for name in wanted])
     if "errors" not in kinds:
         columns["errors"] = F.array().cast(T.ArrayType(ERROR))
     return df.withColumns(columns)

@@ -13,7 +13,7 @@ from metaudit.plans.base import as_json, choose, derive, derive_sql, in_list, qu
 from metaudit.plans.text import DETECTOR_SQL
 from metaudit.plans.typed import rule_sql
 from metaudit.sources import files as S
-from metaudit.sources.records import parse_records, write_findings_csv, write_report_json
+from metaudit.sources.records import parse_records, recorded_findings, write_findings_csv, write_report_json
 from metaudit.sources.scratch import scratch_path
 
 EXTENSIONS = [
@@ -118,6 +118,30 @@ def read_records(spark, sf_dir):
         F.size(F.try_variant_get("metadata", "$.info.tags", "array<string>")).alias("n_tags"))
 
 
+_SAVED = "source || '/' || CAST(doc_id AS STRING)"
+
+
+@register("recorded_findings",
+          f"SELECT {_SAVED} AS file_path, 'none' AS finding_type, 'none' AS severity, 'No findings' AS description, '' AS data "
+          "FROM documents WHERE doc_id % 3 = 0 UNION ALL "
+          f"SELECT {_SAVED}, 'privacy', 'high', 'Language', 'lang=' || coalesce(lang, 'None') || ', ' || coalesce(source, 'None') "
+          f"FROM documents WHERE doc_id % 3 > 0 UNION ALL SELECT {_SAVED}, 'information', 'low', 'Size', "
+          "'size=' || CAST(n_chars AS STRING) FROM documents WHERE doc_id % 3 = 2")
+def saved_findings(spark, sf_dir):
+    """Reports over records that were saved with their findings, as JSON."""
+    def saved(type_, severity, description, data):
+        return F.struct(F.lit(type_).alias("type"), F.lit(severity).alias("severity"),
+                        F.lit(description).alias("description"), F.to_json(data).alias("data"))
+
+    language = saved("privacy", "high", "Language", F.struct(F.array("lang", "source").alias("lang")))
+    size = saved("information", "low", "Size", F.struct(F.col("n_chars").alias("size")))
+    kept = F.slice(F.array(language, size), 1, F.pmod("doc_id", F.lit(3)).cast("int"))
+    json = table(spark, sf_dir, "documents").select(
+        F.to_json(F.struct(F.expr(_SAVED).alias("file_path"), kept.alias("findings"))).alias("value"))
+    return findings_report(recorded_findings(parse_records(json))).select(
+        "file_path", "finding_type", "severity", "description", "data")
+
+
 FOUND = {"id": "doc_id", "file_path": "source || '/' || CAST(doc_id AS STRING) || '.txt'", "file_size": "n_chars",
          "secret_note": "text"}
 _FOUND_SQL = derive_sql("documents", FOUND)

@@ -61,7 +61,8 @@ def _register(pack, source_table, columns, build, oracles, readable="TRUE"):
     @register(f"{pack.name}_rules", f"SELECT rule, severity, count(*) AS n FROM ({every}) GROUP BY rule, severity")
     def run_all(spark, sf_dir):
         records = build(derive(table(spark, sf_dir, source_table), columns))
-        found = explode_findings(run_pack(records, pack), "id")
+        found = run_pack(records, pack).select(F.inline(F.transform("findings", lambda f: F.struct(
+            f["rule"].alias("rule"), f["severity"].alias("severity")))))
         return found.groupBy("rule", "severity").agg(F.count("*").alias("n"))
 
 

@@ -49,7 +49,6 @@ METADATA_SECTIONS = {
     "text_info": "STRUCT<encoding: STRING, line_count: BIGINT>",
     "archive_info": "STRUCT<compression_ratio: DOUBLE, extensions: MAP<STRING,BIGINT>>",
 }
-METADATA_DDL = ", ".join(f"{name} {kind}" for name, kind in METADATA_SECTIONS.items())
 
 # Columns every record has; metadata may be JSON text, VARIANT or (part of) METADATA.
 RECORD_COLUMNS = {

@@ -1,10 +1,11 @@
 """Metadata records as JSON rows, and report sinks."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from metaudit.operators.records import conform
-from metaudit.schema import RECORD_COLUMNS
+from metaudit.schema import FINDING, RECORD_COLUMNS
 
 RECORD_DDL = ", ".join(f"{n} {k}" for n, k in RECORD_COLUMNS.items()) + ", metadata STRING, " \
     "findings ARRAY<STRUCT<type: STRING, description: STRING, severity: STRING, data: STRING>>, " \
@@ -21,6 +22,29 @@ def parse_records(df: DataFrame, column: str = "value") -> DataFrame:
         F.col("_r")["findings"].alias("recorded_findings"), F.col("_r")["errors"].alias("errors"))
 
 
+def _evidence(data: Column) -> Column:
+    """JSON text of a finding's data as lists of texts by key; text that is no JSON object stands under ``data``."""
+    def texts(_, v):
+        items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.try_variant_get(x, "$", "string"))
+        return F.when(F.schema_of_variant(v).startswith("ARRAY"), items).otherwise(F.array(F.try_variant_get(v, "$", "string")))
+
+    opened = F.try_variant_get(F.try_parse_json(data), "$", "map<string,variant>")
+    plain = F.when(data.isNotNull(), F.create_map(F.lit("data"), F.array(data)))
+    return F.coalesce(F.transform_values(opened, texts), plain)
+
+
+def recorded_findings(df: DataFrame, column: str = "recorded_findings", into: str = "findings") -> DataFrame:
+    """Findings that came with saved records, in the type that audits give, so that reports run over them.
+
+    Saved findings do not name their rule, which is null. A record without any has an empty list.
+    """
+    found = F.transform(column, lambda f: F.struct(
+        F.lit(None).cast("string").alias("rule"), f["type"].alias("type"), f["severity"].alias("severity"),
+        f["description"].alias("description"), _evidence(f["data"]).alias("evidence")))
+    kind = T.ArrayType(FINDING)
+    return df.withColumn(into, F.coalesce(found.cast(kind), F.array().cast(kind))).drop(*{column} - {into})
+
+
 def read_records(spark: SparkSession, path: str, typed: bool = False) -> DataFrame:
     """Records from JSON lines. ``typed`` turns metadata into section structs at once."""
     records = parse_records(spark.read.text(path))
