@@ -1,11 +1,12 @@
 """Benchmark decontamination: q-gram lemma filter with banded alignment.
 
 Texts and benchmark items are compared as lower-cased letters and digits with single spaces.
-Items are cut into overlapping fragments of ``FRAGMENT`` characters (bytes of UTF-8). A place
-where a fragment stands with at most ``EDITS`` edits shares at least
-``FRAGMENT + 1 - Q * (EDITS + 1)`` q-grams with it, all within a band of diagonals. Shared
-q-grams are counted in overlapping bands; those that meet the bound are regions, and each is
-verified by a banded alignment of the fragment, all regions of a slice side by side.
+An item is found where any ``FRAGMENT`` characters in a row of it (bytes of UTF-8), wherever they
+begin, stand with at most ``EDITS`` edits; of a shorter item, the whole with fewer. Such a place
+shares at least ``FRAGMENT + 1 - Q * (EDITS + 1)`` q-grams with those characters, all within a band
+of diagonals. Shared q-grams are put in overlapping bands; the begins for which enough of them lie
+in the fragment are regions, and each is verified by a banded alignment of all its begins at once,
+all regions of a slice side by side.
 
 The benchmark goes to the workers in blocks of at most about ``block_bytes``, each made, sent and
 let go before the next; texts are searched against one block after another. An index takes some
@@ -27,10 +28,11 @@ from metaudit.llm.shared import saved
 from metaudit.llm.texts import columns_of
 from metaudit.llm.words import BASE_BYTES, LOWER, Texts, prefix, range_hash, sliced
 
-FRAGMENT, STRIDE, Q, EDITS = 80, 40, 9, 7
+FRAGMENT, Q, EDITS = 80, 9, 7
 FILTER_BITS = 22
 MOST_HITS = 2_000_000
-MOST_REGIONS = 4096
+MOST_REGIONS = 2048
+MOST_BEGINS = 160  # of one region; with FRAGMENT they fit a byte
 KEPT = np.zeros(256, bool)
 KEPT[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 PLAIN = np.where(KEPT, LOWER, 0x20).astype(np.uint8)
@@ -92,36 +94,35 @@ def index(ids: list, texts: list[str | None]) -> Index:
                  item.astype(small), bits)
 
 
-def fragments(length: np.ndarray) -> np.ndarray:
-    """Number of fragments of items of these lengths; the last one ends with the item."""
-    return np.maximum(1, -(-(length - FRAGMENT) // STRIDE) + 1)
-
-
 def regions(found: Index, text: np.ndarray, place: np.ndarray, item: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(text, item, fragment, band) with enough shared q-grams, from hits at ``place`` of a text and ``at`` of an item."""
-    length = np.diff(found.offsets)[item]
-    count = fragments(length)
-    width = EDITS + 1
-    rows = []
-    for back in (0, 1, 2):  # the fragments that hold the q-gram
-        number = np.minimum(at // STRIDE, count - 1) - back
-        begin = np.minimum(number * STRIDE, np.maximum(length - FRAGMENT, 0))
-        good = (number >= 0) & (at >= begin) & (at + Q <= begin + FRAGMENT)
-        diagonal = place[good] - at[good] + (1 << 40)
-        for shift in (0, 1):  # bands of twice the width overlap by half
-            rows.append(np.stack([text[good], item[good], number[good], diagonal // width - shift], axis=1))
-    rows = np.concatenate(rows)
-    if not len(rows):
-        return rows
-    order = np.lexsort(rows.T[::-1])
-    rows = rows[order]
+    """(text, item, band, first, last): the fragments of an item that begin from first to last have enough shared q-grams
+    in a band of diagonals, from hits at ``place`` of a text and ``at`` of an item."""
+    diagonal = place - at + (1 << 40)
+    # bands of twice the width overlap by half
+    rows = np.concatenate([np.stack([text, item, diagonal // (EDITS + 1) - shift, at], axis=1) for shift in (0, 1)])
+    rows = rows[np.lexsort(rows.T[::-1])]
     new = np.ones(len(rows), bool)
     new[1:] = (rows[1:] != rows[:-1]).any(1)
-    heads = np.flatnonzero(new)
-    total = np.diff(np.append(heads, len(rows)))
-    own = np.minimum(np.diff(found.offsets)[rows[heads, 1]], FRAGMENT)
+    rows = rows[new]
+    group = np.zeros(len(rows), np.int64)
+    np.cumsum((rows[1:, :3] != rows[:-1, :3]).any(1), out=group[1:])
+    length = np.diff(found.offsets)[rows[:, 1]]
+    own = np.minimum(length, FRAGMENT)
     least = np.maximum(own + 1 - Q * (allowed(own) + 1), 1)
-    return rows[heads][total >= least]
+    end = np.arange(len(rows)) + least - 1  # the hit that makes them enough
+    good = end < len(rows)
+    good[good] = group[end[good]] == group[good]
+    good[good] = rows[end[good], 3] - rows[good, 3] <= (own - Q)[good]
+    end, rows, group, own, length = end[good], np.column_stack([rows[good, :3], rows[end[good], 3], rows[good, 3]]), group[good], own[good], length[good]
+    first, last = np.maximum(rows[:, 3] - (own - Q), 0), np.minimum(rows[:, 4], length - own)
+    head = np.ones(len(rows), bool)
+    head[1:] = (group[1:] != group[:-1]) | (first[1:] > last[:-1] + own[1:])
+    tail = np.append(head[1:], True)[:len(rows)]
+    rows, first, last = rows[head, :3], first[head], last[tail]
+    pieces = (last - first) // MOST_BEGINS + 1
+    piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first = np.repeat(first, pieces) + piece * MOST_BEGINS
+    return np.column_stack([np.repeat(rows, pieces, axis=0), first, np.minimum(first + MOST_BEGINS - 1, np.repeat(last, pieces))])
 
 
 def allowed(length: np.ndarray) -> np.ndarray:
@@ -130,32 +131,40 @@ def allowed(length: np.ndarray) -> np.ndarray:
 
 
 def aligned(found: Index, data: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Whether the fragment of each region stands there within the edits allowed: banded alignment, row by row."""
-    item, number, band = rows[:, 1], rows[:, 2], rows[:, 3]
-    length = np.diff(found.offsets)[item]
-    begin = np.minimum(number * STRIDE, np.maximum(length - FRAGMENT, 0))
-    own = np.minimum(length, FRAGMENT)
-    width = EDITS + 1
-    low = band * width - (1 << 40) - EDITS  # first diagonal of the band, with room for edits
-    span = 2 * width + 2 * EDITS
-    offset = np.arange(span)
+    """Whether a fragment of each region stands there within the edits allowed."""
+    own = np.minimum(np.diff(found.offsets)[rows[:, 1]], FRAGMENT)
+    most = allowed(own)
+    steps = rows[:, 4] - rows[:, 3] + own
+    good = np.zeros(len(rows), bool)
+    for edits in np.unique(most):
+        which = np.flatnonzero(most == edits)
+        which = which[np.argsort(-steps[which], kind="stable")]
+        for k in range(0, len(which), MOST_REGIONS):
+            part = which[k:k + MOST_REGIONS]
+            good[part] = within(found, data, offsets, rows[part], own[part], steps[part], int(edits))
+    return good
+
+
+def within(found: Index, data: np.ndarray, offsets: np.ndarray, rows: np.ndarray, own: np.ndarray, steps: np.ndarray, edits: int) -> np.ndarray:
+    """Banded alignment of regions, longest first, letter of the item by letter: the most letters that an alignment that
+    ends there covers, for each number of edits and each diagonal. It may begin anywhere."""
+    span, n = 2 * (EDITS + 1), int(steps.max(initial=0))
     left, right = offsets[rows[:, 0]], offsets[rows[:, 0] + 1]
-    cost = np.zeros((len(rows), span), np.int16)
-    final = np.full(len(rows), np.iinfo(np.int16).max, np.int16)
-    pattern, source = found.data, np.append(data, 0)
-    for i in range(int(own.max(initial=0))):
-        at = left[:, None] + (low + begin)[:, None] + i + offset
-        inside = (at >= left[:, None]) & (at < right[:, None])
-        symbol = pattern[np.minimum(found.offsets[item] + begin + i, len(pattern) - 1)]
-        step = np.where(inside, source[np.where(inside, at, len(data))] != symbol[:, None], True)
-        new = cost + step
-        new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)
-        new = (np.minimum.accumulate(new - offset, axis=1) + offset).astype(np.int16)
-        live = i < own
-        cost[live] = new[live]
-        ended = i == own - 1
-        final[ended] = cost[ended].min(1)
-    return final <= allowed(own)
+    at = left + rows[:, 2] * (EDITS + 1) - (1 << 40) + rows[:, 3] + np.arange(n + span)[:, None]
+    source = np.where((at >= left) & (at < right), np.append(data, 0)[np.clip(at, 0, len(data))], 0)  # no letter is 0
+    pattern = found.data[np.minimum(found.offsets[rows[:, 1]] + rows[:, 3] + np.arange(n)[:, None], len(found.data) - 1)]
+    best = np.zeros((edits + 1, span, len(rows)), np.uint8)
+    good = np.zeros(len(rows), bool)
+    lives = np.searchsorted(-steps, -np.arange(n), "left")  # regions with more letters than that
+    for i, live in enumerate(lives):
+        more = best[:, :, :live] + np.uint8(1)
+        best = more * (source[i:i + span, :live] == pattern[i, :live])
+        np.maximum(best[1:], more[:-1], out=best[1:])
+        np.maximum(best[1:, :-1], more[:-1, 1:], out=best[1:, :-1])
+        for e in range(1, edits + 1):
+            np.maximum(best[e, 1:], best[e - 1, :-1], out=best[e, 1:])
+        good[:live] |= best[edits].max(axis=0) >= own[:live]
+    return good
 
 
 def hits(texts: Texts, found: Index) -> np.ndarray:
@@ -176,9 +185,7 @@ def hits(texts: Texts, found: Index) -> np.ndarray:
         which = np.repeat(found.begins[at[a:b]], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
         place, doc = np.repeat(starts[a:b], own), np.repeat(text[a:b], own)
         rows = regions(found, doc, place - offsets[doc], found.item[which], found.places[which] - found.offsets[found.item[which]])
-        for k in range(0, len(rows), MOST_REGIONS):
-            part = rows[k:k + MOST_REGIONS]
-            out.append(part[aligned(found, data, offsets, part)][:, :2])
+        out.append(rows[aligned(found, data, offsets, rows)][:, :2])
     return np.unique(np.concatenate(out), axis=0)
 
 

@@ -388,6 +388,51 @@ def test_decontamination(spark, docs, empty):
     assert not any(r["contaminated"] for r in contamination(docs, bench.limit(0)).collect())
 
 
+def found_in(items, texts):
+    """Pairs (text, item) that the search over one block gives."""
+    block = decontamination.index(list(range(len(items))), items)
+    return {(i + t, k) for i, _, part in sliced(pa.array(texts)) for t, k in decontamination.hits(part, block)}
+
+
+def letters(rng, n):
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+
+
+def with_edits(rng, text, n):
+    for _ in range(n):
+        at = rng.randrange(len(text))
+        text = text[:at] + rng.choice(["", "#", text[at] + "#"]).replace("#", rng.choice("jkqxz")) + text[at + 1:]
+    return text
+
+
+def test_decontamination_finds_quotes_that_begin_anywhere():
+    rng = random.Random(12)
+    item = letters(rng, 300)
+    quotes = [item[s:s + n] for n in (80, 85, 104) for s in range(300 - n + 1)]
+    texts = [letters(rng, rng.randrange(60)) + q + letters(rng, rng.randrange(60)) for q in quotes]
+    assert found_in([item, letters(rng, 200)], texts) == {(t, 0) for t in range(len(texts))}
+    assert found_in([item], [letters(rng, 40) + item[100:165] + letters(rng, 40)]) == set()
+
+
+def test_decontamination_against_every_fragment():
+    rng = random.Random(13)
+    items = [letters(rng, n) for n in (110, 90, 81, 80, 60, 20, 9)] + ["be " * 33]
+    made = []
+    for _ in range(50):
+        item = rng.choice(items)
+        s = rng.randrange(max(len(item) - 80, 0) + 1)
+        made.append(letters(rng, rng.randrange(30)) + with_edits(rng, item[s:s + rng.choice([80, 84])], rng.randrange(11)) + letters(rng, rng.randrange(30)))
+    expected = set()
+    for t, text in enumerate(made):
+        for k, item in enumerate(x.strip() for x in items):
+            size = min(len(item), 80)
+            most = min(decontamination.EDITS * size // 80, max(size // decontamination.Q - 1, 0))
+            if any(edit_distance_inside(item[s:s + 80].encode(), text.strip().encode()) <= most for s in range(len(item) - size + 1)):
+                expected.add((t, k))
+    assert 20 < len(expected) < 50
+    assert found_in(items, made) == expected
+
+
 def test_source_mixing(spark, docs, empty):
     sizes = {"big": 400, "mid": 100, "small": 20, None: 10}
     rng = random.Random(11)
