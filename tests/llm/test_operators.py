@@ -433,6 +433,19 @@ def test_decontamination_against_every_fragment():
     assert found_in(items, made) == expected
 
 
+def test_decontamination_finds_the_edited_tail_of_an_item():
+    rng = random.Random(14)
+    for n in (90, 95, 135, 170):
+        item = letters(rng, n)
+        texts = []
+        for k in range(300):
+            tail = list(item[n - 80:])
+            for at in rng.sample(range(80), 5 + k % 3):
+                tail[at] = rng.choice([c for c in "jkqxz" if c != tail[at]])
+            texts.append(letters(rng, 100) + "".join(tail) + letters(rng, 20))
+        assert found_in([item], texts) == {(t, 0) for t in range(300)}
+
+
 def test_source_mixing(spark, docs, empty):
     sizes = {"big": 400, "mid": 100, "small": 20, None: 10}
     rng = random.Random(11)
