@@ -31,6 +31,7 @@ from metaudit.llm.words import BASE_BYTES, LOWER, Texts, prefix, range_hash, sli
 FRAGMENT, Q, EDITS = 80, 9, 7
 FILTER_BITS = 22
 MOST_HITS = 2_000_000
+LEAST_RANGE = 8 * FRAGMENT  # two such ranges have far fewer hits than MOST_HITS
 MOST_REGIONS = 2048
 MOST_BEGINS = 160  # of one region; with FRAGMENT they fit a byte
 KEPT = np.zeros(256, bool)
@@ -176,16 +177,17 @@ def hits(texts: Texts, found: Index) -> np.ndarray:
     at = np.minimum(np.searchsorted(found.keys, keys), max(len(found.keys) - 1, 0))
     same = found.keys[at] == keys if len(found.keys) else np.zeros(0, bool)
     starts, at = starts[same], at[same]
-    counts = (found.begins[at + 1] - found.begins[at]).astype(np.int64)
+    low, high = found.begins[at].astype(np.int64), found.begins[at + 1].astype(np.int64)
     out = [np.zeros((0, 2), np.int64)]
-    # places of a common q-gram are taken in parts; a part is all hits of some texts, or of some items of one text
+    # places of a common q-gram are taken in parts: all hits of some texts, or those of a range of one text and of the items
     text = np.searchsorted(offsets, starts, "right") - 1
-    for a, b in in_parts(text, counts):
-        own = counts[a:b]
-        which = np.repeat(found.begins[at[a:b]], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
-        place, doc = np.repeat(starts[a:b], own), np.repeat(text[a:b], own)
-        rows = regions(found, doc, place - offsets[doc], found.item[which], found.places[which] - found.offsets[found.item[which]])
-        out.append(rows[aligned(found, data, offsets, rows)][:, :2])
+    for a, b in in_parts(text, high - low):
+        for which, begin, end in ranges(found, starts[a:b], low[a:b], high[a:b]):
+            own = end - begin
+            hit = np.repeat(begin, own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+            place, doc = np.repeat(starts[a:b][which], own), np.repeat(text[a:b][which], own)
+            rows = regions(found, doc, place - offsets[doc], found.item[hit], found.places[hit] - found.offsets[found.item[hit]])
+            out.append(rows[aligned(found, data, offsets, rows)][:, :2])
     return np.unique(np.concatenate(out), axis=0)
 
 
@@ -201,6 +203,40 @@ def in_parts(text: np.ndarray, counts: np.ndarray):
             a = b
 
 
+def ranges(found: Index, starts: np.ndarray, low: np.ndarray, high: np.ndarray):
+    """Hits in parts of at most MOST_HITS: which of ``starts``, and the range of places of each.
+
+    The items are halved, down to LEAST_RANGE bytes, then the text. Halves overlap by what one
+    fragment takes up, so that all its hits are in one of them.
+    """
+    todo = [(np.arange(len(starts)), low, high, 0, len(found.data))]
+    while todo:
+        which, low, high, a, b = todo.pop()
+        some = high > low
+        which, low, high = which[some], low[some], high[some]
+        if (high - low).sum() <= MOST_HITS or (b - a <= LEAST_RANGE and len(which) <= LEAST_RANGE):
+            yield which, low, high
+        elif b - a > LEAST_RANGE:
+            half = (a + b) // 2
+            todo.append((which, first_from(found, low, high, half), high, half, b))
+            todo.append((which, low, first_from(found, low, high, half + FRAGMENT), a, half + FRAGMENT))
+        else:
+            half = starts[which[len(which) // 2]]
+            for part in (starts[which] >= half, starts[which] < half + FRAGMENT + EDITS):
+                todo.append((which[part], low[part], high[part], a, b))
+
+
+def first_from(found: Index, low: np.ndarray, high: np.ndarray, place: int) -> np.ndarray:
+    """In each range of places, which ascend, the first from ``place`` on."""
+    low, high = low.copy(), high.copy()
+    while len(open_ := np.flatnonzero(low < high)):
+        middle = (low[open_] + high[open_]) // 2
+        before = found.places[middle] < place
+        low[open_[before]] = middle[before] + 1
+        high[open_[~before]] = middle[~before]
+    return low
+
+
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[Index]:
     """The distinct items of the benchmark, read block by block; items go to blocks by hash."""
     items = columns_of(benchmark, item_col, text_col).distinct()

@@ -446,6 +446,26 @@ def test_decontamination_finds_the_edited_tail_of_an_item():
         assert found_in([item], texts) == {(t, 0) for t in range(300)}
 
 
+def test_decontamination_splits_the_hits_of_one_text(monkeypatch):
+    rng = random.Random(15)
+    common = letters(rng, 60)
+    items = [letters(rng, 90) + common + letters(rng, 90) for _ in range(30)] + ["be " * 60, letters(rng, 3000)]
+    long = [common] * 100 + ["be " * 2000, items[31][1400:1480], items[31][-80:], with_edits(rng, items[29][:85], 4)]
+    long += [x[s:s + 80] for x in items[:20] for s in (0, 30, 140, 160)]
+    rng.shuffle(long)
+    texts = [" ".join(long), letters(rng, 30) + items[3][20:105], " ".join([common] * 300)]
+    expected = found_in(items, texts)
+    assert {(0, k) for k in (*range(20), 29, 30, 31)} <= expected and (1, 3) in expected and (0, 25) not in expected
+    sizes, whole = [], decontamination.regions
+    monkeypatch.setattr(decontamination, "regions", lambda found, text, *a: sizes.append(len(text)) or whole(found, text, *a))
+    assert found_in(items, texts) == expected
+    assert max(sizes) > 40_000
+    sizes.clear()
+    monkeypatch.setattr(decontamination, "MOST_HITS", 40_000)
+    assert found_in(items, texts) == expected
+    assert max(sizes) <= 40_000
+
+
 def test_source_mixing(spark, docs, empty):
     sizes = {"big": 400, "mid": 100, "small": 20, None: 10}
     rng = random.Random(11)
