@@ -1,6 +1,6 @@
 """Benchmark decontamination: q-gram lemma filter with banded alignment.
 
-Texts and benchmark items are compared as lower-cased letters and digits with single spaces.
+Texts and benchmark items are compared as lower-cased letters, marks and digits (by code point) with single spaces.
 An item is found where any ``FRAGMENT`` characters in a row of it (bytes of UTF-8), wherever they
 begin, stand with at most ``EDITS`` edits; of a shorter item, the whole with fewer. Such a place
 shares at least ``FRAGMENT + 1 - Q * (EDITS + 1)`` q-grams with those characters, all within a band
@@ -20,13 +20,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from metaudit.llm.shared import saved
 from metaudit.llm.texts import columns_of
-from metaudit.llm.words import BASE_BYTES, LOWER, Texts, prefix, range_hash, sliced
+from metaudit.llm.words import BASE_BYTES, LOWER, Texts, buffers, prefix, range_hash, sliced
 
 FRAGMENT, Q, EDITS = 80, 9, 7
 FILTER_BITS = 22
@@ -34,6 +35,7 @@ MOST_HITS = 2_000_000
 LEAST_RANGE = 8 * FRAGMENT  # two such ranges have far fewer hits than MOST_HITS
 MOST_REGIONS = 2048
 MOST_BEGINS = 160  # of one region; with FRAGMENT they fit a byte
+OTHER = r"[^\x00-\x7f\p{L}\p{M}\p{N}]+"
 KEPT = np.zeros(256, bool)
 KEPT[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 PLAIN = np.where(KEPT, LOWER, 0x20).astype(np.uint8)
@@ -41,16 +43,29 @@ PLAIN = np.where(KEPT, LOWER, 0x20).astype(np.uint8)
 
 def plain(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of lower-cased letters and digits with one space for whatever lies between, and each text's offset."""
-    data = PLAIN[texts.data]
-    upper = np.flatnonzero((texts.data[:-1] == 0xC3) & (texts.data[1:] >= 0x80) & (texts.data[1:] <= 0x9E)) + 1
-    data[upper] += 0x20
+    raw, offsets = texts.data, texts.offsets
+    if (raw >= 0x80).any():
+        raw, offsets = folded(raw, offsets)
+    data = PLAIN[raw]
     keep = np.ones(len(data), bool)
     keep[1:] = (data[1:] != 0x20) | (data[:-1] != 0x20)
-    heads = texts.offsets[:-1][texts.offsets[:-1] < texts.offsets[1:]]
+    heads = offsets[:-1][offsets[:-1] < offsets[1:]]
     keep[heads] = data[heads] != 0x20
     places = np.zeros(len(data) + 1, np.int64)
     np.cumsum(keep, out=places[1:])
-    return data[keep], places[texts.offsets]
+    return data[keep], places[offsets]
+
+
+def folded(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with letters of every script in one case and a space for what is no letter, mark or digit beyond ASCII."""
+    raw = np.ascontiguousarray(raw)
+    column = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(raw))
+    try:
+        column.validate(full=True)
+    except pa.ArrowInvalid:  # broken UTF-8
+        column = pa.array([raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])], pa.large_string())
+    # by way of capitals, so that both forms of a letter that has two small ones are one
+    return buffers(pc.replace_substring_regex(pc.utf8_lower(pc.utf8_upper(column)), OTHER, " "))
 
 
 def qgrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

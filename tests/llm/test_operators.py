@@ -466,6 +466,30 @@ def test_decontamination_splits_the_hits_of_one_text(monkeypatch):
     assert max(sizes) <= 40_000
 
 
+@pytest.mark.parametrize("item,copy", [
+    ("It's a \"small\" river - or so they say", "It’s a “small” river — or so they say…"),
+    ("великая река течет", "ВЕЛИКАЯ «РЕКА» ТЕЧЕТ"),
+    ("ο μεγάλος ποταμός εδώ", "Ο ΜΕΓΆΛΟΣ ΠΟΤΑΜΌΣ ΕΔΏ"),
+    ("długa żółta rzeka płynie", "DŁUGA ŻÓŁTA RZEKA PŁYNIE"),
+    ("नदी बहती है", "नदी, बहती है।"),
+])
+def test_decontamination_sees_no_case_or_punctuation_in_any_script(item, copy):
+    def same(text):
+        data, offsets = decontamination.plain(next(sliced(pa.array(text)))[2])
+        return [data[a:b].tobytes().strip() for a, b in zip(offsets, offsets[1:])]
+
+    one, other = same(["", item, "x"]), same(["", copy, "x"])
+    assert one == other and one[1] and one[2] == b"x"
+    assert found_in([item], ["", "one two three " + copy + " four", "five"]) == {(1, 0)}
+
+
+def test_decontamination_takes_broken_text():
+    raw = "café ".encode() * 3 + b"\xff\xc3 river stone, blue corn"
+    column = pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, len(raw)], np.int32)), pa.py_buffer(raw)])
+    block = decontamination.index([7], ["River stone blue corn"])
+    assert decontamination.hits(next(sliced(column))[2], block).tolist() == [[0, 0]]
+
+
 def test_source_mixing(spark, docs, empty):
     sizes = {"big": 400, "mid": 100, "small": 20, None: 10}
     rng = random.Random(11)
