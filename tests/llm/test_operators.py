@@ -533,3 +533,58 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(rows, docs.schema)
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r["doc_id"] for r in last.collect()} == {r["doc_id"] for r in rows}
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Each stage, over what the one before kept: ids, texts and all other columns."""
+    import corpus_pipeline
+
+    rng = random.Random(16)
+    items = [(0, letters(rng, 120)), (1, letters(rng, 40)), (2, letters(rng, 90))]
+    made = families(rng)[:40] + ["BAD!! " * rng.randrange(20, 60) for _ in range(25)] + [prose(rng, n) for n in (4, 15, 60, 70)]
+    passage = prose(rng, 45)
+    made += [prose(rng, 20) + " " + passage + "\n" + prose(rng, 50) for _ in range(3)] + [passage]
+    made += [prose(rng, 30) + " " + x + " " + prose(rng, 30) for x in (items[0][1][35:118], items[1][1].upper(), with_edits(rng, items[2][1], 5), items[0][1][:60])]
+    rng.shuffle(made)
+    rows = [(i, t, f"l{i % 4}", f"s{i % 3}" if i % 5 else None, len(t)) for i, t in enumerate(made)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(not t.startswith("BAD"))) for i, t in enumerate(made)], "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def quality(before):
+        return [r for r in before if good[r[0]]]
+
+    def near_duplicates(before):
+        low = brute_groups([r[:2] for r in before])
+        return [r for r in before if low[r[0]][1] == r[0]]
+
+    def repeated_passages(before):
+        return [(r[0], cut[r[0]][2], *r[2:4]) for cut in [brute_cut([r[:2] for r in before])] for r in before]
+
+    def decontaminate(before):
+        def leaks(text, item):
+            size = min(len(item), 80)
+            most = min(decontamination.EDITS * size // 80, max(size // decontamination.Q - 1, 0))
+            text = re.sub(r"[^a-zäé0-9]+", " ", text.lower()).encode()
+            return any(edit_distance_inside(item[s:s + 80].encode(), text) <= most for s in range(0, len(item) - size + 1))
+        return [r for r in before if not (set(r[1].split(" ")) & unusual and any(leaks(r[1], item) for _, item in items))]
+
+    # the costly comparison is made only where there is a word that is not of the prose
+    unusual = {w for t in made for w in t.split(" ") if len(w) > 20}
+    good = {r["doc_id"]: r["predicted"] for r in quality_scores(docs, labels).collect()}
+    dropped = []
+    for (name, stage), expected in zip(corpus_pipeline.STAGES[:-1], (quality, near_duplicates, repeated_passages, decontaminate)):
+        assert name == expected.__name__
+        before = [tuple(r) for r in docs.collect()]
+        out = stage(spark, docs, str(tmp_path))
+        after, wanted = [tuple(r) for r in out.collect()], expected(before)
+        if name == "repeated_passages":
+            assert sorted((r[0], words(r[1]), *r[2:4]) for r in after) == sorted(wanted, key=lambda r: r[0])
+            assert all(r[4] == len(r[1]) for r in after)
+            dropped.append(sum(len(words(r[1])) for r in before) - sum(len(words(r[1])) for r in after))
+        else:
+            assert sorted(after, key=lambda r: r[0]) == sorted(wanted, key=lambda r: r[0])
+            dropped.append(len(before) - len(after))
+        docs = spark.createDataFrame(after, docs.schema)
+    assert all(dropped) and len(after) > 10
