@@ -1,12 +1,17 @@
-"""Substring dedup: documents factored against an index of all reference text.
-
-A relative Lempel-Ziv parse with phrases that the content itself cuts. The lowest hash among
-the n-grams of a window of ``window`` words is its anchor, so equal windows have equal anchors
-at equal places, wherever they stand. Consecutive windows with one anchor make a phrase, and
-the index holds every phrase of every document under its anchor, in blocks dealt out by hash.
-A phrase that stands earlier is known text, and the parse joins known phrases greedily to
-factors. Where anchors agree but phrases differ, at the ends of what two documents share, the
-windows are checked one by one, so factors end at the exact word.
+"""Substring dedup: repeated windows found by phrases that the content itself cuts.
+
+This is not a relative Lempel-Ziv parse: no document is factored greedily by longest matches
+against reference blocks. What goes is defined by windows of ``window`` words, so it is enough to
+find every window that stands earlier, and the union of those windows is the same whatever the
+factors. A parse would have to hold reference blocks in a task and send each document to all blocks
+that it meets; winnowed phrases are found by grouping alone.
+
+The lowest hash among the n-grams of a window is its anchor, so equal windows have equal anchors at
+equal places, wherever they stand. Consecutive windows with one anchor make a phrase. Phrases of
+all documents are grouped under anchor and phrase hash; one that stands earlier is known text.
+Where anchors agree but phrases differ, at the ends of what two documents share, the windows are
+checked one by one, so stretches end at the exact word. The windows found are merged; ``n_factors``
+counts the runs of words removed.
 
 Data sent: one row per phrase (one for seven words or so), the rows of shared anchors again,
 the texts once for both the boundary check and the cut, and the windows at boundaries. Rows of
