@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from metaudit.llm import sql
 from metaudit.llm.decontamination import contamination
+from metaudit.llm.fill_in_middle import fill_in_middle, restored
 from metaudit.llm.jaccard_join import similar_groups
 from metaudit.llm.language_id import language_ids
 from metaudit.llm.ngram_lm import lm_scores
@@ -94,5 +95,13 @@ def op8_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@register
+def op11_fill_in_middle(spark, sf_dir):
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 ORACLES.update(op3_quality_rules=sql.quality_rules(), op6_jaccard_join=sql.jaccard_join(),
-               op9_url_filters=sql.url_filters(URL_RULES), op10_substring_dedup=sql.substring_dedup())
+               op9_url_filters=sql.url_filters(URL_RULES), op10_substring_dedup=sql.substring_dedup(),
+               op11_fill_in_middle=sql.fill_in_middle())
