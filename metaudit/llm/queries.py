@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from metaudit.llm import sql
+from metaudit.llm.conversation_trie import digested, joined_ends, numbered, prefix_trie
 from metaudit.llm.decontamination import contamination
 from metaudit.llm.fill_in_middle import fill_in_middle, restored
 from metaudit.llm.jaccard_join import similar_groups
@@ -102,6 +103,32 @@ def op11_fill_in_middle(spark, sf_dir):
                        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+def grafted(turns, every=20):
+    """Turns (conv, turn, key, words) with the heads of each conversation taken from its base, and all conversations."""
+    placed = numbered(turns)
+    base = F.col("conv") - F.col("conv") % every
+    taken = F.crc32(F.col("conv").cast("string")) % 4
+    members = turns.select("conv").distinct()
+    heads = placed.where((F.col("conv") % every == 0) & (F.col("position") < 3)).withColumnRenamed("conv", "base")
+    heads = members.select("conv", base.alias("base"), taken.alias("h")).join(heads, "base").where("position < h")
+    own = placed.where(F.col("position") >= taken)
+    shift = F.lit(4).cast("long")
+    return (heads.select("conv", F.col("position").alias("turn"), "key", "words")
+            .unionByName(own.select("conv", (F.col("position") + shift).alias("turn"), "key", "words"))), members
+
+
+@register
+def op12_conversation_trie(spark, sf_dir):
+    turns, members = grafted(digested(table(spark, sf_dir, "conversations")))
+    nodes, ends = prefix_trie(turns, members)
+    alone = F.when(F.col("n_ends") == 1, F.col("conv_id").cast("string"))
+    single = nodes.where("n_convs = 1").withColumn("ids", alone)
+    shared = nodes.where("n_convs > 1").join(joined_ends(ends), ["conv_id", "depth"], "left")
+    return single.unionByName(shared).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.sha2(F.coalesce("ids", F.lit("")), 256).alias("ends_sha256"))
+
+
 ORACLES.update(op3_quality_rules=sql.quality_rules(), op6_jaccard_join=sql.jaccard_join(),
                op9_url_filters=sql.url_filters(URL_RULES), op10_substring_dedup=sql.substring_dedup(),
-               op11_fill_in_middle=sql.fill_in_middle())
+               op11_fill_in_middle=sql.fill_in_middle(), op12_conversation_trie=sql.conversation_trie())

@@ -101,3 +101,37 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
   CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
   ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
+def crc32(text: str) -> str:
+    """The checksum of ASCII text, bit by bit (0xEDB88320 reflected)."""
+    shift = "xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    byte = f"list_reduce(list_prepend(xor(s, x), range(8)), lambda c, i: {shift})"
+    codes = f"list_transform(string_split({text}, ''), lambda ch: CAST(ord(ch) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda s, x: {byte}), 4294967295)"
+
+
+def conversation_trie() -> str:
+    words = "len(" + WORDS.format(text="text") + ")"
+    return f"""
+WITH o AS (SELECT conv_id AS c, turn, sha256(length(role) || ':' || role || text) AS k, {words} AS words FROM
+  (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+t AS (SELECT c, k, words, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) - 1 AS p FROM o),
+m AS (SELECT c, c - c % 20 AS b, {crc32("CAST(c AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT m.c, 0 AS own, p, k, words FROM m JOIN t ON t.c = m.b AND p < h
+  UNION ALL SELECT c, 1, p, k, words FROM t JOIN m USING (c) WHERE p >= h),
+q AS (SELECT c, k, words, row_number() OVER w AS d, string_agg(k, '') OVER w AS path FROM r WINDOW w AS (PARTITION BY c ORDER BY own, p)),
+pre AS (SELECT c, d, sha256(path) AS x, words FROM q UNION ALL SELECT c, 0, '', 0 FROM m),
+size AS (SELECT c, max(d) AS len FROM pre GROUP BY c),
+node AS (SELECT d, x, min(c) AS rep, count(*) AS n, any_value(words) AS words,
+  sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = len), '')) AS ends
+  FROM pre JOIN size USING (c) GROUP BY d, x),
+up AS (SELECT n.*, a.rep AS prep, a.d AS pd, a.x AS px FROM node n LEFT JOIN pre p ON p.c = n.rep AND p.d = n.d - 1
+  LEFT JOIN node a ON a.d = p.d AND a.x = p.x),
+kids AS (SELECT pd AS d, px AS x, count(*) AS kids FROM up WHERE pd IS NOT NULL GROUP BY pd, px),
+own AS (SELECT n.rep, n.d, (n.n - 1) * n.words AS worth, CASE WHEN kids IS NULL THEN 1 ELSE 0 END AS leaf FROM node n LEFT JOIN kids USING (d, x)),
+sums AS (SELECT p.d, p.x, sum(leaf) AS leaves, sum(worth) AS worth FROM own JOIN pre p ON p.c = own.rep AND p.d <= own.d GROUP BY p.d, p.x)
+SELECT CAST(rep AS BIGINT) AS conv_id, CAST(d AS BIGINT) AS depth, CAST(prep AS BIGINT) AS parent_conv_id,
+  CAST(n AS BIGINT) AS n_convs, CAST(coalesce(kids, 0) AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+  CAST(s.worth AS BIGINT) AS saved_tokens, ends AS ends_sha256
+FROM up JOIN sums s USING (d, x) LEFT JOIN kids USING (d, x)"""
