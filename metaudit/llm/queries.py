@@ -9,6 +9,7 @@ from metaudit.llm.fill_in_middle import fill_in_middle, restored
 from metaudit.llm.jaccard_join import similar_groups
 from metaudit.llm.language_id import language_ids
 from metaudit.llm.ngram_lm import lm_scores
+from metaudit.llm.personal_data import KINDS, personal_spans
 from metaudit.llm.quality_classifier import quality_scores
 from metaudit.llm.quality_rules import repetition_rules
 from metaudit.llm.source_mixing import mix_sources
@@ -103,6 +104,18 @@ def op11_fill_in_middle(spark, sf_dir):
                        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+@register
+def op13_personal_data(spark, sf_dir):
+    found = personal_spans(table(spark, sf_dir, "documents"))
+    rules = F.filter("spans", lambda s: s["by"] == "rule")
+
+    def named(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    counts = [F.size(F.filter(rules, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(named(rules), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+
+
 def grafted(turns, every=20):
     """Turns (conv, turn, key, words) with the heads of each conversation taken from its base, and all conversations."""
     placed = numbered(turns)
