@@ -64,7 +64,8 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     of tokens wanted in all; without it, the least for which every source is taken at least
     once, so that no document is dropped. Tokens are words ``[^\\x20\\x09-\\x0D]+``. A null source
     counts as the empty one. Sources without tokens have weight 0 and their documents stand
-    once; null ids and repeated rows are used like others. An empty table gives no rows.
+    once; null ids and repeated rows are used like others. Rows that share an id are cut in the order of
+    their tokens, so the plan does not depend on partitions. An empty table gives no rows.
     """
     rows = saved(token_table(docs, id_col, text_col, source_col))
     sources = saved(rows.groupBy("source").agg(F.sum("n_tokens").alias("t")))
@@ -100,7 +101,7 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
              .select("source", "block", F.when(F.col("ahead") >= F.col("part"), 0)
                      .when(F.col("ahead") + F.col("n") <= F.col("part"), 2).otherwise(1).alias("take"), "ahead"))
     marked = dealt.join(ahead, ["source", "block"])
-    inside = Window.partitionBy("source", "block").orderBy("doc_last", "id").rowsBetween(*before)
+    inside = Window.partitionBy("source", "block").orderBy("doc_last", "id", "n_tokens").rowsBetween(*before)
     cut = (marked.where("take = 1").withColumn("ahead", F.col("ahead") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
            .withColumn("more", (F.col("ahead") < F.col("part")).cast("int")))
     sure = marked.where("take <> 1").withColumn("more", F.when(F.col("take") == 2, 1).otherwise(0))
