@@ -126,8 +126,8 @@ def language_ids(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id"
     """Per row of ``docs``: the id, lang_pred, score (0 to 1) and rejected.
 
     Learns from the rows of ``training`` whose text and language are not null: document
-    frequencies from all of them, centroids from about ``sample_per_language`` rows of each
-    language, chosen by a hash of id and text. ``lang_pred`` is the language of the nearest
+    frequencies from all of them, centroids from at most about ``sample_per_language`` different texts
+    of each language, chosen by a hash of the text (equal texts count once; ids play no part). ``lang_pred`` is the language of the nearest
     centroid, or ``und`` (score 0) if the text is null or has no letter, or nothing was learnt.
     ``rejected`` is true where the nearest centroid's cosine is under ``reject_below``. The
     score is the share of the winner among the languages' best cosines, sharpened.
@@ -141,9 +141,12 @@ def language_ids(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id"
     n, df = document_frequencies(known, text_col)
     idf = (np.log((n + 1) / (df + 1)) + 0.05).astype(np.float32)
 
-    # rows are picked by a hash of id and text against the language's share: no sort, no shuffle of texts
+    # texts are picked by their hash against the language's share; only those picked are shuffled
     share = F.create_map(*[x for lang, size in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, sample_per_language / size)))])
-    picked = known.where(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), F.lit(1 << 20)) < share[F.col(lang_col)] * (1 << 20))
+    mark = F.xxhash64(F.col(text_col), F.lit(seed))
+    picked = (known.where(F.pmod(mark, F.lit(1 << 20)) < share[F.col(lang_col)] * (1 << 20))
+              .groupBy(F.col(lang_col).alias("lang"), mark.alias("mark")).agg(F.min(text_col).alias("text"))
+              .select(F.struct("lang", "mark").alias("of"), "text"))
 
     def sparse(texts):
         counts = np.concatenate([gram_counts(p) for p in parts(texts)]) if texts.n else np.zeros((0, DIMENSIONS), np.int64)
@@ -152,16 +155,16 @@ def language_ids(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id"
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(at.astype(np.int32))),
                 pa.ListArray.from_arrays(pa.array(ends), pa.array(counts[rows, at].astype(np.int32)))]
 
-    sample: dict[str, list[np.ndarray]] = {lang: [] for lang in sizes}
-    for row in per_text(picked.select(lang_col, text_col), sparse, "at array<int>, n array<int>", id_col=lang_col,
-                        text_col=text_col).toLocalIterator():
+    sample: dict[str, list[tuple[int, np.ndarray]]] = {lang: [] for lang in sizes}
+    for row in per_text(picked, sparse, "at array<int>, n array<int>", id_col="of").toLocalIterator():
         counts = np.zeros((1, DIMENSIONS), np.int64)
         counts[0, row["at"]] = row["n"]
-        sample[row[lang_col]].append(vectors(counts, idf)[0])
+        sample[row["of"]["lang"]].append((row["of"]["mark"], vectors(counts, idf)[0]))
     names, groups = [], []
     for lang in sorted(sample):
         if sample[lang]:
-            means = spherical_means(np.stack(sample[lang]), centroids, rounds, seed)
+            ordered = [v for _, v in sorted(sample[lang], key=lambda x: x[0])]
+            means = spherical_means(np.stack(ordered), centroids, rounds, seed)
             groups.append(means)
             names += [lang] * len(means)
     languages = sorted(set(names))
