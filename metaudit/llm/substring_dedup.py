@@ -72,20 +72,21 @@ def phrases(texts: Texts, hashes: np.ndarray, window: int, gram: int) -> Phrases
 
 
 def phrase_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """Each text's phrases, the first of equal ones."""
+    """Each text's phrases, the first of equal ones; ``key`` tells texts under one id apart."""
     schema = StructType([StructField("id", docs.schema["id"].dataType),
-                         *StructType.fromDDL("anchor long, phrase long, at long, n int").fields])
+                         *StructType.fromDDL("key long, anchor long, phrase long, at long, n int").fields])
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
-            for i, _, texts in sliced(batch.column(1)):
+            ids, keys = batch.column(0), batch.column(1)
+            for i, _, texts in sliced(batch.column(2)):
                 found = phrases(texts, texts.word_hashes(), window, gram)
                 doc = np.searchsorted(texts.first, found.start, "right") - 1
                 _, later = repeated(in_text(found.phrase ^ found.anchor, doc))
                 own = np.flatnonzero(~later)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(i + doc[own])), pa.array(found.anchor[own].view(np.int64)),
+                    [ids.take(pa.array(i + doc[own])), keys.take(pa.array(i + doc[own])),
+                     pa.array(found.anchor[own].view(np.int64)),
                      pa.array(found.phrase[own].view(np.int64)), pa.array(found.start[own] - texts.first[doc[own]]),
                      pa.array(found.windows[own].astype(np.int32))], schema.names)
 
@@ -103,26 +104,26 @@ def spans_of(batch: pa.RecordBatch, name: str, i: int, j: int) -> tuple[np.ndarr
 def boundary_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """Hashes of the windows named by each row's spans, the first of equal ones in a text."""
     schema = StructType([StructField("id", docs.schema["id"].dataType),
-                         *StructType.fromDDL("w0 long, w1 long, at long").fields])
+                         *StructType.fromDDL("key long, w0 long, w1 long, at long").fields])
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("id")
+            ids, keys = batch.column("id"), batch.column("key")
             for i, j, texts in sliced(batch.column("text")):
                 row, at, n = spans_of(batch, "spans", i, j)
                 if not len(row):
                     continue
                 starts = np.repeat(texts.first[row] + at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 row = np.repeat(row, n)
-                fits = starts + window <= texts.first[row + 1]  # not so for another text under the same id
-                order = np.argsort(starts[fits])
-                starts, row = starts[fits][order], row[fits][order]
+                order = np.argsort(starts)
+                starts, row = starts[order], row[order]
                 hashes = texts.word_hashes()
                 w0 = range_hash(prefix(hashes, BASE_PHRASE), starts, starts + window, BASE_PHRASE)
                 w1 = range_hash(prefix(mix(hashes), 0xDA942042E4DD58B5), starts, starts + window, 0xDA942042E4DD58B5)
                 own = np.flatnonzero(~repeated(in_text(w0, row))[1])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(i + row[own])), pa.array(w0[own].view(np.int64)), pa.array(w1[own].view(np.int64)),
+                    [ids.take(pa.array(i + row[own])), keys.take(pa.array(i + row[own])),
+                     pa.array(w0[own].view(np.int64)), pa.array(w1[own].view(np.int64)),
                      pa.array(starts[own] - texts.first[row[own]])], schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -158,8 +159,6 @@ def shorten(docs: DataFrame, window: int) -> DataFrame:
                 _, later = repeated(in_text(keys, doc[starts]))
                 begin = np.concatenate([texts.first[row] + at, starts[later]])
                 size = np.concatenate([n + window - 1, np.full(later.sum(), window)])
-                size = np.minimum(size, np.append(texts.first[row + 1], texts.first[doc[starts[later]] + 1]) - begin)
-                begin, size = begin[size >= window], size[size >= window]
                 gone = covered(len(hashes), begin, size)
                 removed = np.bincount(doc[gone], minlength=texts.n)
                 heads = gone.copy()
@@ -186,32 +185,37 @@ def drop_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     starts earlier: under a smaller id, or under the same id at an earlier word. Words are
     ``[^\\x20\\x09-\\x0D]+``, unchanged. Texts that lose nothing come back as they are, null as
     null. A null id counts as the smallest. Rows with the same id are versions of one document:
-    the same place in them is not earlier, so equal rows do not remove each other. Texts under
+    the same place in them is not earlier, so equal rows do not remove each other, and each text
+    loses only what its own windows cover. Texts under
     ``window`` words keep everything. Hashes of 128 bits stand for phrases and windows.
     """
     others = [docs[c] for c in docs.columns if c not in (id_col, text_col)]
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"),
+    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("key"),
                          F.struct(*others or [F.lit(None).cast("string").alias("none")]).alias("others"))
-    rows = phrase_rows(source.select("id", "text"), window, gram)
+    rows = phrase_rows(source.select("id", "key", "text"), window, gram)
     shared = (rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), (F.min("phrase") != F.max("phrase")).alias("mixed"))
               .where("c > 1").drop("c"))
     known = saved(rows.join(shared, "anchor"))
-    place = F.struct("id", "at")
-    firsts = known.groupBy("anchor", "phrase").agg(F.min(place).alias("first"), F.max("n").alias("n"),
+    place, row = F.struct("id", "at"), F.struct("id", "at", "key")
+
+    def after_first(found):
+        return found.where(place > F.struct("first.id", "first.at"))
+
+    firsts = known.groupBy("anchor", "phrase").agg(F.min(row).alias("first"), F.max("n").alias("n"),
                                                    F.max("mixed").alias("mixed"), F.count(F.lit(1)).alias("c"))
-    copies = (known.join(firsts.where("c > 1").select("anchor", "phrase", "first"), ["anchor", "phrase"])
-              .where(place > F.col("first")).select("id", "at", "n"))
-    borders = firsts.where("mixed").select(F.col("first.id").alias("id"), F.col("first.at").alias("at"), "n")
+    copies = after_first(known.join(firsts.where("c > 1").select("anchor", "phrase", "first"), ["anchor", "phrase"]))
+    copies = copies.select("id", "key", "at", "n")
+    borders = firsts.where("mixed").select("first.id", "first.key", "first.at", "n")
 
     def with_spans(spans):
-        """All texts with the spans of their id; the texts' exchange is the same in each use."""
-        own = spans.groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("spans")).withColumnRenamed("id", "of")
-        return source.join(own, source["id"].eqNullSafe(own["of"]), "left").drop("of")
+        """All texts with their spans; the texts' exchange is the same in each use."""
+        own = spans.groupBy("id", "key").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+        own = own.withColumnsRenamed({"id": "of", "key": "of_key"})
+        return source.join(own, source["id"].eqNullSafe(own["of"]) & (source["key"] == own["of_key"]), "left").drop("of", "of_key")
 
     windows = boundary_windows(with_spans(borders), window, gram)
     earliest = (windows.groupBy("w0", "w1").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
                 .where("c > 1").drop("c"))
-    edges = (windows.join(earliest, ["w0", "w1"]).where(place > F.col("first"))
-             .select("id", "at", F.lit(1).alias("n")))
+    edges = after_first(windows.join(earliest, ["w0", "w1"])).select("id", "key", "at", F.lit(1).alias("n"))
     return shorten(with_spans(copies.unionByName(edges)), window).select(
         "others", F.col("id").alias(id_col), F.col("text").alias(text_col), "n_words", "n_removed", "n_factors")
