@@ -14,8 +14,7 @@ subtree.
 
 Hot rows: a long conversation is numbered in range parts and scanned in blocks of BLOCK turns, with what
 lies before or after a block carried over; a digest that many conversations share (a system prompt, the
-root) is pre-aggregated, and its rows meet their node by a broadcast of the at most HOT_NODES hottest
-nodes. The sketch goes through the driver: at most three times ``sketch_cells`` bits.
+root) is pre-aggregated, and its rows meet their node by a broadcast of the few hottest nodes. The sketch goes through the driver: at most three times ``sketch_cells`` bits.
 
 Rows without conv_id belong to no conversation. Null roles and texts count as empty, null turns come
 first, ties are ordered by the SHA-256 of role and text; repeated rows are turns of their own. Other
@@ -30,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metaudit.llm.shared import saved
+from metaudit.llm.skew import meet
 from metaudit.llm.words import mix
 
 SKETCH_ROWS = 3
@@ -37,7 +37,6 @@ CELLS_A_PREFIX = 4
 BLOCK_BITS = 16  # cells of a sketch block
 FLUSH = 1 << 20  # prefixes of a task whose cells are sorted at once
 BLOCK = 1024
-HOT_NODES = 1000
 
 
 def digested(conversations: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
@@ -56,10 +55,11 @@ def numbered(turns: DataFrame) -> DataFrame:
     """The turns with their position (from 0) in their conversation, by turn and key.
 
     Parts are ranges of the order, so a long conversation lies in several; at most one conversation
-    goes on into each part, which bounds the table of offsets.
+    goes on into each part, which bounds the table of offsets. The turns are written first, as
+    cutting ranges reads them twice.
     """
     order = [F.col("turn").asc_nulls_first(), F.col("key")]
-    parts = saved(turns.repartitionByRange(F.col("conv"), *order).withColumn("part", F.spark_partition_id()))
+    parts = saved(saved(turns).repartitionByRange(F.col("conv"), *order).withColumn("part", F.spark_partition_id()))
     earlier = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (parts.groupBy("conv", "part").count().withColumn("before", F.sum("count").over(earlier))
                .where("before > 0").select("conv", "part", "before"))
@@ -206,16 +206,8 @@ def lone_nodes(rows: DataFrame, parent: Column) -> DataFrame:
 
 
 def own_and_above(shared: DataFrame, first_lone: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows of possibly shared prefixes with the members, representative and children of their nodes.
-
-    A node is hot from a share of 1 / HOT_NODES of the rows on, so at most HOT_NODES are broadcast;
-    the other rows are joined by digest.
-    """
-    facts = nodes.select("a", "b", F.col("n").alias("n_rows"), "rep", "kids")
-    limit = max(nodes.agg(F.sum("n")).first()[0] or 0, 1) / HOT_NODES
-    hot = F.broadcast(facts.where(F.col("n_rows") > limit))
-    rest = shared.join(hot.select("a", "b"), ["a", "b"], "left_anti")
-    met = shared.join(hot, ["a", "b"]).unionByName(rest.join(facts.where(F.col("n_rows") <= limit), ["a", "b"]))
+    """Rows of possibly shared prefixes with the members, representative and children of their nodes."""
+    met = meet(shared, nodes.select("a", "b", F.col("n").alias("n_rows"), "rep", "kids"), ["a", "b"], "n_rows")
     mine = F.col("conv") == F.col("rep")
     found = met.select("conv", "depth", "block", "a", "b", "last", "n_rows", "rep", mine.alias("mine"),
                        F.when(mine, (F.col("n_rows") - 1) * F.col("words")).otherwise(0).alias("worth"),

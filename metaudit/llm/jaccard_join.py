@@ -20,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, MapType, StructField, StructType, VariantType
 
 from metaudit.llm.components import components
 from metaudit.llm.shared import saved
+from metaudit.llm.skew import meet
 from metaudit.llm.texts import columns_of
 from metaudit.llm.words import BASE_WORDS, Texts, grams, mix, prefix, range_hash, sliced
 
@@ -282,11 +283,19 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     with a null id links nothing; it has the component of the rows with its set, or null. Rows
     may repeat. 64-bit hashes stand for shingles and sets.
     """
+    found = grouped(docs, id_col, text_col, shingle, percent)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+                        F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"), "n_copies")
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """Per row: id, node (its set), n, n_copies, and least and least_node, the first id and set of its component."""
     spark = docs.sparkSession
     everything = columns_of(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     source = everything.where("id IS NOT NULL")
     order = spark.sparkContext.broadcast(count_sketch(source, shingle))
     summary = saved(summaries(everything, shingle))
+    classes = saved(summary.groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("n_copies")))
 
     rows = prefixes(source, shingle, percent, order)
     meeting = rows.where("first").groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high"))
@@ -304,7 +313,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     families = saved(components(stars.select(F.col("node").alias("a"), F.col("low").alias("b"))))
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(families.select("node")).distinct()
-    chosen = summary.where("id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id")).join(wanted, "node")
+    chosen = classes.where("id IS NOT NULL").join(wanted, "node")
     marks = spark.sparkContext.broadcast(mark_words(chosen))
     sets = saved(fetched_sets(source, shingle, marks))
 
@@ -312,25 +321,29 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     links = family_links(members, percent).union(pair_links(pairs, sets, percent))
     found = components(links)
 
-    labelled = (summary.join(found, "node", "left")
-                .withColumn("component", F.coalesce("component", "node")))
-    least = labelled.where("n > 0").groupBy("component").agg(F.min("id").alias("least"))
-    copies = summary.groupBy("node").agg(F.count(F.lit(1)).alias("n_copies"))
-    joined = labelled.join(least, "component", "left").join(copies, "node")
-    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"), "n_copies")
+    # components are told to classes, and classes to rows, with hot ones apart
+    labelled = saved(classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "node")))
+    heads = saved(labelled.groupBy("component").agg(first.alias("first"), F.count(F.lit(1)).alias("members"))
+                  .select("component", "members", F.col("first.id").alias("least"), F.col("first.node").alias("least_node")))
+    told = saved(meet(labelled.drop("id"), heads, ["component"], "members").drop("component", "members"))
+    return meet(summary.select("id", "node"), told, ["node"], "n_copies")
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
                 percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group; rows with a null id stay.
+    """Of each group the row with the smallest id (then set, then text); rows with a null id or no word stay.
 
-    Rows under one id are one document. Only texts that may go are shuffled: bits of the ids to
-    drop, a fixed 8 MB, let the others pass, and an exact anti-join decides on the rest.
+    Rows are judged by id and set, so texts that share an id are judged each by itself. Only texts that
+    may go are shuffled: bits of the ids in question, a fixed 8 MB, let the others pass, and an exact
+    join decides on the rest.
     """
-    groups = similar_groups(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent)
-    gone = saved(groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("id")).distinct())
-    marks = docs.sparkSession.sparkContext.broadcast(mark_words(gone))
+    rows = grouped(docs, id_col, text_col, shingle, percent).where("id IS NOT NULL AND n > 0").groupBy("id", "node").agg(
+        F.count(F.lit(1)).alias("c"), F.max((F.col("id") == F.col("least")) & (F.col("node") == F.col("least_node"))).alias("stays"))
+    judged = saved(rows.where("c > 1 OR NOT stays").select(F.col("id").alias("_id"), F.col("node").alias("_node"), "stays"))
+    marks = docs.sparkSession.sparkContext.broadcast(mark_words(judged.select(F.col("_id").alias("id"))))
+    place = docs.columns.index(text_col)
+    with_node = StructType([*docs.schema.fields, StructField("_set", LongType())])
 
     def marked(wanted: bool):
         def run(batches):
@@ -339,11 +352,21 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 at = marks_of(ids.fill_null(0).to_numpy(zero_copy_only=False))
                 hit = (marks.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
                 hit &= ids.is_valid().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(hit == wanted))
-        return docs.mapInArrow(run, docs.schema)
+                left = batch.filter(pa.array(hit == wanted))
+                if not wanted:
+                    yield left
+                    continue
+                for i, j, texts in sliced(left.column(place), lower=True):
+                    node = class_keys(*shingle_sets(texts, shingle))
+                    yield pa.RecordBatch.from_arrays([*left.slice(i, j - i).columns, pa.array(node)], with_node.names)
+        return docs.mapInArrow(run, with_node if wanted else docs.schema)
 
     maybe = marked(True)
-    return marked(False).unionAll(maybe.join(gone, maybe[id_col].cast("long") == gone["id"], "left_anti"))
+    maybe = maybe.join(judged, (maybe[id_col].cast("long") == judged["_id"]) & (maybe["_set"] == judged["_node"]), "left")
+    hashed = [c.name for c in docs.schema if not isinstance(c.dataType, (MapType, VariantType))]
+    alike = Window.partitionBy("_id", "_node").orderBy(text_col, F.xxhash64(*hashed))
+    again = maybe.where("stays").withColumn("_place", F.row_number().over(alike)).where("_place = 1")
+    return marked(False).unionAll(maybe.where("stays IS NULL").select(*docs.columns)).unionAll(again.select(*docs.columns))
 
 
 def mark_words(chosen: DataFrame) -> np.ndarray:
