@@ -112,8 +112,10 @@ def op13_personal_data(spark, sf_dir):
     def named(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    counts = [F.size(F.filter(rules, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(named(rules), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+    def count(kind):
+        return F.size(F.filter(rules, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, KINDS), F.sha2(named(rules), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
 
 
 def grafted(turns, every=20):

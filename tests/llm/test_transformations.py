@@ -15,7 +15,7 @@ from metaudit.llm import fill_in_middle as fim
 from metaudit.llm.boosting import boosted, calibrated_threshold
 from metaudit.llm.conversation_trie import digested, joined_ends, prefix_trie
 from metaudit.llm.personal_data import KINDS, candidates, luhn, personal_spans, rule_spans
-from metaudit.llm.queries import grafted
+from metaudit.llm.queries import grafted, op13_personal_data
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -321,6 +321,16 @@ def test_nothing_depends_on_ids_order_or_partitions(spark, told):
     assert all(first[i] == second[i + 10 ** 6] for i in range(1, len(rows)))
 
 
+def test_query_of_personal_data(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in op13_personal_data(spark, sf).collect():
+        spans = plain_spans(texts[r.doc_id])
+        assert [r[f"n_{k}"] for k in KINDS] == [sum(s[0] == i for s in spans) for i in range(4)]
+        named = [f"{KINDS[k]}:{a}:{b}" for k, a, b in spans]
+        assert r.base_sha256 == sha(",".join(named)) and set(named) <= set(r.spans.split(",")) | {""}
+
+
 def test_no_texts_and_no_matches(spark):
     assert personal_spans(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     quiet = spark.createDataFrame([(1, "nothing to see"), (2, "call (017) 555-1234 now")], "doc_id long, text string")
