@@ -302,7 +302,7 @@ def _pairs_sql(threshold: int, group: str = "") -> str:
           "SELECT g AS group_id, file1, file2, similarity, copies1, copies2, CASE WHEN similarity < 50 THEN 'low' "
           "WHEN similarity < 80 THEN 'medium' ELSE 'high' END AS band FROM q")
 def pairwise_similarity(spark, sf_dir):
-    return similar.pairwise_similarity(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return similar.pairwise_similarity(similar.text_index(table(spark, sf_dir, "documents"), "doc_id", "text", 50, "source"))
 
 
 @register("find_similar", _pairs_sql(70) +
@@ -311,7 +311,19 @@ def pairwise_similarity(spark, sf_dir):
           "SELECT file_id, file2, similarity, copies2 FROM m JOIN q ON rep = file1 UNION ALL "
           "SELECT file_id, file1, similarity, copies1 FROM m JOIN q ON rep = file2")
 def find_similar(spark, sf_dir):
-    return similar.find_similar(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return similar.find_similar(similar.text_index(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+@register("similar_clusters", _pairs_sql(70).replace("WITH u AS", "WITH RECURSIVE u AS", 1) +
+          ", t AS (SELECT text, min(doc_id) AS rep, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text), "
+          "e AS (SELECT file1 AS a, file2 AS b FROM q UNION ALL SELECT file2, file1 FROM q), "
+          "reach AS (SELECT rep AS a, rep AS b FROM t UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a), "
+          "c AS (SELECT a AS rep, min(b) AS cluster FROM reach GROUP BY a), "
+          "z AS (SELECT cluster, sum(copies) AS n_files FROM t JOIN c USING (rep) GROUP BY cluster) "
+          "SELECT doc_id AS file_id, coalesce(cluster, doc_id) AS cluster, CAST(coalesce(n_files, 1) AS BIGINT) AS n_files "
+          "FROM documents LEFT JOIN t USING (text) LEFT JOIN c USING (rep) LEFT JOIN z USING (cluster)")
+def similar_clusters(spark, sf_dir):
+    return similar.similar_clusters(similar.text_index(table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
 @register("similarity_band", "SELECT part AS score, CASE WHEN part < 50 THEN 'low' WHEN part < 80 THEN 'medium' ELSE 'high' END AS band, "
