@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metaudit.functions.findings import Items, combine, finding, fires, no_findings
+from metaudit.functions.findings import combine, no_findings
 from metaudit.operators import (
     audio_rules, document_rules, executable_rules, generic_rules, image_rules, pattern_rules, video_rules,
 )
 from metaudit.operators.classify import error_struct
 from metaudit.operators.flatten import flatten_entries
 from metaudit.operators.records import Record, conform
+from metaudit.operators.rule_index import rule_findings
 from metaudit.operators.rulebook import Pack
 from metaudit.schema import ERROR, FINDING
 
@@ -158,20 +159,7 @@ def match_rules(df: DataFrame, entries: Column, rules: list, into: str = "findin
     """User rules over the entries of each record, as findings.
 
     ``rules`` is the content of a rules file: dicts with rule, regex, field_like (LIKE on the
-    field name, None for all), type and severity. They become literals of one projection, so
-    each expression is compiled once and there is neither a join nor a shuffle.
+    field name, None for all), type and severity. They become one constant, indexed by text
+    that matches must contain (see ``rule_index``); there is neither a join nor a shuffle.
     """
-    def hits(rule):
-        def test(e):
-            wanted = e["value"].rlike(rule["regex"])
-            return wanted & e["field"].like(rule["field_like"]) if rule.get("field_like") else wanted
-        return F.sort_array(F.transform(F.filter(entries, test), lambda e: e["field"]))
-
-    names = [f"_u_{i}" for i in range(len(rules))]
-    matched = df.withColumns({n: hits(r) for n, r in zip(names, rules)})
-    found = combine(
-        fires(F.size(n) > 0, finding(
-            r["rule"], r.get("type", "security"), r.get("severity", "medium"), f"Matched rule {r['rule']}",
-            fields=Items(F.col(n))))
-        for n, r in zip(names, rules))
-    return matched.withColumn(into, found).drop(*names)
+    return df.withColumn(into, rule_findings(entries, rules))
