@@ -7,8 +7,10 @@ from pyspark.sql import types as T
 from metaudit.functions import constants as K
 from metaudit.functions.paths import basename, extension, raw_extension, stem
 from metaudit.operators.audit import audit
+from metaudit.operators.classify import error_struct
 from metaudit.operators.records import conform
 from metaudit.operators.report import each
+from metaudit.sources.folders import write_files
 
 KINDS = ["image", "pdf", "docx", "xlsx", "tags"]
 
@@ -149,6 +151,41 @@ def redact_batch(df: DataFrame, output_dir: str, keep=None, suffix: str | None =
     })
 
 
+def mark_clashes(batch: DataFrame) -> DataFrame:
+    """Rows whose output path a row with a smaller file path takes too have failed, with an error.
+
+    Only the paths that are taken twice are joined with the rows.
+    """
+    taken = (batch.where("output_path IS NOT NULL").groupBy("output_path")
+             .agg(F.min("file_path").alias("_first"), F.max("file_path").alias("_last")).where("_first <> _last").drop("_last"))
+    clash = F.col("_first").isNotNull() & (F.col("file_path") != F.col("_first"))
+    error = F.array(error_struct("OutputError", F.concat(F.lit("The output path is taken by "), "_first")))
+    marked = batch.join(taken, "output_path", "left").withColumns({
+        "errors": F.when(clash, F.concat("errors", error)).otherwise(F.col("errors")),
+        "status": F.when(clash, "failed").otherwise(F.col("status")),
+        "output_path": F.when(~clash, F.col("output_path"))})
+    return marked.select(*batch.columns)
+
+
+def write_redacted(df: DataFrame, output_dir: str, keep=None, suffix: str | None = None) -> DataFrame:
+    """Write each redacted record as a JSON file at its output path; returns file_path, output_path, status.
+
+    Records with errors, records whose output path another one takes, and files that cannot be written have
+    failed; the others are there, whole. Runs one job; when it is run again each file is there once.
+    """
+    batch = mark_clashes(redact_batch(df, output_dir, keep, suffix))
+    kept = [F.try_parse_json(c).alias(c) if c == "metadata" and isinstance(batch.schema[c].dataType, T.StringType) else F.col(c)
+            for c in batch.columns if c not in ("output_path", "status")]
+    record = F.to_json(F.struct(*kept), {"ignoreNullFields": "false"})
+    failed = write_files(batch.where("status = 'successful'").select(F.col("output_path").alias("file_path"), record.alias("content")),
+                         output_dir)
+    failed = failed.select(F.col("file_path").alias("output_path"), F.lit(True).alias("_unwritten"))
+    result = batch.select("file_path", "output_path", "status").join(failed, "output_path", "left")
+    return result.select(
+        "file_path", F.when(F.col("_unwritten").isNull(), F.col("output_path")).alias("output_path"),
+        F.when(F.col("_unwritten"), "failed").otherwise(F.col("status")).alias("status"))
+
+
 def redact_batch_summary(batch: DataFrame) -> DataFrame:
     return batch.agg(
         F.count("*").alias("total"), F.count_if(F.col("status") == "successful").alias("successful"),

@@ -13,6 +13,8 @@ from metaudit.plans.base import as_json, choose, derive, derive_sql, in_list, qu
 from metaudit.plans.text import DETECTOR_SQL
 from metaudit.plans.typed import rule_sql
 from metaudit.sources import files as S
+from metaudit.sources.folders import list_folder, write_files
+from metaudit.sources.folders import scan_folder as read_folder
 from metaudit.sources.records import parse_records, recorded_findings, write_findings_csv, write_report_json
 from metaudit.sources.scratch import scratch_path
 
@@ -66,12 +68,33 @@ def scan_files(spark, sf_dir):
                         F.get("errors", F.lit(0))["error_type"].alias("error"))
 
 
-@register("scan_table_files")
+@register("scan_table_files", "SELECT source, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS n_bytes, true AS with_hidden "
+                              "FROM documents WHERE source IS NOT NULL GROUP BY source")
 def scan_table_files(spark, sf_dir):
-    """The table files themselves; content is not read."""
-    found = S.scan_files(spark, sf_dir, recursive=True, include="*.parquet")
-    return found.select(basename(F.col("file_path")).alias("name"), "file_size",
-                        classify.classify_file_type(F.col("file_path")).alias("file_type"))
+    """Documents written as text files by source, and their folders listed: sizes, and the hidden checksum files too."""
+    path = scratch_path(spark)
+    docs = table(spark, sf_dir, "documents").where("source IS NOT NULL").select(F.coalesce("text", F.lit("")).alias("text"), "source")
+    docs.write.partitionBy("source").text(path)
+    listed = list_folder(spark, path, recursive=True).withColumn("source", F.regexp_extract("file_path", "/source=([^/]*)/", 1))
+    plain = F.col("file_path").endswith(".txt")
+    return listed.where("source <> ''").groupBy("source").agg(
+        F.sum(F.when(plain, F.col("file_size"))).alias("n_bytes"),
+        (F.count_if(plain) == F.count_if(basename(F.col("file_path")).startswith("."))).alias("with_hidden"))
+
+
+@register("scan_folder", f"SELECT CAST(doc_id AS VARCHAR) AS name, sha256(coalesce(text, '')) AS sha256, strlen(coalesce(text, '')) AS file_size, "
+                         "true AS timed, 0 AS n_errors FROM documents WHERE source IS NOT NULL")
+def scan_folder(spark, sf_dir):
+    """Documents written as files of their own, some hidden, some empty, and scanned with their content."""
+    path = scratch_path(spark)
+    docs = table(spark, sf_dir, "documents").where("source IS NOT NULL")
+    mark = F.when(F.col("doc_id") % 3 == 0, ".").when(F.col("doc_id") % 3 == 1, "_").otherwise("f")
+    name = F.concat(F.lit(f"{path}/"), F.col("source"), F.lit("/"), mark, F.col("doc_id").cast("string"))
+    write_files(docs.select(name.alias("file_path"), F.coalesce("text", F.lit("")).alias("content")), path)
+    found = read_folder(spark, path, recursive=True)
+    timed = F.least("creation_time", "modification_time", "access_time") > "2020-01-01"
+    return found.select(F.regexp_extract("file_path", r"[^/0-9]([0-9]+)\z", 1).alias("name"), F.sha2("content", 256).alias("sha256"),
+                        "file_size", timed.alias("timed"), F.size("errors").alias("n_errors"))
 
 
 @register("filter_files", f"SELECT file_path FROM ({FILES_SQL}) WHERE regexp_matches({NAME}, '^doc_.*[0-9]\\.[jp].*$') "

@@ -13,6 +13,8 @@ from metaudit.operators.records import conform
 from metaudit.plans.base import choose, derive, derive_sql, quoted, register, section, table
 from metaudit.plans.files import FILES, FILES_SQL, _TYPE_SQL
 from metaudit.plans.text import DETECTOR_SQL, patterns_sql
+from metaudit.sources.folders import local_path, scan_folder
+from metaudit.sources.scratch import scratch_path
 
 DETECTORS = ["email", "phone", "domains", "ip_addresses", "credit_cards", "api_keys"]
 DOCS = {**FILES, "secret_note": "text", "creation": "lang"}
@@ -444,6 +446,35 @@ def redact_batch(spark, sf_dir):
     return done.select("file_path", "output_path", "status", F.to_json(F.parse_json("metadata")).alias("metadata"))
 
 
+@register("write_redacted",
+          f"SELECT f.file_path, CASE WHEN id % 10 = 0 THEN 'failed' ELSE 'successful' END AS status, "
+          f"CASE WHEN id % 10 <> 0 THEN {_WHOLE} END AS metadata FROM ({_REDACTED_SQL}) f")
+def write_redacted(spark, sf_dir):
+    """Redacted records written one file each, and read back from a scan of the folder."""
+    folder = f"{local_path(scratch_path(spark))}/out"
+    done = redact.write_redacted(_redactable(spark, sf_dir), folder, KEEP)
+    back = scan_folder(spark, folder).select(
+        F.col("file_path").alias("output_path"),
+        F.to_json(F.try_variant_get(F.parse_json(F.col("content").cast("string")), "$.metadata", "variant")).alias("metadata"))
+    return done.join(back, "output_path", "left").select("file_path", "status", "metadata")
+
+
+CLASHING = {"id": "p_partkey", "file_path": "'d' || CAST(p_partkey % 7 AS STRING) || '/f' || CAST(p_size AS STRING) || '.txt'"}
+
+
+@register("redact_clashes",
+          "WITH f AS (" + derive_sql("part", CLASHING) + "), g AS (SELECT regexp_extract(file_path, '[^/]*$') AS name, min(file_path) AS first FROM f GROUP BY 1) "
+          "SELECT id, CASE WHEN file_path = first THEN 'successful' ELSE 'failed' END AS status, "
+          "CASE WHEN file_path = first THEN 'out/' || name END AS output_path, "
+          "CASE WHEN file_path <> first THEN 'The output path is taken by ' || first END AS message "
+          "FROM f JOIN g ON name = regexp_extract(file_path, '[^/]*$')")
+def redact_clashes(spark, sf_dir):
+    """Files of one name in several folders: the first keeps the output path, the others have failed."""
+    marked = redact.mark_clashes(redact.redact_batch(derive(table(spark, sf_dir, "part"), CLASHING).withColumn(
+        "metadata", F.lit("{}")), "out"))
+    return marked.select("id", "status", "output_path", F.get("errors", F.lit(0))["message"].alias("message"))
+
+
 @register("redact_batch_summary", "SELECT count(*) AS total, count(*) FILTER (p_partkey % 10 <> 0) AS successful, "
                                   "count(*) FILTER (p_partkey % 10 = 0) AS failed FROM part")
 def redact_batch_summary(spark, sf_dir):

@@ -4,8 +4,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from metaudit.functions.paths import basename
 from metaudit.operators.records import conform
 from metaudit.schema import FINDING, RECORD_COLUMNS
+from metaudit.sources.folders import write_files
 
 RECORD_DDL = ", ".join(f"{n} {k}" for n, k in RECORD_COLUMNS.items()) + ", metadata STRING, " \
     "findings ARRAY<STRUCT<type: STRING, description: STRING, severity: STRING, data: STRING>>, " \
@@ -60,3 +62,14 @@ def write_findings_csv(report: DataFrame, path: str, delimiter: str = ",", mode:
 def write_report_json(reports: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One JSON document per file; nulls are written, so every key is always present."""
     reports.write.mode(mode).option("ignoreNullFields", False).json(path)
+
+
+def write_report_files(reports: DataFrame, directory: str) -> DataFrame:
+    """One JSON file per audited file: its base name, and a mark of its path so that none overwrites another.
+
+    Returns what could not be written: file_path (of the report) and problem.
+    """
+    name = F.concat(basename(F.col("file_path")), F.lit("-"), F.substring(F.sha2("file_path", 256), 1, 16), F.lit(".json"))
+    document = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    return write_files(reports.select(F.concat(F.lit(directory.rstrip("/") + "/"), name).alias("file_path"), document.alias("content")),
+                       directory)

@@ -1,10 +1,11 @@
 """User-defined sources and sinks by name."""
 
 from metaudit.sources.files import scan_files
-from metaudit.sources.records import read_records, write_findings_csv, write_report_json
+from metaudit.sources.folders import scan_folder, write_files
+from metaudit.sources.records import read_records, write_findings_csv, write_report_files, write_report_json
 
-SOURCES = {"files": scan_files, "records": read_records}
-SINKS = {"csv": write_findings_csv, "json": write_report_json}
+SOURCES = {"files": scan_files, "folder": scan_folder, "records": read_records}
+SINKS = {"csv": write_findings_csv, "json": write_report_json, "files": write_files, "report_files": write_report_files}
 
 
 def register_source(name: str, function) -> None:
