@@ -157,6 +157,7 @@ DOCX_BLANKED = ["title", "subject", "comments", "category", "keywords"]
 XLSX_BLANKED = ["title", "subject", "description", "category", "keywords"]
 
 SEVERITIES = ["high", "medium", "low"]
+FINDING_TYPES = ["privacy", "security", "consistency", "information", "error"]
 
 
 def mime_table():

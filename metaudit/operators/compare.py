@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from metaudit.operators.flatten import compare_entries
 from metaudit.operators.records import TIMES
 
+SALTS = 32  # tasks that one group or field is spread over; a power of two
 ENTRY = "array<struct<section:string,field:string,value:string>>"
 
 
@@ -63,10 +64,11 @@ def compare_hashes(df: DataFrame, group: str, file: str = "file_path") -> DataFr
 
     The kinds of a group are a handful of algorithm names, gathered with map-side combine.
     """
-    rows = df.select(*_keys(group, file), "hashes")
-    kinds = (rows.select("group_id", F.explode(F.map_keys("hashes")).alias("kind"))
-             .groupBy("group_id").agg(F.sort_array(F.collect_set("kind")).alias("kinds")))
-    joined = rows.join(kinds, "group_id")
+    rows = _dealt(df.select(*_keys(group, file), "hashes"), "group_id")
+    kinds = (rows.select("group_id", "salt", F.explode(F.map_keys(_whole_row("hashes"))).alias("kind"))
+             .groupBy("group_id", "salt").agg(F.collect_set("kind").alias("kinds"))
+             .groupBy("group_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds")))
+    joined = rows.join(_on_every_salt(kinds), ["group_id", "salt"])
     return joined.select("group_id", "file_id", F.lit("hashes").alias("section"), F.explode("kinds").alias("field"),
                          "hashes").select(
         "group_id", "file_id", "section", "field", F.try_element_at("hashes", F.col("field")).alias("value"))
@@ -82,18 +84,45 @@ def _spread(long: DataFrame) -> DataFrame:
         F.count("value").alias("n_values"), F.min("value").alias("_low"), F.max("value").alias("_high"))
 
 
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key and a salt of the file: a group or field that most rows share lies in SALTS tasks.
+
+    Both the figures of a key and the rows that they choose are read from this one exchange.
+    """
+    return rows.withColumn("salt", F.xxhash64("file_id").bitwiseAND(F.lit(SALTS - 1))).repartition(*keys, "salt")
+
+
+def _whole_row(value: str) -> Column:
+    """The value, read so that the file stays in the exchange; with a column less it could not be shared."""
+    return F.when(F.col("file_id").isNull(), F.col(value)).otherwise(F.col(value))
+
+
+def _on_every_salt(facts: DataFrame) -> DataFrame:
+    return facts.withColumn("salt", F.explode(F.sequence(*[F.lit(n).cast("bigint") for n in (0, SALTS - 1)])))
+
+
+def _fields_where(df: DataFrame, group: str, file: str, test: str) -> DataFrame:
+    """Rows of the metadata fields whose figures over the group pass the test."""
+    long = _dealt(_metadata_long(df, group, file).drop("section"), "group_id", "field")
+    parts = long.groupBy("group_id", "field", "salt").agg(
+        F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.max("file_id").alias("last"))
+    spread = parts.groupBy("group_id", "field").agg(
+        F.sum("n").alias("n_values"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("last").alias("last"))
+    # the last file is asked for so that both readers of the exchange need all its columns
+    chosen = spread.where(f"{test} AND (last IS NOT NULL OR n_values > 0)").select("group_id", "field")
+    # an inner join with unique keys: a semi join would be pushed below the exchange
+    return (long.join(_on_every_salt(chosen), ["group_id", "field", "salt"])
+            .select("group_id", "field", "file_id", "value"))
+
+
 def compare_fields(df: DataFrame, group: str, file: str = "file_path") -> DataFrame:
     """Values of the metadata fields that more than one file of the group has."""
-    long = _metadata_long(df, group, file)
-    shared = _spread(long).where("n_values > 1").select("group_id", "field")
-    return long.join(shared, ["group_id", "field"], "left_semi").select("group_id", "field", "file_id", "value")
+    return _fields_where(df, group, file, "n_values > 1")
 
 
 def field_differences(df: DataFrame, group: str, file: str = "file_path") -> DataFrame:
     """Values of the metadata fields whose values differ within the group."""
-    long = _metadata_long(df, group, file)
-    differing = _spread(long).where("n_values > 1 AND _low <> _high").select("group_id", "field")
-    return long.join(differing, ["group_id", "field"], "left_semi").select("group_id", "field", "file_id", "value")
+    return _fields_where(df, group, file, "n_values > 1 AND low <> high")
 
 
 def comparison_status(df: DataFrame, group: str, file: str = "file_path") -> DataFrame:

@@ -4,7 +4,7 @@ Per-file figures are computed inside the row; only corpus totals shuffle, and th
 pre-aggregated to a few rows per task.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from metaudit.functions import constants as K
@@ -125,6 +125,57 @@ def corpus_file_types(df: DataFrame) -> DataFrame:
     return df.groupBy("file_type").agg(F.count("*").alias("n_files"))
 
 
+def _measures(df: DataFrame) -> list[tuple[str, str, Column]]:
+    """(measure, key, value of a record) of the figures whose keys are known beforehand."""
+    counts = severity_counts(F.coalesce(F.col("findings"), F.array().cast(df.schema["findings"].dataType)))
+    errors = F.coalesce(F.size("errors"), F.lit(0)) if "errors" in df.columns else F.lit(0)
+    return [("severity", n, counts[n]) for n in K.SEVERITIES + ["other", "total"]] + [("records", "total", F.lit(1)), ("errors", "total", errors)]
+
+
+def _count_of(values: Column, name: str) -> Column:
+    return F.size(F.filter(values, lambda v: v == name))
+
+
+def corpus_report(df: DataFrame) -> DataFrame:
+    """All totals of a corpus from one pass: measure, key, n.
+
+    Measures: severity (each bucket and the total), type, file_type, records and errors. A record gives
+    its figures as a few rows, which are added up before the shuffle. Keys known beforehand are there
+    with 0, for an empty table too.
+    """
+    known = _measures(df)
+    own = [F.struct(F.lit(m).alias("measure"), F.lit(k).alias("key"), v.cast("bigint").alias("n")) for m, k, v in known]
+    types = F.transform(F.coalesce(each("type"), F.array().cast("array<string>")), lambda t: F.struct(
+        F.lit("type").alias("measure"), F.lower(t).alias("key"), F.lit(1).cast("bigint").alias("n")))
+    if "file_type" in df.columns:
+        own.append(F.struct(F.lit("file_type").alias("measure"), F.col("file_type").alias("key"), F.lit(1).cast("bigint").alias("n")))
+    rows = df.select(F.inline(F.concat(F.array(*own), types)))
+    none = df.sparkSession.createDataFrame([(m, k, 0) for m, k, _ in known], "measure string, key string, n bigint")
+    return rows.unionAll(none).groupBy("measure", "key").agg(F.sum("n").alias("n"))
+
+
+def write_audit(audited: DataFrame, path: str, mode: str = "errorifexists") -> dict:
+    """Write audited records as Parquet and return the totals that were observed on the way.
+
+    One job reads, judges, writes and counts. Keys are (measure, key) as in ``corpus_report``: severity,
+    records and errors, and the finding and file types that the library knows; what else there is counts as
+    ``other`` (type) or ``others`` (file type).
+    """
+    figures = [(m, k, F.sum(v)) for m, k, v in _measures(audited)]
+    types = F.transform(F.coalesce(each("type"), F.array().cast("array<string>")), F.lower)
+    figures += [("type", name, F.sum(_count_of(types, name))) for name in K.FINDING_TYPES]
+    figures.append(("type", "other", F.sum(F.size(F.filter(types, lambda t: ~t.isin(K.FINDING_TYPES))))))
+    if "file_type" in audited.columns:
+        kind, known = F.col("file_type"), [*K.FILE_TYPES, "other", "unknown"]
+        figures += [("file_type", name, F.count_if(kind == name)) for name in known]
+        figures.append(("file_type", "others", F.count_if(~kind.isin(known) | kind.isNull())))
+    observation = Observation()
+    named = [v.alias(f"{m}.{k}") for m, k, v in figures]
+    audited.observe(observation, *named).write.mode(mode).parquet(path)
+    found = observation.get
+    return {(m, k): found[f"{m}.{k}"] or 0 for m, k, _ in figures}
+
+
 def severity_rank(severity: Column) -> Column:
     rank = F.lit(len(K.SEVERITIES))
     for i, name in enumerate(K.SEVERITIES):

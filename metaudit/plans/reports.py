@@ -85,6 +85,34 @@ def corpus_file_types(spark, sf_dir):
     return report.corpus_file_types(audited(spark, sf_dir))
 
 
+_TOTALS_SQL = (
+    "SELECT 'severity' AS measure, s AS key, CAST((SELECT count(*) FROM (" + FOUND_SQL + ") f WHERE s = 'total' OR f.severity = s) AS BIGINT) AS n "
+    "FROM (VALUES " + ", ".join(f"('{s}')" for s in K.SEVERITIES + ["other", "total"]) + ") v(s) "
+    "UNION ALL SELECT 'records', 'total', count(*) FROM documents UNION ALL SELECT 'errors', 'total', 0 ")
+
+
+@register("corpus_report", _TOTALS_SQL +
+          f"UNION ALL SELECT 'type', type, count(*) FROM ({FOUND_SQL}) GROUP BY type "
+          f"UNION ALL SELECT 'file_type', t, count(*) FROM (SELECT {_TYPE_SQL} AS t FROM ({FILES_SQL})) GROUP BY t")
+def corpus_report(spark, sf_dir):
+    """All totals in one pass over the audit."""
+    return report.corpus_report(audited(spark, sf_dir))
+
+
+@register("write_audit", _TOTALS_SQL +
+          f"UNION ALL SELECT 'type', k, (SELECT count(*) FROM ({FOUND_SQL}) f WHERE f.type = k) "
+          "FROM (VALUES " + ", ".join(f"('{t}')" for t in [*K.FINDING_TYPES, "other"]) + ") v(k) "
+          f"UNION ALL SELECT 'file_type', k, (SELECT count(*) FROM (SELECT {_TYPE_SQL} AS t FROM ({FILES_SQL})) f WHERE f.t = k) "
+          "FROM (VALUES " + ", ".join(f"('{t}')" for t in [*K.FILE_TYPES, "other", "unknown", "others"]) + ") v(k) "
+          f"UNION ALL SELECT 'written', 'findings', count(*) FROM ({FOUND_SQL})")
+def write_audit(spark, sf_dir):
+    """Totals observed while the findings were written, and the number of findings that were."""
+    path = scratch_path(spark)
+    totals = report.write_audit(audited(spark, sf_dir), path)
+    totals[("written", "findings")] = spark.read.parquet(path).agg(F.sum(F.size("findings"))).first()[0]
+    return spark.createDataFrame([(m, k, n) for (m, k), n in totals.items()], "measure string, key string, n bigint")
+
+
 _RANK = "CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
 
 

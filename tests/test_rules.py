@@ -140,3 +140,49 @@ def test_text_stats_separators(spark):
 
     row = spark.createDataFrame([("a\x1cb\x1fc d",)], "t string").select(text_stats(F.col("t")).alias("s")).first()
     assert row["s"]["word_count"] == 4
+
+
+def test_corpus_totals_come_from_the_job_that_writes(spark, tmp_path):
+    from metaudit.operators.report import corpus_report, corpus_summary_severity, corpus_summary_type, write_audit
+    from metaudit.operators.pattern_rules import detect
+
+    df = spark.createDataFrame([(f"a{i}.txt", "text", f"mail a{i}@b.example and 10.0.0.{i}" if i % 2 else "") for i in range(20)]
+                               + [("x", "odd", "4539578763621486")], "file_path string, file_type string, note string")
+    audited = detect(df, ["note"])
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("once", "once")
+    totals = write_audit(audited, str(tmp_path / "a"))
+    assert len(jobs.getJobIdsForGroup("once")) == 1
+    back = spark.read.parquet(str(tmp_path / "a"))
+    severity = {r.severity: r.n_findings for r in corpus_summary_severity(back).collect()}
+    types = {r.type: r.n_findings for r in corpus_summary_type(back).collect()}
+    assert {k: n for (m, k), n in totals.items() if m == "severity"} == severity
+    assert {k: n for (m, k), n in totals.items() if m == "type" and n} == types
+    assert totals["records", "total"] == 21 and totals["file_type", "others"] == 21
+    report = {(r.measure, r.key): r.n for r in corpus_report(back).collect()}
+    assert {k: n for (m, k), n in report.items() if m == "severity"} == severity
+    assert {k: n for (m, k), n in report.items() if m == "type"} == types
+    assert report["file_type", "text"] == 20 and report["errors", "total"] == 0
+    assert corpus_report(back)._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    none = {(r.measure, r.key): r.n for r in corpus_report(back.limit(0)).collect()}
+    assert none["severity", "total"] == 0 == none["records", "total"]
+
+
+@pytest.mark.parametrize("query", ["compare_fields", "field_differences", "compare_hashes"])
+def test_comparisons_scan_once(spark, query):
+    from metaudit.plans import QUERIES
+    out = QUERIES[query](spark, "/root/testdata/sf0.001")
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+
+
+def test_a_hot_field_is_spread(spark):
+    from metaudit.operators import compare
+    rows = [("g", f"f{i}", '{"hot": "%d", "rare": "x"}' % (i % 3) if i else '{"hot": "0", "lone": "y"}') for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, file_path string, metadata string")
+    long = compare._dealt(compare._metadata_long(df, "g", "file_path"), "group_id", "field")
+    assert long.where("field = 'hot'").select("salt").distinct().count() == compare.SALTS
+    found = compare.compare_fields(df, "g").collect()
+    assert len(found) == 600 + 599 and {r.field for r in found} == {"hot", "rare"}
+    assert {r.field for r in compare.field_differences(df, "g").collect()} == {"hot"}
