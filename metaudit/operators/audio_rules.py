@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from metaudit.functions import constants as K
-from metaudit.functions.findings import contains_any, finding, fires, keys_like, listing
+from metaudit.functions.findings import finding, fires, listing
 from metaudit.functions.numbers import fixed, number, whole
 from metaudit.operators.rulebook import Pack
 
@@ -23,9 +23,7 @@ def audio_unreadable(rec) -> Column:
 
 @PACK.rule
 def audio_personal(rec) -> Column:
-    found = F.map_filter(
-        rec.section("tags"),
-        lambda k, v: contains_any(k, K.AUDIO_PERSONAL_TERMS) & (F.coalesce(v, F.lit("")) != ""))
+    found = F.map_filter(rec.keys_like("tags", K.AUDIO_PERSONAL_TERMS), lambda k, v: F.coalesce(v, F.lit("")) != "")
     return listing("audio_personal", "privacy", "medium", "Personal information found in audio tags",
                    "personal_info", found)
 
@@ -33,13 +31,13 @@ def audio_personal(rec) -> Column:
 @PACK.rule
 def audio_geo(rec) -> Column:
     return listing("audio_geo", "privacy", "high", "Geolocation information found in audio tags",
-                   "geo_info", keys_like(rec.section("tags"), K.AUDIO_GEO_TERMS))
+                   "geo_info", rec.keys_like("tags", K.AUDIO_GEO_TERMS))
 
 
 @PACK.rule
 def audio_device(rec) -> Column:
     return listing("audio_device", "information", "low", "Recording device/software information found",
-                   "device_info", keys_like(rec.section("tags"), K.AUDIO_DEVICE_TERMS))
+                   "device_info", rec.keys_like("tags", K.AUDIO_DEVICE_TERMS))
 
 
 @PACK.rule
@@ -79,19 +77,18 @@ def audio_pictures(rec) -> Column:
 @PACK.rule
 def audio_copyright(rec) -> Column:
     return listing("audio_copyright", "information", "low", "Copyright information found",
-                   "copyright_info", keys_like(rec.section("tags"), K.AUDIO_COPYRIGHT_TERMS))
+                   "copyright_info", rec.keys_like("tags", K.AUDIO_COPYRIGHT_TERMS))
 
 
 @PACK.rule
 def audio_commercial_ids(rec) -> Column:
     return listing("audio_commercial_ids", "information", "low", "Commercial identifiers found",
-                   "commercial_info", keys_like(rec.section("tags"), K.AUDIO_ID_TERMS))
+                   "commercial_info", rec.keys_like("tags", K.AUDIO_ID_TERMS))
 
 
 @PACK.rule
 def audio_lyrics(rec) -> Column:
-    has = F.exists(F.map_keys(rec.section("tags")), lambda k: contains_any(k, K.AUDIO_LYRIC_TERMS))
-    return fires(has, finding(
+    return fires(rec.keys_like("tags", K.AUDIO_LYRIC_TERMS).isNotNull(), finding(
         "audio_lyrics", "information", "low", "Audio file contains embedded lyrics", lyrics_present=True))
 
 

@@ -12,7 +12,7 @@ from metaudit.operators import (
 )
 from metaudit.operators.classify import error_struct
 from metaudit.operators.flatten import flatten_entries
-from metaudit.operators.records import Record, conform
+from metaudit.operators.records import Record, conform, with_terms, without_terms
 from metaudit.operators.rule_index import rule_findings
 from metaudit.operators.rulebook import Pack
 from metaudit.schema import ERROR, FINDING
@@ -41,16 +41,16 @@ def register_rule_pack(name: str, file_type: str | None, rules: dict) -> None:
 _BUILT: WeakKeyDictionary = WeakKeyDictionary()
 
 
-def _built(df: DataFrame, key, build) -> tuple[Column, frozenset]:
-    """The expression that ``build(record)`` gives, and the metadata sections that it reads."""
+def _built(df: DataFrame, key, build) -> tuple[Column, frozenset, frozenset]:
+    """The expression that ``build(record)`` gives, and the metadata sections and terms that it reads."""
     known = _BUILT.setdefault(df.sparkSession.sparkContext, {})
     if key not in known:
         record = Record()
-        known[key] = build(record), frozenset(record.read)
+        known[key] = build(record), frozenset(record.read), frozenset(record.terms)
     return known[key]
 
 
-def _pack_findings(df: DataFrame, pack: Pack) -> tuple[Column, frozenset]:
+def _pack_findings(df: DataFrame, pack: Pack) -> tuple[Column, frozenset, frozenset]:
     def build(record):
         found = combine(rule(record) for rule in pack.rules.values())
         if pack.broken is not None:
@@ -60,7 +60,7 @@ def _pack_findings(df: DataFrame, pack: Pack) -> tuple[Column, frozenset]:
     return _built(df, ("findings", pack.name, pack.file_type, *pack.rules.values()), build)
 
 
-def _pack_error(df: DataFrame, pack: Pack) -> tuple[Column, frozenset]:
+def _pack_error(df: DataFrame, pack: Pack) -> tuple[Column, frozenset, frozenset]:
     def build(record):
         problem = pack.broken(record)
         return F.when(pack.applies(record) & problem.isNotNull(), error_struct(
@@ -87,12 +87,12 @@ def run_pack(df: DataFrame, pack: Pack, now: Column | None = None, into: str = "
 def run_rule(df: DataFrame, rule, now: Column | None = None, into: str = "findings") -> DataFrame:
     """Findings of one rule over record columns; it reaches metadata through ``Record.section``."""
     record = Record()
-    return _judged(df, combine([rule(record)]), record.read, now, into)
+    return _judged(df, combine([rule(record)]), record.read, record.terms, now, into)
 
 
-def _judged(df: DataFrame, found: Column, sections, now: Column | None, into: str) -> DataFrame:
-    out = _clock(conform(_kept(df), sections=sections), now).withColumn(into, found).drop("_now")
-    return _restored(out, df)
+def _judged(df: DataFrame, found: Column, sections, terms, now: Column | None, into: str) -> DataFrame:
+    opened = with_terms(_clock(conform(_kept(df), sections=sections), now), terms)
+    return _restored(without_terms(opened.withColumn(into, found).drop("_now"), terms), df)
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -136,12 +136,14 @@ def audit(df: DataFrame, now: Column | None = None, text_fields=(), skip_analysi
     packs = list(PACKS) + list(CUSTOM.values())
     if "metadata" not in df.columns:
         packs = [p for p in packs if p.file_type is None or p.name in CUSTOM]
-    records = _clock(conform(_kept(_with_entries(df, text_fields))), now)
+    built = {p.name: _pack_findings(df, p) for p in packs}
+    terms = frozenset().union(*[b[2] for b in built.values()])
+    records = with_terms(_clock(conform(_kept(_with_entries(df, text_fields))), now), terms)
     records = pattern_rules.with_matches(records, F.col("entries"))
     record = Record()
-    parts = [_pack_findings(df, p)[0] for p in packs if p.name not in CUSTOM]
+    parts = [built[p.name][0] for p in packs if p.name not in CUSTOM]
     parts.append(_pattern_findings(df))
-    parts += [_pack_findings(df, p)[0] for p in packs if p.name in CUSTOM]
+    parts += [built[p.name][0] for p in packs if p.name in CUSTOM]
     failed = F.coalesce(record.section("extraction_failed"), F.lit(False))
     if "extraction_failed" in df.columns:
         failed = failed | F.coalesce(F.col("extraction_failed"), F.lit(False))
@@ -152,7 +154,7 @@ def audit(df: DataFrame, now: Column | None = None, text_fields=(), skip_analysi
         "findings": F.when(failed, none).otherwise(found),
         "errors": F.concat(F.coalesce("errors", no_errors), F.when(failed, no_errors).otherwise(broken.cast(T.ArrayType(ERROR)))),
     })
-    return _restored(out, df).drop("entries", "_now", *[f"_m_{n}" for n in pattern_rules.DETECTORS])
+    return without_terms(_restored(out, df), terms).drop("entries", "_now", *[f"_m_{n}" for n in pattern_rules.DETECTORS])
 
 
 def match_rules(df: DataFrame, entries: Column, rules: list, into: str = "findings") -> DataFrame:

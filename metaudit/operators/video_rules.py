@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from metaudit.functions import constants as K
-from metaudit.functions.findings import Items, contains_any, finding, fires, fires_on, keys_like, listing
+from metaudit.functions.findings import Items, contains_any, finding, fires, fires_on, listing
 from metaudit.functions.numbers import fixed, number, whole
 from metaudit.operators.rulebook import Pack
 
@@ -60,14 +60,14 @@ def _per_key(entries: Column, build) -> Column:
 
 @PACK.rule
 def video_timestamps(rec) -> Column:
-    return _per_key(keys_like(rec.section("video_properties"), K.VIDEO_DATE_TERMS), lambda e: finding(
+    return _per_key(rec.keys_like("video_properties", K.VIDEO_DATE_TERMS), lambda e: finding(
         "video_timestamps", "information", "low", "Video creation timestamp found",
         timestamp=F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("None")))))
 
 
 def _properties(rule, type_, severity, description, key, terms):
     def build(rec) -> Column:
-        return listing(rule, type_, severity, description, key, keys_like(rec.section("video_properties"), terms))
+        return listing(rule, type_, severity, description, key, rec.keys_like("video_properties", terms))
 
     build.__name__ = rule
     return PACK.rule(build)
@@ -137,7 +137,7 @@ def video_chapters(rec) -> Column:
 
 @PACK.rule
 def video_copyright(rec) -> Column:
-    return _per_key(keys_like(rec.section("video_properties"), K.VIDEO_COPYRIGHT_TERMS), lambda e: F.struct(
+    return _per_key(rec.keys_like("video_properties", K.VIDEO_COPYRIGHT_TERMS), lambda e: F.struct(
         F.lit("video_copyright").alias("rule"), F.lit("information").alias("type"), F.lit("low").alias("severity"),
         F.lit("Copyright/license information found").alias("description"),
         F.create_map(e["key"], F.array(e["value"])).alias("evidence")))
