@@ -6,6 +6,7 @@ small row per task.
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from metaudit.functions.paths import extension
 
@@ -64,3 +65,35 @@ def archive_type(members: DataFrame) -> DataFrame:
 def slide_count(members: DataFrame) -> DataFrame:
     return members.groupBy("file_id").agg(
         F.count_if(F.col("member").startswith("ppt/slides/slide")).alias("slide_count"))
+
+
+def archive_info(members: DataFrame) -> DataFrame:
+    """Per archive the section that rules read: compression ratio, and number of members by extension.
+
+    One aggregation by (archive, extension), then one by archive; an archive's extensions are gathered, not
+    its members.
+    """
+    ext = F.when(~F.col("is_dir"), F.nullif(extension(F.col("member")), F.lit("")))
+    parts = members.groupBy("file_id", ext.alias("extension")).agg(
+        F.count("*").alias("n"), F.sum("compressed").alias("compressed"), F.sum("uncompressed").alias("uncompressed"))
+    counted = F.collect_list(F.when(F.col("extension").isNotNull(), F.struct(F.col("extension").alias("key"), F.col("n").alias("value"))))
+    whole = parts.groupBy("file_id").agg(F.sum("compressed").alias("compressed"), F.sum("uncompressed").alias("uncompressed"),
+                                         counted.alias("counted"))
+    ratio = F.round(F.try_divide(F.col("compressed"), F.col("uncompressed")) * 100, 2)
+    return whole.select("file_id", F.struct(
+        F.when(F.col("uncompressed") > 0, ratio).cast("double").alias("compression_ratio"),
+        F.map_from_entries("counted").alias("extensions")).alias("archive_info"))
+
+
+def with_archive_info(records: DataFrame, members: DataFrame, key: str = "file_path") -> DataFrame:
+    """Records whose ``metadata`` (a struct, or none yet) holds the ``archive_info`` of their members.
+
+    ``members`` names the record in ``file_id``. Records without members have a null section.
+    """
+    kind = records.schema["metadata"].dataType if "metadata" in records.columns else StructType()
+    if not isinstance(kind, StructType):
+        raise ValueError("metadata must be a struct of sections, as scans give it")
+    info = archive_info(members).withColumnsRenamed({"file_id": "_archive", "archive_info": "_info"})
+    sections = [F.col("metadata")[n].alias(n) for n in kind.names if n != "archive_info"]
+    joined = records.join(info, records[key] == info["_archive"], "left")
+    return joined.withColumn("metadata", F.struct(*sections, F.col("_info").alias("archive_info"))).drop("_archive", "_info")

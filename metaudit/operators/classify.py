@@ -56,10 +56,19 @@ def text_encoding(content: Column) -> Column:
             .when(F.char_length(text) == F.octet_length(content), "ascii").otherwise("utf-8"))
 
 
+def valid_utf16(content: Column) -> Column:
+    """Whether bytes after a byte-order mark are whole UTF-16 units with no half of a pair alone."""
+    little = F.hex(F.substring(content, 1, 2)) == "FFFE"
+    units = F.regexp_replace(F.hex(content), F.lit("(..)(..)"), F.when(little, " $2$1").otherwise(" $1$2"))
+    alone = units.rlike(" D[89AB]..(?! D[C-F])|(?<! D[89AB].{2}) D[C-F]")
+    return (F.octet_length(content) % 2 == 0) & ~alone
+
+
 def decoded(content: Column, encoding: Column) -> Column:
-    """Text of the content; null for UTF-16, whose broken pairs could not be read without failing."""
+    """Text of the content; null for broken UTF-16, which cannot be read without failing."""
     return F.when(encoding == "iso-8859-1", F.decode(content, "ISO-8859-1")) \
         .when(encoding == "utf-8-sig", F.make_valid_utf8(F.substring(content, 4, 2 ** 31 - 1).cast("string"))) \
+        .when((encoding == "utf-16") & valid_utf16(content), F.decode(content, "UTF-16")) \
         .when(encoding != "utf-16", content.cast("string"))
 
 
@@ -193,7 +202,7 @@ def record_errors(expected: DataFrame, scanned: DataFrame) -> DataFrame:
 def describe_files(files: DataFrame, skip_hashes: bool = False, skip_extraction: bool = False) -> DataFrame:
     """Record columns for scanned files: type, MIME, hashes, text statistics, header of executables.
 
-    MIME type and encoding are read from the content. UTF-16 text has an encoding and no counts.
+    MIME type and encoding are read from the content. Broken UTF-16 has an encoding and no counts.
     A null content (not read) has the type of its extension, no hashes and no metadata. Skipped
     stages leave nulls, so the optimizer drops their inputs (content is then not read, and the
     MIME type is that of the extension).

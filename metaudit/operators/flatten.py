@@ -5,21 +5,12 @@ from pyspark.sql import functions as F
 
 from metaudit.functions.findings import let
 
-# Each round opens one nesting level of every entry. The number of rounds is the nesting
-# depth of the row itself, read from the brackets of its JSON text outside of strings.
-_STRINGS = r'"(?:[^"\\]|\\.)*+"'
+# Each round opens one nesting level of every entry. Rounds come in stages, each entered only by
+# rows in which something is left to open; rows deeper than both together fail.
+STAGES = (6, 4000)
 
 
-def nesting_depth(variant: Column) -> Column:
-    brackets = F.regexp_replace(F.regexp_replace(F.to_json(variant), _STRINGS, ""), r"[^\[\]{}]", "")
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
-
-    def step(acc, bracket):
-        now = acc["now"] + F.when(bracket.isin("{", "["), 1).otherwise(-1)
-        return F.struct(now.alias("now"), F.greatest(acc["top"], now).alias("top"))
-
-    walked = F.aggregate(F.filter(F.split(brackets, ""), lambda b: b != ""), start, step)
-    return walked["top"]
+_ENTRIES = "array<struct<field: string, value: variant, kind: string>>"
 
 
 def _kind(v: Column) -> Column:
@@ -82,10 +73,19 @@ def _open_objects(entries: Column) -> Column:
         entries, lambda e: F.when(e["kind"] == "OBJECT", _members(e)).otherwise(F.array(e))))
 
 
-def _walk(variant: Column, open_level) -> Column:
-    root = F.array(_entry(F.lit(""), variant))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(nesting_depth(variant), F.lit(1))), root,
-                       lambda acc, _: open_level(acc))
+def _walk(variant: Column, open_level, kinds) -> Column:
+    """Open levels until no entry of these kinds is left."""
+    def unfinished(entries):
+        return F.exists(entries, lambda e: e["kind"].isin(*kinds))
+
+    def opened(entries, rounds):
+        return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), entries, lambda acc, _: let(
+            acc, lambda es: F.when(unfinished(es), open_level(es)).otherwise(es)))
+
+    walked = F.array(_entry(F.lit(""), variant))
+    for rounds in STAGES:
+        walked = let(walked, lambda es: F.when(unfinished(es), opened(es, rounds)).otherwise(es))
+    return let(walked, lambda es: F.when(unfinished(es), F.raise_error(F.lit("metadata is nested too deep")).cast(_ENTRIES)).otherwise(es))
 
 
 def _last_wins(entries: Column) -> Column:
@@ -111,7 +111,7 @@ def flatten_entries(variant: Column) -> Column:
         return F.struct(
             e["field"].alias("field"), F.coalesce(_scalar_text(e["value"], e["kind"]), F.lit("")).alias("value"))
 
-    return _last_wins(F.transform(_walk(variant, _open_level), leaf))
+    return _last_wins(F.transform(_walk(variant, _open_level, ('OBJECT', 'ARRAY')), leaf))
 
 
 def compare_entries(variant: Column) -> Column:
@@ -121,7 +121,7 @@ def compare_entries(variant: Column) -> Column:
             e["field"].alias("field"),
             F.when(e["kind"] == "ARRAY", F.to_json(e["value"])).otherwise(_scalar_text(e["value"], e["kind"])).alias("value"))
 
-    return _last_wins(F.transform(_walk(variant, _open_objects), leaf))
+    return _last_wins(F.transform(_walk(variant, _open_objects, ('OBJECT',)), leaf))
 
 
 def _as_variant(df: DataFrame, column: str) -> Column:

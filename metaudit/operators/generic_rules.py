@@ -184,3 +184,22 @@ def known_bad_hash(df: DataFrame, hashes: DataFrame, into="findings") -> DataFra
         found = F.concat(F.coalesce(F.col(into), F.array().cast(df.schema[into].dataType)),
                          F.coalesce(found, F.array().cast(df.schema[into].dataType)))
     return joined.withColumn(into, found).drop("_md5", "_bad_md5")
+
+
+def store_hash_list(hashes: DataFrame, table: str, path: str, buckets: int = 64) -> DataFrame:
+    """Write a list of digests (column ``md5``) once, as a table in buckets of the digest; gives the table."""
+    (hashes.select("md5").where("md5 IS NOT NULL").distinct().write.mode("overwrite").format("parquet")
+     .bucketBy(buckets, "md5").sortBy("md5").option("path", path).saveAsTable(table))
+    return hashes.sparkSession.table(table)
+
+
+def bad_hash_findings(df: DataFrame, listed: DataFrame, *keys: str) -> DataFrame:
+    """Keys and finding of the records whose md5 is in a list that ``store_hash_list`` wrote.
+
+    Only keys and digests move, to the buckets of the list; neither the list nor metadata is shuffled. Copies
+    of a digest that many records share meet one row of the list.
+    """
+    narrow = df.select(*keys, F.col("hashes")["md5"].alias("_md5")).where("_md5 IS NOT NULL")
+    found = narrow.join(listed.hint("merge"), narrow["_md5"] == listed["md5"])
+    return found.select(*keys, finding(
+        "known_bad_hash", "security", "high", "File hash matches known malicious file", hash=F.col("_md5")).alias("finding"))

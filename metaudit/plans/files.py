@@ -504,6 +504,20 @@ def known_bad_hash(spark, sf_dir):
     return explode_findings(generic_rules.known_bad_hash(records, bad), "id").select("id", "rule", "severity", "data")
 
 
+@register("bad_hash_findings",
+          "SELECT doc_id AS id, 'known_bad_hash' AS rule, 'high' AS severity, md5(text) AS md5 FROM documents "
+          "WHERE md5(text) IN (SELECT md5(text) FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)")
+def bad_hash_findings(spark, sf_dir):
+    """The same through a list that is stored in buckets of the digest."""
+    docs = table(spark, sf_dir, "documents")
+    bad = docs.join(table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id").select(F.md5("text").alias("md5"))
+    path = scratch_path(spark)
+    listed = generic_rules.store_hash_list(bad, "bad_" + path[-32:], path)
+    records = docs.select(F.col("doc_id").alias("id"), "text", F.create_map(F.lit("md5"), F.md5("text")).alias("hashes"))
+    return generic_rules.bad_hash_findings(records, listed, "id").select(
+        "id", "finding.rule", "finding.severity", F.get(F.col("finding.evidence")["hash"], F.lit(0)).alias("md5"))
+
+
 # --- archives: one archive per order, one member per line --------------------
 MEMBERS = {
     "file_id": "l_orderkey",
@@ -536,6 +550,25 @@ def archive_summary(spark, sf_dir):
     return archive.archive_summary(members(spark, sf_dir))
 
 
+_EXT_OF_MEMBER = EXT.replace("file_path", "member")
+_ARCHIVE_RULES_SQL = (
+    "WITH m AS (" + _MEMBERS_SQL + "), a AS (SELECT file_id, CASE WHEN sum(uncompressed) > 0 THEN "
+    "round(sum(compressed)::DOUBLE / sum(uncompressed)::DOUBLE * 100, 2) END AS ratio, "
+    f"count(*) FILTER (NOT is_dir AND {_EXT_OF_MEMBER} = '.exe') AS n_exe FROM m GROUP BY file_id) "
+    "SELECT file_id AS id, 'archive_ratio_anomaly' AS rule, 'compression_ratio=' || CAST(ratio AS VARCHAR) AS data FROM a WHERE ratio < 1.0 "
+    "UNION ALL SELECT file_id, 'archive_has_executables', 'executables=.exe: ' || n_exe FROM a WHERE n_exe > 0")
+
+
+@register("archive_rules", _ARCHIVE_RULES_SQL)
+def archive_rules(spark, sf_dir):
+    """Archive rules over records whose archive section is filled from their members."""
+    found = members(spark, sf_dir)
+    records = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    told = archive.with_archive_info(records, found, "id")
+    rules = [generic_rules.PACK.rules[n] for n in ("archive_ratio_anomaly", "archive_has_executables")]
+    return explode_findings(run_rule(told, lambda rec: combine(rule(rec) for rule in rules)), "id").select("id", "rule", "data")
+
+
 @register("archive_extensions",
           f"SELECT file_id, e AS extension, count(*) AS n FROM (SELECT file_id, "
           f"{EXT.replace('file_path', 'member')} AS e FROM ({_MEMBERS_SQL}) WHERE NOT is_dir) WHERE e <> '' GROUP BY file_id, e")

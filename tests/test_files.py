@@ -97,7 +97,10 @@ def test_mime_of_content(spark):
 
 
 def test_encodings(spark):
-    texts = {"\ufeffab c".encode("utf-16-le"): ("utf-16", None), "\ufeffab c".encode("utf-8"): ("utf-8-sig", 4),
+    texts = {"\ufeffab c".encode("utf-16-le"): ("utf-16", 4), "\ufeffab c".encode("utf-16-be"): ("utf-16", 4), "\ufeff😀\r\né 𝄞".encode("utf-16-le"): ("utf-16", 5),
+             b"\xfe\xff\xd8\x3d\xde\x00\x00a": ("utf-16", 2), b"\xff\xfe\x3d\xd8": ("utf-16", None), b"\xff\xfe\x00\xdea\x00": ("utf-16", None),
+             b"\xfe\xff\xd8\x3d\xd8\x3d\xde\x00": ("utf-16", None), b"\xff\xfe\x3d\xd8\x00\xde\x00\xde": ("utf-16", None), b"\xff\xfe": ("utf-16", 0),
+             "\ufeffÿØ￾".encode("utf-16-be"): ("utf-16", 3), "\ufeffab c".encode("utf-8"): ("utf-8-sig", 4),
              "é b".encode("utf-8"): ("utf-8", 3), "é b".encode("latin-1"): ("iso-8859-1", 3), b"a b": ("ascii", 3), b"\xff\xfea": ("utf-16", None)}
     df = spark.createDataFrame([(f"{i}.txt", bytearray(b)) for i, b in enumerate(texts)], "file_path string, content binary")
     rows = classify.describe_files(df).select("metadata.text_info.*").collect()

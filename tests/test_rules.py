@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from metaudit.functions import constants as K
 from metaudit.operators import audit as A
 
 CASES = [
@@ -186,3 +187,46 @@ def test_a_hot_field_is_spread(spark):
     found = compare.compare_fields(df, "g").collect()
     assert len(found) == 600 + 599 and {r.field for r in found} == {"hot", "rare"}
     assert {r.field for r in compare.field_differences(df, "g").collect()} == {"hot"}
+
+
+def test_archive_section_reaches_the_rules(spark):
+    from metaudit.operators.archive import archive_info, with_archive_info
+    rows = [("a.zip", "x.EXE", 5, 10, False), ("a.zip", "d/", 0, 0, True), ("a.zip", "y.txt", 1, 700, False), ("b.zip", "plain", 5, 5, False),
+            ("c.zip", "z.dll", 1, 1000, False), ("c.zip", "z2.dll", 0, None, False), ("d.zip", "dir.exe/", 0, 0, True)]
+    members = spark.createDataFrame(rows, "file_id string, member string, compressed long, uncompressed long, is_dir boolean")
+    info = {r.file_id: (r.archive_info.compression_ratio, r.archive_info.extensions) for r in archive_info(members).collect()}
+    assert info == {"a.zip": (0.85, {".exe": 1, ".txt": 1}), "b.zip": (100.0, {}), "c.zip": (0.1, {".dll": 2}), "d.zip": (None, {})}
+    records = spark.createDataFrame([("a.zip",), ("b.zip",), ("c.zip",), ("e.txt",)], "file_path string")
+    meta = F.struct(F.struct(F.lit("ascii").alias("encoding")).alias("text_info"))
+    for df in (records, records.withColumn("metadata", meta), records.withColumn("metadata", F.when(F.col("file_path") != "a.zip", meta))):
+        told = with_archive_info(df, members)
+        found = {r.file_path: {f.rule for f in r.findings} for r in A.audit(told).collect()}
+        assert {k: v & {"archive_ratio_anomaly", "archive_has_executables"} for k, v in found.items()} == {
+            "a.zip": {"archive_ratio_anomaly", "archive_has_executables"}, "b.zip": set(),
+            "c.zip": {"archive_ratio_anomaly"} | ({"archive_has_executables"} if ".dll" in K.ARCHIVE_EXECUTABLE_EXTENSIONS else set()),
+            "e.txt": set()}
+    with pytest.raises(ValueError):
+        with_archive_info(records.withColumn("metadata", F.lit("{}")), members)
+
+
+def test_a_stored_hash_list_is_not_shuffled(spark, tmp_path):
+    from metaudit.operators.generic_rules import bad_hash_findings, store_hash_list
+    bad = spark.createDataFrame([(f"{i:032x}",) for i in range(0, 300, 3)] + [(None,)], "md5 string")
+    listed = store_hash_list(bad.union(bad), "bad_hashes_of_a_test", str(tmp_path / "bad"), 4)
+    assert listed.count() == 100
+    records = spark.createDataFrame([(i, f"{i % 30:032x}" if i else None, "{}") for i in range(200)], "id int, md5 string, metadata string")
+    out = bad_hash_findings(records.withColumn("hashes", F.create_map(F.lit("md5"), "md5")), listed, "id")
+    assert {r.id for r in out.collect()} == {i for i in range(1, 200) if i % 30 % 3 == 0}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    assert plan.count("metadata") == 1  # in the scan of the test's rows alone
+    spark.sql("DROP TABLE bad_hashes_of_a_test")
+
+
+def test_flatten_does_not_serialise(spark):
+    from metaudit.operators.flatten import flatten_entries
+    deep = "{\"a\":" * 120 + "[{\"b\": [1, {\"c\": []}]}, [2, [3]]]" + "}" * 120
+    df = spark.createDataFrame([(deep,), ("{}",), ("[1, 2]",), ("3",), (None,)], "j string").select(flatten_entries(F.parse_json("j")).alias("e"))
+    rows = [[(x.field, x.value) for x in r.e] if r.e is not None else None for r in df.collect()]
+    path = ".".join(["a"] * 120)
+    assert rows[0][0] == (f"{path}.0.b.0", "1") and rows[0][-1] == (f"{path}.1", "[2,[3]]") and rows[1] == []
