@@ -24,6 +24,7 @@ from metaudit.llm.words import Texts
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 WORD_START = "▁"
+LONG_WORD = 512  # bytes; longer words are run one by one
 
 
 @dataclass
@@ -85,8 +86,9 @@ def piece_counts(automaton: Automaton, data: np.ndarray, starts: np.ndarray, end
     n = len(starts)
     node, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
     lengths = ends - starts
-    alive = np.arange(n)
-    for k in range(len(mark) + int(lengths.max(initial=0))):
+    long = np.flatnonzero(lengths > LONG_WORD)  # few words: a step of all of them would serve them alone
+    alive = np.flatnonzero(lengths <= LONG_WORD)
+    for k in range(len(mark) + int(lengths[alive].max(initial=0))):
         if k >= len(mark):
             alive = alive[lengths[alive] > k - len(mark)]
             byte = data[starts[alive] + k - len(mark)].astype(np.int64)
@@ -100,7 +102,27 @@ def piece_counts(automaton: Automaton, data: np.ndarray, starts: np.ndarray, end
             todo, wanted = todo[~good], wanted[~good]
             count[todo] += automaton.popped[node[todo]]
             node[todo] = automaton.link[node[todo]]
-    return count + automaton.rest[node]
+    pieces = count + automaton.rest[node]
+    for word in long:
+        pieces[word] = long_word_count(automaton, mark + data[starts[word]:ends[word]].tobytes())
+    return pieces
+
+
+def long_word_count(automaton: Automaton, word: bytes) -> int:
+    """Pieces of one long word, byte by byte; the states it meets are kept."""
+    known: dict[int, tuple[int, int]] = {}
+    node, count = 0, 0
+    for byte in word:
+        found = known.get(node * 256 + byte)
+        if found is None:
+            at, popped, wanted = node, 0, np.array([byte])
+            while (to := int(automaton.step(np.array([at]), wanted)[0])) < 0:
+                popped += int(automaton.popped[at])
+                at = int(automaton.link[at])
+            found = known[node * 256 + byte] = to, popped
+        node = found[0]
+        count += found[1]
+    return count + int(automaton.rest[node])
 
 
 def counts(texts: Texts, automaton: Automaton, mark: bytes) -> list:
@@ -129,7 +151,8 @@ def token_counts(docs: DataFrame, *, vocabulary: str = VOCABULARY, pieces: list[
 
     ``vocabulary`` is a model file the driver can read; ``pieces`` gives a list instead.
     A null or empty text has 0 words and 0 pieces. Ids may be null or repeat; other columns
-    are not read. Broadcasts the automaton only (about 30 bytes per trie node).
+    are not read. Broadcasts the automaton only (about 30 bytes per trie node). A word of any length
+    takes time in proportion to its bytes.
     """
     built = docs.sparkSession.sparkContext.broadcast(build(read_pieces(vocabulary) if pieces is None else pieces))
     start = mark.encode()
