@@ -108,7 +108,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
     fits no rule. Repeated rows and null ids are judged one by one.
 
     ``parts`` (shuffle partitions by default) is the number of parts the URLs are dealt to;
-    each holds all rule events, so size it to the URLs.
+    each holds all rule events, so size it to the URLs. URLs are dealt by a hash of id and URL, so a task
+    that runs again deals alike; rows equal in both go together.
     """
     parts = parts or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = cleaned(rules)
@@ -116,7 +117,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
     url = F.col("url")
     urls = (pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"))
             .select("id", url_host(url).alias("host"), url_path(url).alias("path"),
-                    F.floor(F.rand(11) * parts).cast("int").alias("part"))
+                    F.pmod(F.xxhash64("id", "url"), F.lit(parts)).cast("int").alias("part"))
             .select("id", "host", "path", "part", F.lit(2).alias("kind"), host_key(F.col("host")).alias("host_key"),
                     bytes_of(F.col("path")).alias("path_key")))
     hosts = host_events(own).select(every, F.lit(0).alias("kind"), "host_key", "active")
