@@ -1,17 +1,17 @@
-"""Substring dedup: repeated windows found by phrases that the content itself cuts.
-
-This is not a relative Lempel-Ziv parse: no document is factored greedily by longest matches
-against reference blocks. What goes is defined by windows of ``window`` words, so it is enough to
-find every window that stands earlier, and the union of those windows is the same whatever the
-factors. A parse would have to hold reference blocks in a task and send each document to all blocks
-that it meets; winnowed phrases are found by grouping alone.
+"""Substring dedup by a relative Lempel-Ziv parse over phrases that the content itself cuts.
 
 The lowest hash among the n-grams of a window is its anchor, so equal windows have equal anchors at
-equal places, wherever they stand. Consecutive windows with one anchor make a phrase. Phrases of
-all documents are grouped under anchor and phrase hash; one that stands earlier is known text.
-Where anchors agree but phrases differ, at the ends of what two documents share, the windows are
-checked one by one, so stretches end at the exact word. The windows found are merged; ``n_factors``
-counts the runs of words removed.
+equal places, wherever they stand. Consecutive windows with one anchor make a phrase. The reference is
+the table of all phrases under anchor and phrase hash, each with its first place; its blocks are the
+partitions by anchor, and each phrase is looked up in the one block that can hold it. So a document need
+not be sent to every block of reference text, which would read all texts once for each block.
+
+Phrases of a document that stand earlier follow one another like their references do as long as the
+documents agree, and make one factor (start, words, reference). Where anchors agree but phrases differ,
+at the ends of factors, the windows are checked one by one, so factors end at the exact word; repeats
+within a text are factors that refer to the text itself. Overlapping factors are parsed greedily from
+the left, each time the one that reaches farthest. Only factors of ``window`` words or more exist, and
+what they cover goes. What goes is defined by windows, so it is the same whatever the factors.
 
 Data sent: one row per phrase (one for seven words or so), the rows of shared anchors again,
 the texts once for both the boundary check and the cut, and the windows at boundaries. Rows of
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
 from metaudit.llm.shared import saved
@@ -93,15 +94,13 @@ def phrase_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def spans_of(batch: pa.RecordBatch, name: str, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row (from i), start and length of the spans of rows i to j."""
+def spans_of(batch: pa.RecordBatch, name: str, i: int, j: int) -> tuple[np.ndarray, pa.StructArray]:
+    """Row (from i) of each span of rows i to j, and the spans."""
     lists = batch.column(name).slice(i, j - i).fill_null([])
-    rows = np.repeat(np.arange(j - i), np.diff(np.asarray(lists.offsets)))
-    flat = lists.flatten()
-    return rows, np.asarray(flat.field("at")), np.asarray(flat.field("n"))
+    return np.repeat(np.arange(j - i), np.diff(np.asarray(lists.offsets))), lists.flatten()
 
 
-def boundary_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
+def boundary_windows(docs: DataFrame, window: int) -> DataFrame:
     """Hashes of the windows named by each row's spans, the first of equal ones in a text."""
     schema = StructType([StructField("id", docs.schema["id"].dataType),
                          *StructType.fromDDL("key long, w0 long, w1 long, at long").fields])
@@ -110,9 +109,10 @@ def boundary_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
         for batch in batches:
             ids, keys = batch.column("id"), batch.column("key")
             for i, j, texts in sliced(batch.column("text")):
-                row, at, n = spans_of(batch, "spans", i, j)
+                row, spans = spans_of(batch, "spans", i, j)
                 if not len(row):
                     continue
+                at, n = np.asarray(spans.field("at")), np.asarray(spans.field("n"))
                 starts = np.repeat(texts.first[row] + at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 row = np.repeat(row, n)
                 order = np.argsort(starts)
@@ -129,6 +129,41 @@ def boundary_windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def first_places(keys: np.ndarray) -> np.ndarray:
+    """For each key the place where it stands first."""
+    _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+    return first[back]
+
+
+def parsed(at: np.ndarray, n: np.ndarray, ref: np.ndarray, ref_at: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Greedy parse of one text, given runs of n windows from ``at`` on and where these stand earlier.
+
+    Runs that go on in one reference are joined; then from the left, each time the joined run that reaches
+    farthest. Factors as (start, windows, place of a run that tells the reference, start in the reference).
+    """
+    order = np.lexsort((at, ref_at - at, ref))
+    at, end, ref, shift = at[order], (at + n)[order], ref[order], (ref_at - at)[order]
+    new = np.concatenate([[True], (ref[1:] != ref[:-1]) | (shift[1:] != shift[:-1]) | (at[1:] > end[:-1])])
+    head = np.flatnonzero(new)
+    low, high, place, shift = at[head], np.maximum.reduceat(end, head), order[head], shift[head]
+    by_start = np.argsort(low, kind="stable")
+    low, high, place, shift = (x[by_start].tolist() for x in (low, high, place, shift))
+    factors, reached, i = [], -1, 0
+    while i < len(low):
+        if high[i] <= reached:
+            i += 1
+            continue
+        start = max(low[i], reached)
+        best = i
+        while i < len(low) and low[i] <= start:
+            if high[i] > high[best]:
+                best = i
+            i += 1
+        factors.append((start, high[best] - start, place[best], start + shift[best]))
+        reached = high[best]
+    return factors
+
+
 def without(texts: Texts, d: int, gone: np.ndarray) -> bytes:
     """Text d without the marked words: kept runs as they are, a line break or a space where words are gone."""
     a, b = texts.first[d], texts.first[d + 1]
@@ -143,41 +178,72 @@ def without(texts: Texts, d: int, gone: np.ndarray) -> bytes:
     return b"".join(out)
 
 
+def factors_of(texts: Texts, ids: pa.Array, row: np.ndarray, spans: pa.StructArray, own: np.ndarray, first: np.ndarray,
+               window: int, kind: pa.DataType) -> tuple[pa.Array, np.ndarray]:
+    """Parsed factors of each text, and the words they cover.
+
+    ``row`` and ``spans`` are runs that stand earlier elsewhere; ``own`` are windows that stand earlier in
+    their text, at ``first``. Both name words by their place in ``texts``, the spans by that in their text.
+    """
+    doc = np.searchsorted(texts.first, own, "right") - 1
+    reference = pa.concat_arrays([spans.field("ref").cast(kind), ids.take(pa.array(doc)).cast(kind)])
+    codes = reference.dictionary_encode().indices.fill_null(-1).to_numpy()
+    text = np.concatenate([row, doc])
+    at = np.concatenate([np.asarray(spans.field("at")), own - texts.first[doc]])
+    n = np.concatenate([np.asarray(spans.field("n")).astype(np.int64), np.ones(len(own), np.int64)])
+    ref_at = np.concatenate([np.asarray(spans.field("ref_at")), first - texts.first[doc]])
+    order = np.argsort(text, kind="stable")
+    bounds = np.searchsorted(text[order], np.arange(texts.n + 1))
+    found, counts = [], np.zeros(texts.n + 1, np.int64)
+    for d in np.flatnonzero(np.diff(bounds)):
+        mine = order[bounds[d]:bounds[d + 1]]
+        made = parsed(at[mine], n[mine], codes[mine], ref_at[mine])
+        found += [(texts.first[d], start, size, mine[place], back) for start, size, place, back in made]
+        counts[d + 1] = len(made)
+    base, start, size, place, back = (np.array(c, np.int64) for c in (zip(*found) if found else [()] * 5))
+    struct = pa.StructArray.from_arrays(
+        [pa.array(start), pa.array(size + window - 1), reference.take(pa.array(place)), pa.array(back)], ["at", "words", "ref", "ref_at"])
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum(counts).astype(np.int32)), struct)
+    return lists, covered(int(texts.first[-1]), base + start, size + window - 1)
+
+
 def shorten(docs: DataFrame, window: int) -> DataFrame:
-    """Cut what the spans of windows cover, and windows that stand earlier in the same text."""
-    schema = StructType([docs.schema["id"], docs.schema["others"],
-                         *StructType.fromDDL("text string, n_words long, n_removed long, n_factors long").fields])
+    """Parse each text by its spans and its own repeats, and cut what the factors cover."""
+    kind = docs.schema["id"].dataType
+    schema = StructType([docs.schema["id"], docs.schema["others"], *StructType.fromDDL(
+        f"text string, n_words long, n_removed long, factors array<struct<at: long, words: long, ref: {kind.simpleString()}, ref_at: long>>").fields])
+    ref = to_arrow_type(kind)
 
     def run(batches):
         for batch in batches:
             ids, column, others = batch.column("id"), batch.column("text"), batch.column("others")
             for i, j, texts in sliced(column):
-                row, at, n = spans_of(batch, "spans", i, j)
+                row, spans = spans_of(batch, "spans", i, j)
                 hashes = texts.word_hashes()
                 starts, keys = grams(hashes, texts.first, window)
                 doc = texts.doc_of_word()
-                _, later = repeated(in_text(keys, doc[starts]))
-                begin = np.concatenate([texts.first[row] + at, starts[later]])
-                size = np.concatenate([n + window - 1, np.full(later.sum(), window)])
-                gone = covered(len(hashes), begin, size)
+                keys = in_text(keys, doc[starts])
+                _, later = repeated(keys)
+                earlier = starts[first_places(keys)[later]] if later.any() else starts[:0]
+                factors, gone = factors_of(texts, ids.slice(i, j - i), row, spans, starts[later], earlier, window, ref)
                 removed = np.bincount(doc[gone], minlength=texts.n)
-                heads = gone.copy()
-                heads[1:] &= ~gone[:-1] | (doc[1:] != doc[:-1])
                 values = column.slice(i, j - i)
                 if removed.any():
                     values = pa.array([without(texts, d, gone).decode() if removed[d] else values[d].as_py()
                                        for d in range(texts.n)], pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(i, j - i), others.slice(i, j - i), values.cast(pa.string()), pa.array(texts.n_words.astype(np.int64)),
-                     pa.array(removed.astype(np.int64)),
-                     pa.array(np.bincount(doc[heads], minlength=texts.n).astype(np.int64))], schema.names)
+                     pa.array(removed.astype(np.int64)), factors], schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 def drop_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20,
                            gram: int = 8) -> DataFrame:
-    """Per row: the id, text without repeats, n_words and n_removed (words), n_factors (repeated stretches).
+    """Per row: the id, text without repeats, n_words and n_removed (words), factors and their number n_factors.
+
+    A factor is a stretch of ``words`` words from word ``at`` on that also stands from word ``ref_at`` on in
+    the document ``ref``; the next one begins with the first window that this one does not hold.
 
     The first column, ``others``, is a struct of the row's other columns.
 
@@ -204,18 +270,21 @@ def drop_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     firsts = known.groupBy("anchor", "phrase").agg(F.min(row).alias("first"), F.max("n").alias("n"),
                                                    F.max("mixed").alias("mixed"), F.count(F.lit(1)).alias("c"))
     copies = after_first(known.join(firsts.where("c > 1").select("anchor", "phrase", "first"), ["anchor", "phrase"]))
-    copies = copies.select("id", "key", "at", "n")
+    reference = [F.col("first.id").alias("ref"), F.col("first.at").alias("ref_at")]
+    copies = copies.select("id", "key", "at", "n", *reference)
     borders = firsts.where("mixed").select("first.id", "first.key", "first.at", "n")
 
     def with_spans(spans):
         """All texts with their spans; the texts' exchange is the same in each use."""
-        own = spans.groupBy("id", "key").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+        parts = [c for c in spans.columns if c not in ("id", "key")]
+        own = spans.groupBy("id", "key").agg(F.collect_list(F.struct(*parts)).alias("spans"))
         own = own.withColumnsRenamed({"id": "of", "key": "of_key"})
         return source.join(own, source["id"].eqNullSafe(own["of"]) & (source["key"] == own["of_key"]), "left").drop("of", "of_key")
 
-    windows = boundary_windows(with_spans(borders), window, gram)
+    windows = boundary_windows(with_spans(borders), window)
     earliest = (windows.groupBy("w0", "w1").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
                 .where("c > 1").drop("c"))
-    edges = after_first(windows.join(earliest, ["w0", "w1"])).select("id", "key", "at", F.lit(1).alias("n"))
+    edges = after_first(windows.join(earliest, ["w0", "w1"])).select("id", "key", "at", F.lit(1).alias("n"), *reference)
     return shorten(with_spans(copies.unionByName(edges)), window).select(
-        "others", F.col("id").alias(id_col), F.col("text").alias(text_col), "n_words", "n_removed", "n_factors")
+        "others", F.col("id").alias(id_col), F.col("text").alias(text_col), "n_words", "n_removed", "factors",
+        F.size("factors").cast("long").alias("n_factors"))

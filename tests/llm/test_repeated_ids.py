@@ -1,14 +1,17 @@
 """Rows that share an id, null ids, renumbered ids and other partitions must not lose or change anything."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from metaudit.llm.jaccard_join import one_of_each, similar_groups
 from metaudit.llm.language_id import language_ids
 from metaudit.llm.source_mixing import mix_sources
-from metaudit.llm.substring_dedup import drop_repeated_passages
+from metaudit.llm.substring_dedup import drop_repeated_passages, parsed
+from metaudit.llm.token_counts import build, long_word_count, piece_counts
 
 
 def prose(rng, n):
@@ -40,6 +43,66 @@ def test_versions_under_one_id(spark):
     assert found == {0: 0, 1: 30, 2: 0}  # only the later word place of the same id is a repeat
 
 
+def shared_texts(rng):
+    """Texts made of parts of a few passages, some twice in one text, some with the start of the text before."""
+    passages = [prose(rng, rng.randrange(22, 70)).split() for _ in range(6)]
+    made = []
+    for i in range(60):
+        text = []
+        for _ in range(rng.randrange(1, 5)):
+            p = rng.choice(passages)
+            a = rng.randrange(len(p) - 20)
+            text += prose(rng, rng.randrange(40)).split() + p[a:a + rng.randrange(20, 70)]
+        text += made[-1][:50] if made and i % 9 == 0 else []
+        made.append(text + (text[:60] if i % 7 == 0 else []))
+    return made
+
+
+@pytest.mark.parametrize("named", [int, str])
+def test_factors_name_where_their_words_stand_earlier(spark, named):
+    texts = shared_texts(random.Random(6))
+    name = (lambda i: i) if named is int else (lambda i: f"{i:03d}")
+    rows = [(name(i), " ".join(t)) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, f"doc_id {'long' if named is int else 'string'}, text string").repartition(3)
+    seen, total = set(), 0
+    found = {r.doc_id: r for r in drop_repeated_passages(table).collect()}
+    for i, text in enumerate(texts):
+        gone = set()
+        for s in range(len(text) - 19):
+            gone |= set(range(s, s + 20)) if tuple(text[s:s + 20]) in seen else set()
+            seen.add(tuple(text[s:s + 20]))
+        row, covered, last = found[name(i)], set(), -1
+        for f in row.factors:
+            assert f.words >= 20 and f.at > last and (f.ref, f.ref_at) < (name(i), f.at)
+            assert text[f.at:f.at + f.words] == texts[int(f.ref)][f.ref_at:f.ref_at + f.words]
+            covered |= set(range(f.at, f.at + f.words))
+            last = f.at
+        assert covered == gone and row.n_removed == len(gone) and row.n_factors == len(row.factors)
+        total += row.n_factors
+    assert total > 150
+
+
+def test_a_parse_takes_what_reaches_farthest():
+    at, n, ref, ref_at = (np.array(x) for x in ([0, 2, 1, 3, 40], [2, 3, 1, 30, 1], [7, 7, 8, 9, 7], [10, 12, 0, 100, 0]))
+    assert parsed(at, n, ref, ref_at) == [(0, 5, 0, 10), (5, 28, 3, 102), (40, 1, 4, 0)]
+    same = np.zeros(5000, np.int64)
+    assert parsed(np.arange(5000), same + 1, same, np.arange(5000) + 9) == [(0, 5000, 0, 9)]
+
+
+def test_a_long_word_takes_time_in_proportion():
+    rng = random.Random(7)
+    automaton = build([w.encode() for w in ("ab", "abc", "cab", "é", "xyz", "aaaa", "caba")])
+    words = ["".join(rng.choice("abcéxyz") for _ in range(n)).encode() for n in (1, 500, 520, 3000)]
+    data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    starts = ends - [len(w) for w in words]
+    one_by_one = [long_word_count(automaton, b"_" + w) for w in words]
+    assert piece_counts(automaton, data, starts, ends, b"_").tolist() == one_by_one
+    long = "".join(rng.choice("abcéxyz") for _ in range(400_000)).encode()
+    begin = time.perf_counter()
+    piece_counts(automaton, np.frombuffer(long, np.uint8), np.array([0]), np.array([len(long)]), b"_")
+    assert time.perf_counter() - begin < 2
+
+
 def test_one_of_each_judges_rows_not_ids(spark):
     rng = random.Random(3)
     a, b, c = (prose(rng, 30) for _ in range(3))
