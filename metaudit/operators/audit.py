@@ -12,7 +12,7 @@ from metaudit.operators import (
 )
 from metaudit.operators.classify import error_struct
 from metaudit.operators.flatten import flatten_entries
-from metaudit.operators.records import Record, conform, with_terms, without_terms
+from metaudit.operators.records import OPENED, Record, conform, with_terms, without_terms
 from metaudit.operators.rule_index import rule_findings
 from metaudit.operators.rulebook import Pack
 from metaudit.schema import ERROR, FINDING
@@ -107,7 +107,7 @@ def _restored(out: DataFrame, df: DataFrame) -> DataFrame:
 def _with_entries(df: DataFrame, text_fields) -> DataFrame:
     """Add ``entries``: flattened metadata, followed by the named text columns.
 
-    The parse is a projection of its own, as flattening reads its result several times.
+    The parse is a projection of its own, as flattening and the sections read its result.
     """
     parts = [pattern_rules.text_entries(df, text_fields)] if text_fields else []
     opened = df
@@ -117,10 +117,10 @@ def _with_entries(df: DataFrame, text_fields) -> DataFrame:
             variant = F.col("metadata")
         else:
             variant = F.try_parse_json("metadata" if isinstance(kind, T.StringType) else F.to_json("metadata"))
-        opened = df.withColumn("_opened", variant)
-        parts.insert(0, F.coalesce(flatten_entries(F.col("_opened")), F.array()))
+        opened = df.withColumn(OPENED, variant)
+        parts.insert(0, F.coalesce(flatten_entries(F.col(OPENED)), F.array()))
     entries = F.concat(*parts, F.array()).cast("array<struct<field:string,value:string>>")
-    return opened.withColumn("entries", entries).drop("_opened")
+    return opened.withColumn("entries", entries)
 
 
 def audit(df: DataFrame, now: Column | None = None, text_fields=(), skip_analysis: bool = False) -> DataFrame:

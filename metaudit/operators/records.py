@@ -8,6 +8,7 @@ from metaudit.functions.findings import let
 from metaudit.functions.paths import extension
 from metaudit.schema import ERROR, METADATA_SECTIONS, RECORD_COLUMNS
 
+OPENED = "_opened"  # metadata as VARIANT, where it came as JSON text
 TIMES = ("creation_time", "modification_time", "access_time")
 
 
@@ -114,20 +115,21 @@ def conform(df: DataFrame, typed: bool = True, sections=METADATA_SECTIONS) -> Da
             columns[name] = iso_text(F.col(name), kinds[name])
     metadata = kinds.get("metadata")
     wanted = [n for n in METADATA_SECTIONS if n in sections]
-    ddl = ", ".join(f"{n} {METADATA_SECTIONS[n]}" for n in wanted)
     if metadata is None:
         columns["metadata"] = F.lit(None).cast(_struct_ddl())
     elif not typed or not wanted:
         pass
-    elif isinstance(metadata, T.StringType):
-        columns["metadata"] = F.from_json("metadata", ddl)
-    elif isinstance(metadata, T.VariantType):
-        columns["metadata"] = F.from_json(F.to_json("metadata"), ddl)
+    elif isinstance(metadata, (T.StringType, T.VariantType)):
+        # a column of its own, so that text is parsed once for all sections (and for flattening)
+        if OPENED not in kinds:
+            df = df.withColumn(OPENED, F.try_parse_json("metadata") if isinstance(metadata, T.StringType) else F.col("metadata"))
+        columns["metadata"] = F.struct(*[
+            F.try_variant_get(OPENED, F.lit(f"$.{n}"), METADATA_SECTIONS[n]).alias(n) for n in wanted])
     else:
         columns["metadata"] = F.struct(*[_section(metadata, name).alias(name) for name in wanted])
     if "errors" not in kinds:
         columns["errors"] = F.array().cast(T.ArrayType(ERROR))
-    return df.withColumns(columns)
+    return df.withColumns(columns).drop(OPENED)
 
 
 def _section(metadata: T.StructType, name: str) -> Column:
