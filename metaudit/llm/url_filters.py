@@ -6,8 +6,11 @@ sweeps place each URL. The first goes over host keys and finds the innermost rul
 second goes over paths within that host, whose rules include those inherited from the hosts
 around it, and finds the active prefixes. Interval starts and ends carry the stack of what is
 active after them, so a URL reads the last event before it. Sweeps are windows over URLs and
-events together; URLs are dealt out at random and each part gets all events, so a hot host is
-no hot partition. Only DataFrame functions are used.
+events together. URLs are dealt by the last two labels of their host, as a rule's host of two
+labels or more shares them with the hosts it fits; intervals of other labels open and close
+between a part's keys and leave nothing behind, so a part gets the events of its labels and of the
+hosts of one label alone. Labels with many URLs are spread over parts by a hash of the row, so a hot
+host is no hot partition. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -68,8 +71,8 @@ def host_events(rules: DataFrame) -> DataFrame:
     full = hosts.join(stacks, "host", "left")
     key = host_key(F.col("host"))
     outer = F.when(F.size("stack") > 0, F.element_at(F.col("stack.outer"), -1))
-    return (full.select(key.alias("host_key"), F.col("host").alias("active"))
-            .unionByName(full.select(end_of(key).alias("host_key"), outer.alias("active"))))
+    return (full.select("host", key.alias("host_key"), F.col("host").alias("active"))
+            .unionByName(full.select("host", end_of(key).alias("host_key"), outer.alias("active"))))
 
 
 def path_events(rules: DataFrame) -> DataFrame:
@@ -97,6 +100,13 @@ def path_events(rules: DataFrame) -> DataFrame:
                                       F.slice(entries, 1, F.size("stack") - 1).alias("stack"))))
 
 
+def group_of(host, parts: int):
+    """Group of the last two labels of a host (of all, where there are fewer)."""
+    labels = F.split(host, r"\.")
+    last = F.when(F.size(labels) > 2, F.slice(labels, -2, 2)).otherwise(labels)
+    return F.pmod(F.xxhash64(F.array_join(last, ".")), F.lit(parts)).cast("int")
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                default: str = "allow", parts: int | None = None) -> DataFrame:
     """Per row of ``pages``: the id, host, path, rule (``host/path``, or null) and verdict.
@@ -107,30 +117,43 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
     path is an empty one. A null URL, or one without ``://``, has an empty host and path and
     fits no rule. Repeated rows and null ids are judged one by one.
 
-    ``parts`` (shuffle partitions by default) is the number of parts the URLs are dealt to;
-    each holds all rule events, so size it to the URLs. URLs are dealt by a hash of id and URL, so a task
-    that runs again deals alike; rows equal in both go together.
+    ``parts`` (shuffle partitions by default) is the number of groups of labels. A group with more
+    than twice its share of the URLs is cut further, which gives half as many parts again at most. URLs
+    are dealt by hashes, so a task that runs again deals alike; rows equal in id and URL go together.
     """
     parts = parts or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = cleaned(rules)
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
     url = F.col("url")
     urls = (pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"))
-            .select("id", url_host(url).alias("host"), url_path(url).alias("path"),
-                    F.pmod(F.xxhash64("id", "url"), F.lit(parts)).cast("int").alias("part"))
-            .select("id", "host", "path", "part", F.lit(2).alias("kind"), host_key(F.col("host")).alias("host_key"),
-                    bytes_of(F.col("path")).alias("path_key")))
-    hosts = host_events(own).select(every, F.lit(0).alias("kind"), "host_key", "active")
-    paths = path_events(own).select(every, F.lit(1).alias("kind"), F.col("host").alias("path_host"), "path_key", "stack")
+            .select("id", url_host(url).alias("host"), url_path(url).alias("path"), F.xxhash64("id", "url").alias("row"))
+            .withColumn("label_group", group_of(F.col("host"), parts)))
+    whole = Window.partitionBy(F.lit(0))
+    salts = F.ceil(F.col("count") * parts / (2 * F.sum("count").over(whole))).cast("int")
+    # one row per group: at most ``parts``
+    groups = F.broadcast(urls.groupBy("label_group").count().select("label_group", salts.alias("salts")))
+    urls = urls.join(groups, "label_group").select(
+        "id", "host", "path", "label_group", F.pmod("row", "salts").cast("int").alias("salt"), F.lit(2).alias("kind"),
+        host_key(F.col("host")).alias("host_key"), bytes_of(F.col("path")).alias("path_key"))
+
+    def dealt(events):
+        single = F.size(F.split("host", r"\.")) == 1
+        near = events.where(~single).withColumn("label_group", group_of(F.col("host"), parts))
+        everywhere = events.where(single).withColumn("label_group", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        return near.unionByName(everywhere).join(groups, "label_group").withColumn(
+            "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+
+    hosts = dealt(host_events(own)).select("label_group", "salt", F.lit(0).alias("kind"), "host_key", "active")
+    paths = dealt(path_events(own)).select("label_group", "salt", F.lit(1).alias("kind"), F.col("host").alias("path_host"),
+                                           "path_key", "stack")
     both = urls.unionByName(hosts, allowMissingColumns=True).unionByName(paths, allowMissingColumns=True)
 
     so_far = (Window.unboundedPreceding, Window.currentRow)
     # events are wrapped in structs, so that a null (nothing active) is told from no event
-    by_host = Window.partitionBy("part").orderBy(F.col("host_key").asc_nulls_first(), "kind").rowsBetween(*so_far)
+    by_host = Window.partitionBy("label_group", "salt").orderBy(F.col("host_key").asc_nulls_first(), "kind").rowsBetween(*so_far)
     placed = both.withColumn("place", F.last(F.when(F.col("kind") == 0, F.struct("active")), ignorenulls=True).over(by_host))
     group = F.when(F.col("kind") == 1, F.col("path_host")).when(F.col("kind") == 2, F.col("place.active"))
     keyed = placed.where("kind > 0").withColumn("group", group)
-    by_path = (Window.partitionBy("part").orderBy(F.col("group").asc_nulls_first(), "path_key", "kind").rowsBetween(*so_far))
+    by_path = (Window.partitionBy("label_group", "salt").orderBy(F.col("group").asc_nulls_first(), "path_key", "kind").rowsBetween(*so_far))
     event = F.when(F.col("kind") == 1, F.struct(F.col("group").alias("of"), "stack"))
     swept = keyed.withColumn("event", F.last(event, ignorenulls=True).over(by_path)).where("kind = 2")
     winner = F.when(F.col("event.of") == F.col("group"), F.array_max("event.stack"))

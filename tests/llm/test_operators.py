@@ -239,7 +239,7 @@ def test_url_filters(spark):
     given = spark.createDataFrame([*rules, (None, "/", "block"), ("", "/", "block"), ("nul", None, "block"), ("x", "/", None)],
                                   "host string, path string, verdict string")
     expected = sorted(map(str, [(i if i % 50 else None, *brute_rule(u, [*rules, ("nul", "", "block")])) for i, u in enumerate(urls)]))
-    for parts in (1, 5):
+    for parts in (1, 5, 64):
         got = judge_urls(pages, given, parts=parts).select("page_id", "host", "path", "rule", "verdict").collect()
         assert sorted(str(tuple(r)) for r in got) == expected
     assert judge_urls(pages.limit(0), given).count() == 0
