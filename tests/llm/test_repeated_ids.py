@@ -115,8 +115,8 @@ def test_one_of_each_judges_rows_not_ids(spark):
 
 
 def test_hot_classes_and_components(spark, monkeypatch):
-    from metaudit.llm import skew
-    monkeypatch.setattr(skew, "HOT_KEYS", 3)
+    from metaudit.functions import joins
+    monkeypatch.setattr(joins, "HOT_KEYS", 3)
     rng = random.Random(4)
     base = prose(rng, 60).split()
     rows = []

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from metaudit.llm import conversation_trie, skew
+from metaudit.functions import joins
+from metaudit.llm import conversation_trie
 from metaudit.llm import fill_in_middle as fim
 from metaudit.llm.boosting import boosted, calibrated_threshold
 from metaudit.llm.conversation_trie import digested, joined_ends, prefix_trie
@@ -186,7 +187,7 @@ def test_long_conversations_are_scanned_in_blocks(spark, monkeypatch):
 
 
 def test_hot_prefixes(spark, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_KEYS", 5)
+    monkeypatch.setattr(joins, "HOT_KEYS", 5)
     convs = {c: [("system", "one"), ("user", f"{c % 4}"), ("user", f"{c}")][:1 + c % 3] for c in range(200)}
     turns = digested(as_table(spark, [(c, k, r, t) for c, v in convs.items() for k, (r, t) in enumerate(v)]))
     assert nodes_of(turns, turns.select("conv")) == trie_of(convs)
