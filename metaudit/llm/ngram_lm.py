@@ -9,7 +9,8 @@ The filter is cut into cells by n-gram hash. Tasks count n-grams of their texts
 row per cell with packed keys and counts; one task per cell adds them up and builds that
 cell's bits, sized to what it holds. The number of cells follows the bytes of text, so a
 cell's size does not. The model goes to the workers in shards of at most ``shard_bytes``
-each; texts are scored against one shard after another and the parts are added.
+each, one at a time; texts are scored against one shard after another, and the parts, a few numbers a
+text, are written and added. Beside its shard a worker holds the word filter, about 1.3 bytes a distinct word.
 """
 
 from __future__ import annotations
@@ -117,11 +118,10 @@ def joined(parts: list[bytes], cells: int, low: int) -> Filter:
 
 @dataclass
 class Shard:
-    """Some cells of the exact word counts and of the pair filter, with the whole word filter."""
+    """Some cells of the exact word counts and of the pair filter."""
 
     keys: np.ndarray
     counts: np.ndarray
-    words: Filter
     pairs: Filter
     low: int
     high: int
@@ -179,37 +179,38 @@ def count_cells(training: DataFrame, text_col: str, cells: int) -> DataFrame:
         add, "kind int, cell int, bits binary, keys binary, counts binary, total long, distinct long")
 
 
-def shards_of(model: DataFrame, cells: int, shard_bytes: int):
-    """Read the model in shards of consecutive cells, each of at most ``shard_bytes`` beside the word filter.
-
-    A single cell, some MB, is the least a shard can hold.
-    """
+def shard_bounds(model: DataFrame, cells: int, shard_bytes: int) -> list[tuple[int, int]]:
+    """Shards of consecutive cells, each of at most ``shard_bytes``; a single cell, some MB, is the least."""
     sizes = model.groupBy("cell").agg(F.sum(F.when(F.col("kind") == 1, F.length("bits")).otherwise(0)
                                             + F.length("keys") + F.length("counts")).alias("n")).collect()
     by_cell = {r["cell"]: r["n"] for r in sizes}
-    bounds, held = [0], 0
+    starts, held = [0], 0
     for c in range(cells):
         if held and held + by_cell.get(c, 0) > shard_bytes:
-            bounds.append(c)
+            starts.append(c)
             held = 0
         held += by_cell.get(c, 0)
-    word_bits = {r["cell"]: bytes(r["bits"]) for r in model.where("kind = 0").select("cell", "bits").toLocalIterator()}
-    words = joined([word_bits.get(c, b"\0") for c in range(cells)], cells, 0)
-    for low, high in zip(bounds, [*bounds[1:], cells], strict=True):
-        own = model.where(F.col("cell").between(low, high - 1))
-        pair_bits, exact = {}, {}
-        for r in own.select("kind", "cell", F.when(F.col("kind") == 1, F.col("bits")).alias("bits"), "keys",
-                            "counts").toLocalIterator():
-            if r["kind"] == 1:
-                pair_bits[r["cell"]] = bytes(r["bits"])
-            else:
-                exact[r["cell"]] = (np.frombuffer(bytes(r["keys"]), np.uint64),
-                                    np.frombuffer(bytes(r["counts"]), np.int64))
-        order = sorted(exact)
-        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        yield Shard(np.concatenate([exact[c][0] for c in order] or [none[0]]),
-                    np.concatenate([exact[c][1] for c in order] or [none[1]]), words,
-                    joined([pair_bits.get(c, b"\0") for c in range(low, high)], cells, low), low, high)
+    return list(zip(starts, [*starts[1:], cells], strict=True))
+
+
+def word_filter(model: DataFrame, cells: int) -> Filter:
+    bits = {r["cell"]: bytes(r["bits"]) for r in model.where("kind = 0").select("cell", "bits").toLocalIterator()}
+    return joined([bits.get(c, b"\0") for c in range(cells)], cells, 0)
+
+
+def shard(model: DataFrame, cells: int, low: int, high: int) -> Shard:
+    """Read the cells from low to high."""
+    pair_bits, exact = {}, {}
+    own = model.where(F.col("cell").between(low, high - 1))
+    for r in own.select("kind", "cell", F.when(F.col("kind") == 1, F.col("bits")).alias("bits"), "keys", "counts").toLocalIterator():
+        if r["kind"] == 1:
+            pair_bits[r["cell"]] = bytes(r["bits"])
+        else:
+            exact[r["cell"]] = (np.frombuffer(bytes(r["keys"]), np.uint64), np.frombuffer(bytes(r["counts"]), np.int64))
+    order = sorted(exact)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return Shard(np.concatenate([exact[c][0] for c in order] or [none[0]]), np.concatenate([exact[c][1] for c in order] or [none[1]]),
+                 joined([pair_bits.get(c, b"\0") for c in range(low, high)], cells, low), low, high)
 
 
 def lm_scores(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -236,9 +237,10 @@ def lm_scores(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", t
     schema = StructType([source.schema[id_col], *StructType.fromDDL(
         "n_tokens long, n_known long, train_tokens long, base_score double, score double, digest long").fields])
 
-    def scorer(shard):
+    def scorer(held):
         def run(batches):
-            part: Shard = shard.value
+            part: Shard = held.value
+            known_words: Filter = words_held.value
             for batch in batches:
                 ids = batch.column(0)
                 for i, j, texts in sliced(batch.column(1), lower=True):
@@ -251,14 +253,14 @@ def lm_scores(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", t
                     count = np.where(part.keys[at] == own, part.counts[at], 0) if len(part.keys) else np.zeros(len(own), np.int64)
                     base = np.where(here, np.log10((count + alpha) / floor), 0)[inverse]
                     # the pair model, for pairs whose cell is here
-                    seen = estimates(part.words.level(own))
+                    seen = estimates(known_words.level(own))
                     keys = pairs(before, words)
                     cell = cell_of(keys, cells)
                     mine = (cell >= part.low) & (cell < part.high)
                     context = np.searchsorted(own, before)
                     known = context < len(own)
                     context = np.where(known, context, 0)
-                    total = np.where(known & (own[context] == before), seen[context], float(estimates(part.words.level(
+                    total = np.where(known & (own[context] == before), seen[context], float(estimates(known_words.level(
                         np.array([END], np.uint64)))[0]))
                     together = np.minimum(estimates(part.pairs.level(keys)), total)
                     back = (seen[inverse] + alpha) / floor
@@ -271,14 +273,18 @@ def lm_scores(docs: DataFrame, training: DataFrame, *, id_col: str = "doc_id", t
                          pa.array(sums(score, first)), pa.array(digest, pa.int64())], schema.names)
         return run
 
-    bounds = [spark.sparkContext.broadcast(s) for s in shards_of(model, cells, shard_bytes)]
+    bounds = shard_bounds(model, cells, shard_bytes)
     many = len(bounds) > 1
-    scored = [source.mapInArrow(scorer(b), schema) for b in bounds]
+    words_held = spark.sparkContext.broadcast(word_filter(model, cells))
     if not many:
-        return scored[0].drop("digest")
-    together = scored[0]
-    for part in scored[1:]:
-        together = together.unionAll(part)
+        return source.mapInArrow(scorer(spark.sparkContext.broadcast(shard(model, cells, *bounds[0]))), schema).drop("digest")
+    together = None
+    for low, high in bounds:  # one shard at a time on the driver and the workers; its parts are written
+        held = spark.sparkContext.broadcast(shard(model, cells, low, high))
+        part = saved(source.mapInArrow(scorer(held), schema))
+        held.destroy()
+        together = part if together is None else together.unionAll(part)
+    words_held.destroy()
     # a row that stands m times gives m parts per shard: add up one and repeat it
     copies = (F.count(F.lit(1)) / len(bounds)).cast("int")
     return (together.groupBy(id_col, "digest", "n_tokens", "train_tokens")
