@@ -3,6 +3,10 @@
 Each stage takes what its predecessor kept and calls one operator of the library. All but the
 last return the columns of documents; the last one says how often and in which order each
 document is used. Stages are written and read back by the caller, or by ``run``.
+
+Null and empty texts are judged as empty ones, are copies of nothing, and stand once in the order;
+rows with a null id stay where an id would decide; rows that share an id are judged each by its own
+text, and of rows that are alike in id and words one stays. An empty table gives an empty order.
 """
 
 from __future__ import annotations
