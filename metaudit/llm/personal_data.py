@@ -253,7 +253,7 @@ def examples(window: str, low: int, high: int, rng: random.Random, pool: list[tu
               if low <= c[1] and c[2] <= high and (c in good or not valid(window, c) or overlaps(c, [g for g in good if g[0] == c[0]]))]
     for kind, start, end in good:
         body = window[start:end]
-        mate_kind, mate = rng.choice(pool)
+        mate_kind, mate = rng.choice(pool or [(kind, body)])
         variants = [([(kind, disguised(kind, body, rng))], 1), ([(kind, spoiled(kind, body, rng))], 0),
                     ([(kind, body), (mate_kind, mate)], 1), ([(mate_kind, mate), (kind, body)], 1)]
         for pieces, label in variants:
