@@ -218,11 +218,18 @@ def elf_symbols(symbols: Column) -> Column:
     return F.filter(symbols, lambda s: F.coalesce(s, F.lit("")) != "")
 
 
+NO_XML = "\uffff"  # no XML text can hold it
+
+
 def ooxml_core_props(core_xml: Column) -> Column:
     """creator, title, created and modified of a core-properties part; absent or empty ones are left out."""
     names = ["creator", "title", "created", "modified"]
-    pairs = F.array(*[
-        F.struct(F.lit(n).alias("key"),
-                 F.xpath_string(core_xml, F.lit(f'//*[local-name()="{n}"]')).alias("value")) for n in names
-    ])
-    return F.map_from_entries(F.filter(pairs, lambda p: F.coalesce(p["value"], F.lit("")) != ""))
+    # the text is parsed once, for all properties
+    each = f", '{NO_XML}', ".join(f'//*[local-name()="{n}"]' for n in names)
+    found = F.split(F.xpath_string(core_xml, F.lit(f"concat({each})")), NO_XML, -1)
+
+    def present(values):
+        pairs = F.array(*[F.struct(F.lit(n).alias("key"), F.get(values, F.lit(i)).alias("value")) for i, n in enumerate(names)])
+        return F.map_from_entries(F.filter(pairs, lambda p: F.coalesce(p["value"], F.lit("")) != ""))
+
+    return let(found, present)
