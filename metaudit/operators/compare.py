@@ -79,9 +79,15 @@ def _metadata_long(df: DataFrame, group: str, file: str) -> DataFrame:
 
 
 def _spread(long: DataFrame) -> DataFrame:
-    """Per group and field: how many values there are, and the smallest and largest."""
-    return long.groupBy("group_id", "section", "field").agg(
-        F.count("value").alias("n_values"), F.min("value").alias("_low"), F.max("value").alias("_high"))
+    """Per group and field: how many values there are, and the smallest and largest.
+
+    The smallest text is found by a sort, so rows are dealt first: a task sorts its share of them, however
+    the table lies in files.
+    """
+    keys = ["group_id", "section", "field"]
+    parts = _dealt(long, *keys).groupBy(*keys, "salt").agg(
+        F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return parts.groupBy(*keys).agg(F.sum("n").alias("n_values"), F.min("low").alias("_low"), F.max("high").alias("_high"))
 
 
 def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
