@@ -208,12 +208,14 @@ class FileWriter(DataSourceWriter):
                 staged = os.path.join(own, str(len(ready)))
                 with open(staged, "wb") as file:
                     file.write(content.encode() if isinstance(content, str) else bytes(content or b""))
-                    file.flush()
-                    os.fsync(file.fileno())
                 ready.append((staged, target))
+            os.sync()  # all staged files at once, before any takes its name
+            made = set()
             for staged, target in ready:
                 try:
-                    os.makedirs(os.path.dirname(target), exist_ok=True)
+                    if (parent := os.path.dirname(target)) not in made:
+                        os.makedirs(parent, exist_ok=True)
+                        made.add(parent)
                     os.replace(staged, target)  # a task that runs again replaces what it wrote
                 except OSError as problem:
                     failed.append({"file_path": target, "problem": problem.strerror})
