@@ -4,7 +4,8 @@ import os
 
 from pyspark.sql import functions as F
 
-from metaudit.operators import compare, normalize, redact
+from metaudit.operators import compare, normalize, redact, video_rules
+from metaudit.operators.audit import run_rule
 
 
 def plan_of(df):
@@ -56,3 +57,13 @@ def test_files_are_flushed_together(spark, tmp_path, monkeypatch):
     rows = [(str(tmp_path / f"o/{i}"), str(i)) for i in range(20)]
     assert FileWriter(str(tmp_path / "o/.s"), str(tmp_path), 0, 1).write(iter(rows)).files == 20
     assert calls == ["all"] and {p.name: p.read_text() for p in (tmp_path / "o").iterdir() if p.is_file()} == {str(i): str(i) for i in range(20)}
+
+
+def test_terms_in_keys_need_no_pattern(spark):
+    metadata = '{"video_properties":{"MAKE":"m","Camera_Model":null,"geo.x":"1","codec":"h264","Duration":"1"}}'
+    df = spark.createDataFrame([("v.mp4", "video", metadata), ("w.mp4", "video", '{"video_properties":{"codec":"h264"}}')],
+                               "file_path string, file_type string, metadata string")
+    found = run_rule(df, video_rules.PACK.rules["video_device"])
+    assert {r.file_path: [f.evidence["device_info"] for f in r.findings or []] for r in found.collect()} == {
+        "v.mp4": [["Camera_Model: None", "MAKE: m"]], "w.mp4": []}
+    assert "RLIKE" not in plan_of(found).upper()
